@@ -21,7 +21,7 @@ from ledgernet.plans.report import limit_per_detector as first_per_detector
 from ledgernet.plans.suite import agency_supplier_edges, run_suite
 from ledgernet.sources import export
 from ledgernet.sources import tables as T
-from ledgernet.sources.workspace import scratch_path, stored
+from ledgernet.sources.workspace import concurrently, scratch_path, stored
 
 
 def _rounded(anomalies: DataFrame, *columns: str) -> DataFrame:
@@ -35,16 +35,24 @@ def _supplier_outliers(graph):
     return D.centrality_outliers(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS)
 
 
+def _found_nodes(graph) -> DataFrame:
+    """Findings of the three detectors that name single nodes, without evidence."""
+
+    def spread() -> DataFrame:
+        links = stored(agency_supplier_edges(graph), "projected")
+        return D.entropy_nodes(graph, V.FORNECEDOR, V.ORGAO, links=links)
+
+    found = concurrently(
+        lambda: D.central_nodes(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS),
+        lambda: D.central_nodes(graph, V.ORGAO, V.CENTRAL_AGENCIES),
+        spread,
+    )
+    return reduce(DataFrame.unionByName, found)
+
+
 def _node_findings(spark, sf_dir) -> D.Findings:
-    """The three detectors that name single nodes."""
     graph = T.graph(spark, sf_dir)
-    links = stored(agency_supplier_edges(graph), "projected")
-    found = [
-        _supplier_outliers(graph),
-        D.centrality_outliers(graph, V.ORGAO, V.CENTRAL_AGENCIES),
-        D.entropy_outliers(graph, V.FORNECEDOR, V.ORGAO, links=links),
-    ]
-    return D.Findings(*[reduce(DataFrame.unionByName, tables) for tables in zip(*found)])
+    return D.with_evidence(_found_nodes(graph), graph)
 
 
 def _members(found: D.Findings) -> DataFrame:
@@ -268,7 +276,7 @@ def node_signals(spark, sf_dir):
     ),
 )
 def anomaly_severity_counts(spark, sf_dir):
-    return K.count_by_severity(_node_findings(spark, sf_dir).anomalies)
+    return K.count_by_severity(_found_nodes(T.graph(spark, sf_dir)))
 
 
 @query(
@@ -276,7 +284,7 @@ def anomaly_severity_counts(spark, sf_dir):
     statement("select detector, severity, count(*) as anomalies from anomalies group by 1, 2", "anomalies"),
 )
 def anomaly_counter(spark, sf_dir):
-    return K.count_by_detector(_node_findings(spark, sf_dir).anomalies)
+    return K.count_by_detector(_found_nodes(T.graph(spark, sf_dir)))
 
 
 @query(
@@ -288,7 +296,7 @@ def anomaly_counter(spark, sf_dir):
     ),
 )
 def limit_per_detector(spark, sf_dir):
-    return _rounded(first_per_detector(_node_findings(spark, sf_dir).anomalies, 3), "anomaly_id", "detector", "score")
+    return _rounded(first_per_detector(_found_nodes(T.graph(spark, sf_dir)), 3), "anomaly_id", "detector", "score")
 
 
 def _annotated(spark, sf_dir) -> DataFrame:
@@ -326,12 +334,12 @@ def nodes_with_risk(spark, sf_dir):
 
 
 _FLAGGED = "labelled left join severities on node_id = id"
-_PASSES = """node_type in ('empenho', 'fornecedor') and valor >= 1000 and valor <= 90000.5
+_PASSES = """node_type in ('empenho', 'fornecedor') and valor >= 1000 and valor <= 104500.5
     and (lower(label) like '%r%' or lower(numero) like '%r%' or lower(original_id) like '%r%')"""
 
 
 def _explorer_test(**changes):
-    options = {"types": [V.EMPENHO, V.FORNECEDOR], "min_value": "1000", "max_value": "90000.5", "needle": "R"}
+    options = {"types": [V.EMPENHO, V.FORNECEDOR], "min_value": "1000", "max_value": "104500.5", "needle": "R"}
     return X.passes(**{**options, **changes})
 
 

@@ -49,7 +49,7 @@ def edge_weight(valor: Column) -> Column:
 
 
 def money(value: Column) -> Column:
-    return value.cast(MONEY)
+    return value.cast(MONEY.simpleString())
 
 
 def money_sum(value: Column) -> Column:

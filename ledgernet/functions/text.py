@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -22,7 +23,7 @@ def join_id(*parts: Column) -> Column:
 
 def nonblank(text: Column) -> Column:
     """The text, or null where it is empty."""
-    return F.when(text != "", text)
+    return F.nullif(text, F.lit(""))
 
 
 def label(nome: Column, descricao: Column, numero: Column, original_id: Column, id_: Column) -> Column:
@@ -67,15 +68,26 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), wide
 
 
+def _character_class(characters: Iterable[str]) -> str:
+    """A regular expression class of the characters, written as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
+
+
 def ascii_fold(text: Column) -> Column:
     """Strip accents and drop what has no ASCII form, as compatibility decomposition does."""
     source, target, wide = _ascii_tables()
     # Characters that widen are rare: only rows holding one pay for the lookup.
-    table = F.create_map(*[F.lit(x) for pair in wide.items() for x in pair])
+    table = F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in wide.items())), F.lit("\x02"), F.lit("\x01"))
     widened = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
     )
-    expanded = F.when(text.rlike("[" + "".join(wide) + "]"), widened).otherwise(text)
+    expanded = F.when(text.rlike(_character_class(wide)), widened).otherwise(text)
     folded = F.regexp_replace(F.translate(expanded, source, target), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
@@ -94,7 +106,7 @@ def stable_id(prefix: str, *parts: Column) -> Column:
         F.concat_ws(
             "-",
             F.lit(prefix),
-            F.when(slug == "", F.lit(V.EMPTY_SLUG)).otherwise(slug),
+            F.coalesce(nonblank(slug), F.lit(V.EMPTY_SLUG)),
             F.substring(F.sha1(key), 1, 10),
         )
     )

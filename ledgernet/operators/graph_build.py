@@ -26,7 +26,7 @@ def _vertices(table: DataFrame, node_type: str, key: str, **columns) -> DataFram
         if name in table.columns:
             values[name] = F.col(name)
     return table.select(
-        *[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in S.VERTICES]
+        *[values.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in S.VERTICES]
     )
 
 

@@ -43,7 +43,7 @@ def _conform(raw: DataFrame, table: T.StructType, fields: dict[str, str]) -> Dat
             value = parse_timestamp(F.col(source))
         else:
             value = F.col(source)
-        return value.cast(field.dataType).alias(field.name)
+        return value.cast(field.dataType.simpleString()).alias(field.name)
 
     return raw.select(*[column(field) for field in table])
 

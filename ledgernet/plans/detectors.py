@@ -15,7 +15,7 @@ from ledgernet.operators import evidence as E
 from ledgernet.operators.communities import isolation
 from ledgernet.operators.metrics import neighbor_entropy, weighted_degree
 from ledgernet.operators.robust import median_and_mad
-from ledgernet.sources.workspace import cut_lineage
+from ledgernet.sources.workspace import cut_lineage, few_rows
 
 
 class Findings(NamedTuple):
@@ -103,64 +103,82 @@ def conform(anomalies: DataFrame) -> DataFrame:
     """The report columns, null where a detector does not set them."""
     present = set(anomalies.columns)
     return anomalies.select(
-        *[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in S.ANOMALIES]
+        *[(F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in S.ANOMALIES]
     )
 
 
-def _node_findings(ranked: DataFrame, graph: SpendGraph, detector: str, severity: Column, reason: str) -> Findings:
-    """Report rows and ego-network evidence of a top-k list of nodes."""
-    ranked = cut_lineage(ranked.withColumn("anomaly_id", _anomaly_id(detector, F.col("node_id"))))
-    centers = ranked.select("anomaly_id", F.col("node_id").alias("center_id"))
-    ego = E.ego_networks(centers, graph.edges, few=True)
-    neighbors = cut_lineage(ego.neighbors)
-    nodes = E.evidence_nodes(centers, neighbors)
-    facts = E.vertex_facts(graph.vertices, ranked.select("node_id"))
-    anomalies = (
-        ranked.join(facts.select("node_id", F.col("label").alias("node_label")), "node_id")
-        .join(ego.counts, "anomaly_id", "left")
-        .withColumns(
-            {
-                "detector": F.lit(detector),
-                "score": F.col("zscore"),
-                "severity": severity,
-                "reason": F.lit(reason),
-                "metric_value": F.col("value"),
-                "neighbor_count": F.coalesce("neighbor_count", F.lit(0)),
-            }
+def _named(ranked: DataFrame, detector: str, severity: Column, reason: str) -> DataFrame:
+    """Ranked nodes, at most ``top_k``, as the start of report rows."""
+    return few_rows(
+        ranked.select(
+            _anomaly_id(detector, F.col("node_id")).alias("anomaly_id"),
+            F.lit(detector).alias("detector"),
+            "node_id",
+            "node_type",
+            F.col("zscore").alias("score"),
+            severity.alias("severity"),
+            F.lit(reason).alias("reason"),
+            F.col("value").alias("metric_value"),
+            "zscore",
+            "rank",
         )
     )
-    return Findings(
-        conform(anomalies),
-        E.describe_neighbors(neighbors, graph.vertices),
-        nodes,
-        E.links_of_few(nodes, graph.edges),
-        nodes.where(F.lit(False)),
-    )
 
 
-def centrality_outliers(
+def central_nodes(
     graph: SpendGraph, node_type: str, detector: str, top_k: int = 8, zscore_threshold: float = 2.0
-) -> Findings:
+) -> DataFrame:
+    """Findings of ``rank_centrality`` without evidence."""
     ranked = rank_centrality(graph, node_type, top_k, zscore_threshold)
-    return _node_findings(ranked, graph, detector, severity_from_z(F.col("zscore")), V.REASON_CENTRALITY)
+    return _named(ranked, detector, severity_from_z(F.col("zscore")), V.REASON_CENTRALITY)
 
 
-def entropy_outliers(
+def entropy_nodes(
     graph: SpendGraph,
     focus_type: str,
     neighbor_type: str,
     detector: str = V.ENTROPY_SUPPLIERS,
     links: DataFrame | None = None,
     **options,
-) -> Findings:
-    """High-entropy nodes over ``links``, an edge table between the two types.
-
-    The graph's own edges are used without it. Evidence always comes from the graph.
-    """
+) -> DataFrame:
+    """Findings of ``rank_entropy`` over ``links``, by default the graph's own edges, without evidence."""
     ranked = rank_entropy(graph.edges if links is None else links, graph.vertices, focus_type, neighbor_type, **options)
     severity = severity_from_z(F.col("zscore") + V.ENTROPY_SEVERITY_SHIFT)
-    reason = V.REASON_ENTROPY.format(neighbor_type=neighbor_type)
-    return _node_findings(ranked, graph, detector, severity, reason)
+    return _named(ranked, detector, severity, V.REASON_ENTROPY.format(neighbor_type=neighbor_type))
+
+
+def with_evidence(found: DataFrame, graph: SpendGraph) -> Findings:
+    """Ego-network evidence from the graph for the findings of any number of top-k detectors.
+
+    Each evidence table reads the edges once for all of them.
+    """
+    centers = found.select("anomaly_id", F.col("node_id").alias("center_id"))
+    ego = E.ego_networks(centers, graph.edges, few=True)
+    neighbors = few_rows(ego.neighbors)
+    nodes = few_rows(E.evidence_nodes(centers, neighbors))
+    facts = E.vertex_facts(graph.vertices, found.select("node_id").distinct())
+    anomalies = (
+        found.join(facts.select("node_id", F.col("label").alias("node_label")), "node_id")
+        .join(ego.counts, "anomaly_id", "left")
+        .withColumn("neighbor_count", F.coalesce("neighbor_count", F.lit(0)))
+    )
+    return Findings(
+        conform(anomalies),
+        E.describe_neighbors(neighbors, graph.vertices),
+        nodes,
+        E.links_of_few(nodes, graph.edges),
+        nodes.where(F.lit(False)),
+    )
+
+
+def centrality_outliers(graph: SpendGraph, node_type: str, detector: str, **options) -> Findings:
+    """The most central nodes of a type with their evidence."""
+    return with_evidence(central_nodes(graph, node_type, detector, **options), graph)
+
+
+def entropy_outliers(graph: SpendGraph, focus_type: str, neighbor_type: str, **options) -> Findings:
+    """The nodes of high neighbour entropy with their evidence, which comes from the graph."""
+    return with_evidence(entropy_nodes(graph, focus_type, neighbor_type, **options), graph)
 
 
 def score_communities(measures: DataFrame, min_size: int = 2) -> DataFrame:

@@ -15,11 +15,12 @@ from ledgernet.operators.projection import agency_supplier_links, as_edges, proj
 from ledgernet.operators.risk import anomaly_members, node_risk
 from ledgernet.plans.detectors import (
     Findings,
-    centrality_outliers,
-    entropy_outliers,
+    central_nodes,
+    entropy_nodes,
     isolated_communities,
+    with_evidence,
 )
-from ledgernet.sources.workspace import stored
+from ledgernet.sources.workspace import concurrently, stored
 
 PROJECTED_EDGE = "orgao_fornecedor"
 
@@ -46,18 +47,29 @@ def run_suite(graph: SpendGraph, one_hop: bool = False, max_iter: int = 20, **pr
     edges projected over commitments. With ``one_hop`` they see only direct edges, of
     which a built graph has none: entropies are then 0.0 and no community is found.
     """
-    projected = stored(agency_supplier_edges(graph, one_hop), "projected")
     ends = graph.vertices.where(F.col("node_type").isin(V.ORGAO, V.FORNECEDOR))
-    findings = [
-        centrality_outliers(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS),
-        centrality_outliers(graph, V.ORGAO, V.CENTRAL_AGENCIES),
-        # Projected pairs are merged already, so per edge and per neighbour agree there.
-        entropy_outliers(graph, V.FORNECEDOR, V.ORGAO, links=projected, per="edge" if one_hop else "neighbor"),
-    ]
-    if not projected.isEmpty():
+
+    def spread_suppliers() -> tuple[DataFrame, DataFrame]:
+        projected = stored(agency_supplier_edges(graph, one_hop), "projected")
+        # Projected pairs are merged already; direct edges count one by one.
+        per = "edge" if one_hop else "neighbor"
+        return projected, entropy_nodes(graph, V.FORNECEDOR, V.ORGAO, links=projected, per=per)
+
+    suppliers, agencies, (projected, spread) = concurrently(
+        lambda: central_nodes(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS),
+        lambda: central_nodes(graph, V.ORGAO, V.CENTRAL_AGENCIES),
+        spread_suppliers,
+    )
+
+    def communities() -> list[Findings]:
+        if projected.isEmpty():
+            return []
         labels = stored(label_propagation(projected, ends.select("id"), max_iter=max_iter, **propagation), "labels")
-        findings.append(isolated_communities(projected, ends, labels))
-    return _combine(findings)
+        return [isolated_communities(projected, ends, labels)]
+
+    nodes = suppliers.unionByName(agencies).unionByName(spread)
+    found, grouped = concurrently(lambda: with_evidence(nodes, graph), communities)
+    return _combine([found, *grouped])
 
 
 def _combine(findings: list[Findings]) -> Suite:

@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _typed(df: DataFrame, schema, **columns) -> DataFrame:
-    return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    return df.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType.simpleString()).alias(f.name) for f in schema])
 
 
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,6 +39,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def few_rows(df: DataFrame) -> DataFrame:
+    """A table of a handful of rows, a top-k list or what hangs on one, as a local relation.
+
+    Plans that use it several times then neither recompute nor shuffle it.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
+def concurrently(*steps: Callable[[], Any]) -> list:
+    """Results of steps that do not need each other; their jobs share the cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(step)) for step in steps]
+        return [step.result() for step in running]
+
+
 def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """Write as Parquet in the shared folder and read back: column pruning stays possible."""
     spark = df.sparkSession
