@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -68,15 +67,12 @@ def _ascii_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(source), "".join(target), wide
 
 
-def _character_class(characters: Iterable[str]) -> str:
-    """A regular expression class of the characters, written as ranges."""
-    ranges: list[list[int]] = []
-    for code in sorted(map(ord, characters)):
-        if ranges and code == ranges[-1][1] + 1:
-            ranges[-1][1] = code
-        else:
-            ranges.append([code, code])
-    return "[" + "".join(f"\\u{low:04x}-\\u{high:04x}" for low, high in ranges) + "]"
+def _may_widen(text: Column) -> Column:
+    """Whether the text can hold a character that widens: a coarse range is quick to scan."""
+    wide = sorted(_ascii_tables()[2])
+    latin = [c for c in wide if c < "\u0100"]
+    rest = wide[len(latin) :]
+    return text.rlike(f"[{latin[0]}-{latin[-1]}{rest[0]}-{rest[-1]}]")
 
 
 def ascii_fold(text: Column) -> Column:
@@ -87,7 +83,7 @@ def ascii_fold(text: Column) -> Column:
     widened = F.array_join(
         F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
     )
-    expanded = F.when(text.rlike(_character_class(wide)), widened).otherwise(text)
+    expanded = F.when(_may_widen(text), widened).otherwise(text)
     folded = F.regexp_replace(F.translate(expanded, source, target), r"[^\x00-\x7F]", "")
     return F.when(text.rlike(r"[^\x00-\x7F]"), folded).otherwise(text)
 
@@ -98,20 +94,28 @@ def slugify(text: Column) -> Column:
     return F.coalesce(F.btrim(words, F.lit("-")), F.lit(""))
 
 
-def stable_id(prefix: str, *parts: Column) -> Column:
-    """Readable id that depends only on the non-empty parts: prefix, slug, short hash."""
-    key = F.concat_ws("::", *[nonblank(p) for p in parts])
-    slug = slugify(key)
+def stable_key(*parts: Column) -> Column:
+    """The non-empty parts that identify a record, joined."""
+    return F.concat_ws("::", *[nonblank(p) for p in parts])
+
+
+def id_of_key(prefix: str, key: Column) -> Column:
+    """Readable id of a stable key: prefix, slug, short hash."""
+    slug = F.regexp_replace(slugify(key), "^$", V.EMPTY_SLUG)
     return F.when(key == "", F.lit(f"{prefix}-{V.UNKNOWN_ID}")).otherwise(
-        F.concat_ws(
-            "-",
-            F.lit(prefix),
-            F.coalesce(nonblank(slug), F.lit(V.EMPTY_SLUG)),
-            F.substring(F.sha1(key), 1, 10),
-        )
+        F.concat_ws("-", F.lit(prefix), slug, F.substring(F.sha1(key), 1, 10))
     )
 
 
+def stable_id(prefix: str, *parts: Column) -> Column:
+    """Id that depends only on the non-empty parts.
+
+    The key occurs several times in it: over many rows make the key a column first
+    and use ``id_of_key``.
+    """
+    return id_of_key(prefix, stable_key(*parts))
+
+
 def contains_text(needle: str, *columns: Column) -> Column:
     """Case-folded substring test over several columns."""
     wanted = F.lit(needle.lower())

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgernet import vocabulary as V
 from ledgernet.functions.amounts import first_nonzero, parse_amount
 from ledgernet.functions.dates import month_start
-from ledgernet.functions.text import nonblank, stable_id
+from ledgernet.functions.text import id_of_key, nonblank, stable_key
 from ledgernet.operators.normalize import Collections
 from ledgernet.operators.quality import dedup_first
 
@@ -52,10 +52,12 @@ def flatten(records: DataFrame, limit: int | None = None) -> Collections:
         number.alias("numero"),
         month_start(F.col("Ano"), F.col("Mes")).cast("string").alias("data_empenho"),
         parse_amount(first_nonzero(F.col("Empenho"), F.col("Empenhado"))).alias("valor_empenhado"),
-        stable_id(V.FORNECEDOR, document, F.col("TipoPessoa")).alias("fornecedor_id"),
-        stable_id(V.ORGAO, agency).alias("unidade_gestora_id"),
-        stable_id(V.EMPENHO, year, month, agency, number, document).alias("id"),
+        stable_key(document, F.col("TipoPessoa")).alias("fornecedor_id"),
+        stable_key(agency).alias("unidade_gestora_id"),
+        stable_key(year, month, agency, number, document).alias("id"),
     )
+    kinds = {"fornecedor_id": V.FORNECEDOR, "unidade_gestora_id": V.ORGAO, "id": V.EMPENHO}
+    keyed = keyed.withColumns({name: id_of_key(kind, F.col(name)) for name, kind in kinds.items()})
 
     commitments = keyed.select(
         "id",
