@@ -52,7 +52,7 @@ def _found_nodes(graph) -> DataFrame:
 
 def _node_findings(spark, sf_dir) -> D.Findings:
     graph = T.graph(spark, sf_dir)
-    return D.with_evidence(_found_nodes(graph), graph)
+    return D.with_evidence(_found_nodes(graph), graph, {V.FORNECEDOR, V.ORGAO})
 
 
 def _members(found: D.Findings) -> DataFrame:

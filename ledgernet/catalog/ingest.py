@@ -207,7 +207,7 @@ def batch_fingerprint(spark, sf_dir):
     statement("select id, numero, amount as valor from parsed where id is not null and amount >= 0", "parsed"),
 )
 def validate_commitments(spark, sf_dir):
-    good, _ = Q.split_valid(D.dirty_commitments(spark, sf_dir), Q.commitment_errors())
+    good, _ = Q.split_valid(D.dirty_commitments(spark, sf_dir), Q.commitment_checks())
     return good.select("id", "numero", amounts.parse_amount(F.col("valor_empenhado")).alias("valor"))
 
 
@@ -221,7 +221,7 @@ def validate_commitments(spark, sf_dir):
     ),
 )
 def rejected_commitments(spark, sf_dir):
-    _, bad = Q.split_valid(D.dirty_commitments(spark, sf_dir), Q.commitment_errors())
+    _, bad = Q.split_valid(D.dirty_commitments(spark, sf_dir), Q.commitment_checks())
     return bad.select("line", F.array_join("errors", ",").alias("errors"))
 
 

@@ -5,26 +5,21 @@ from pyspark.sql import functions as F
 
 from ledgernet.schema import MONEY
 
-_NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+_BLANKS = " \t\n\r\f\v"
+# Letters of "NaN", "inf", hexadecimal and type suffixes, which casts accept; not e.
+_NO_NUMBER = "[A-DF-Za-df-z]"
 
 
 def parse_amount(raw: Column) -> Column:
     """Text amount to double. Blank and null give 0.0; text that is no number gives null.
 
     With both marks present the dots group thousands and the comma is the decimal
-    point; a lone comma is the decimal point.
+    point; a lone comma is the decimal point. So wherever there is a comma, dots go
+    and the comma becomes the point.
     """
-    text = F.regexp_replace(raw.cast("string"), r"^\s+|\s+$", "")
-    comma = F.contains(text, F.lit(","))
-    dot = F.contains(text, F.lit("."))
-    plain = (
-        F.when(comma & dot, F.replace(F.replace(text, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(comma, F.replace(text, F.lit(","), F.lit(".")))
-        .otherwise(text)
-    )
-    return F.when(text.isNull() | (text == ""), F.lit(0.0)).otherwise(
-        F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
-    )
+    text = F.btrim(raw.cast("string"), F.lit(_BLANKS))
+    plain = F.when(F.contains(text, F.lit(",")), F.translate(text, ",.", ".")).otherwise(text)
+    return F.when(text.isNull() | (text == ""), F.lit(0.0)).when(~text.rlike(_NO_NUMBER), plain.try_cast("double"))
 
 
 def finite(value: Column) -> Column:

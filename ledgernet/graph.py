@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Collection, Iterator, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -23,6 +24,25 @@ class SpendGraph:
     end_types: Mapping[str, tuple[str, str]] | None = None
     commitments: DataFrame | None = field(default=None, repr=False)
 
+    def edges_touching(self, node_types: Collection[str]) -> DataFrame:
+        """Edges that may have an end of one of the types."""
+        return self._of_types(lambda ends: not set(ends).isdisjoint(node_types))
+
+    def edges_between(self, node_types: Collection[str]) -> DataFrame:
+        """Edges that may have both ends among the types."""
+        return self._of_types(lambda ends: set(ends) <= set(node_types))
+
+    def neighbor_types(self, node_types: Collection[str]) -> set[str] | None:
+        """The types and those an edge away from them; None if any type may be."""
+        if self.end_types is None:
+            return None
+        return set(node_types).union(*[e for e in self.end_types.values() if not set(e).isdisjoint(node_types)])
+
+    def _of_types(self, wanted: Callable[[tuple[str, str]], bool]) -> DataFrame:
+        if self.end_types is None:
+            return self.edges
+        return self.edges.where(F.col("edge_type").isin([t for t, ends in self.end_types.items() if wanted(ends)]))
+
     def num_vertices(self) -> int:
         return self.vertices.count()
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +31,9 @@ def _incident(graph: SpendGraph, node_type: str) -> DataFrame:
     parts = []
     for side, column in enumerate(("src", "dst")):
         types = [name for name, ends in graph.end_types.items() if ends[side] == node_type]
-        if types:
-            touching = graph.edges.where(F.col("edge_type").isin(types))
-            parts.append(touching.select(F.col(column).alias("node_id"), weight))
-    if not parts:
-        return graph.edges.where(F.lit(False)).select(F.col("src").alias("node_id"), weight)
-    return reduce(DataFrame.unionByName, parts)
+        touching = graph.edges.where(F.col("edge_type").isin(types))
+        parts.append(touching.select(F.col(column).alias("node_id"), weight))
+    return parts[0].unionByName(parts[1])
 
 
 def weighted_degree(graph: SpendGraph, node_type: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -10,46 +11,54 @@ from pyspark.sql import functions as F
 from ledgernet.functions.amounts import parse_amount
 
 
-def commitment_errors() -> Column:
-    """Names of the rules a raw commitment breaks."""
+class Checks(NamedTuple):
+    """``valid`` says whether a row passes; ``errors`` names the rules a row breaks.
+
+    ``valid`` alone decides on all rows, ``errors`` is worked out for rejected ones.
+    """
+
+    valid: Column
+    errors: Column
+
+
+def commitment_checks() -> Checks:
     amount = parse_amount(F.col("valor_empenhado"))
-    return _broken(
-        (F.col("id").isNull(), "missing_id"),
-        (amount.isNull(), "bad_amount"),
-        (amount < 0, "negative_amount"),
+    return Checks(
+        F.col("id").isNotNull() & (F.coalesce(amount, F.lit(-1.0)) >= 0),
+        _broken(
+            (F.col("id").isNull(), "missing_id"),
+            (amount.isNull(), "bad_amount"),
+            (amount < 0, "negative_amount"),
+        ),
     )
 
 
-def dimension_errors() -> Column:
-    """Names of the rules a raw supplier or agency breaks."""
-    return _broken((F.col("id").isNull(), "missing_id"))
+def dimension_checks() -> Checks:
+    """Checks of raw suppliers and agencies."""
+    return Checks(F.col("id").isNotNull(), _broken((F.col("id").isNull(), "missing_id")))
 
 
 def _broken(*rules: tuple[Column, str]) -> Column:
-    marks = F.array(*[F.when(test, F.lit(name)) for test, name in rules])
-    return F.filter(marks, lambda mark: mark.isNotNull())
+    return F.array_compact(F.array(*[F.when(test, F.lit(name)) for test, name in rules]))
 
 
-def split_valid(raw: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
+def split_valid(raw: DataFrame, checks: Checks) -> tuple[DataFrame, DataFrame]:
     """Good rows, and rejected rows with their ``errors``."""
-    checked = raw.withColumn("errors", errors)
-    good = checked.where(F.size("errors") == 0).drop("errors")
-    return good, checked.where(F.size("errors") > 0)
+    return raw.where(checks.valid), raw.where(~checks.valid).withColumn("errors", checks.errors)
 
 
-def require_valid(raw: DataFrame, errors: Column, kind: str) -> DataFrame:
+def require_valid(raw: DataFrame, checks: Checks, kind: str) -> DataFrame:
     """The same rows; the job fails at the first row that breaks a rule."""
-    broken = F.concat(F.lit(f"invalid record in {kind}: "), F.array_join(errors, ", "))
-    passes = F.when(F.size(errors) > 0, F.raise_error(broken).cast("boolean")).otherwise(F.lit(True))
-    return raw.where(passes)
+    message = F.concat(F.lit(f"invalid record in {kind}: "), F.array_join(checks.errors, ", "))
+    return raw.where(F.when(checks.valid, F.lit(True)).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def validate(raw: DataFrame, errors: Column, kind: str, mode: str = "strict") -> DataFrame:
+def validate(raw: DataFrame, checks: Checks, kind: str, mode: str = "strict") -> DataFrame:
     """Valid rows of a collection: ``strict`` fails on a bad row, ``quarantine`` leaves it out."""
     if mode == "strict":
-        return require_valid(raw, errors, kind)
+        return require_valid(raw, checks, kind)
     if mode == "quarantine":
-        return split_valid(raw, errors)[0]
+        return split_valid(raw, checks)[0]
     raise ValueError(f"unknown validation mode {mode!r}")
 
 

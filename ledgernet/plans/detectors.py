@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
@@ -147,16 +148,24 @@ def entropy_nodes(
     return _named(ranked, detector, severity, V.REASON_ENTROPY.format(neighbor_type=neighbor_type))
 
 
-def with_evidence(found: DataFrame, graph: SpendGraph) -> Findings:
+def with_evidence(found: DataFrame, graph: SpendGraph, node_types: Collection[str]) -> Findings:
     """Ego-network evidence from the graph for the findings of any number of top-k detectors.
 
-    Each evidence table reads the edges once for all of them.
+    Each evidence table reads the edges once for all of them, and of those only the
+    types that the ``node_types`` of the findings can have part in.
     """
     centers = found.select("anomaly_id", F.col("node_id").alias("center_id"))
-    ego = E.ego_networks(centers, graph.edges, few=True)
+    ego = E.ego_networks(centers, graph.edges_touching(node_types), few=True)
     neighbors = few_rows(ego.neighbors)
     nodes = few_rows(E.evidence_nodes(centers, neighbors))
-    facts = E.vertex_facts(graph.vertices, found.select("node_id").distinct())
+    near = graph.neighbor_types(node_types)
+    vertices, edges = graph.vertices, graph.edges
+    if near is not None:
+        vertices = vertices.where(F.col("node_type").isin(sorted(near)))
+        edges = graph.edges_between(near)
+    facts = E.vertex_facts(
+        graph.vertices.where(F.col("node_type").isin(sorted(node_types))), found.select("node_id").distinct()
+    )
     anomalies = (
         found.join(facts.select("node_id", F.col("label").alias("node_label")), "node_id")
         .join(ego.counts, "anomaly_id", "left")
@@ -164,21 +173,21 @@ def with_evidence(found: DataFrame, graph: SpendGraph) -> Findings:
     )
     return Findings(
         conform(anomalies),
-        E.describe_neighbors(neighbors, graph.vertices),
+        E.describe_neighbors(neighbors, vertices),
         nodes,
-        E.links_of_few(nodes, graph.edges),
+        E.links_of_few(nodes, edges),
         nodes.where(F.lit(False)),
     )
 
 
 def centrality_outliers(graph: SpendGraph, node_type: str, detector: str, **options) -> Findings:
     """The most central nodes of a type with their evidence."""
-    return with_evidence(central_nodes(graph, node_type, detector, **options), graph)
+    return with_evidence(central_nodes(graph, node_type, detector, **options), graph, {node_type})
 
 
 def entropy_outliers(graph: SpendGraph, focus_type: str, neighbor_type: str, **options) -> Findings:
     """The nodes of high neighbour entropy with their evidence, which comes from the graph."""
-    return with_evidence(entropy_nodes(graph, focus_type, neighbor_type, **options), graph)
+    return with_evidence(entropy_nodes(graph, focus_type, neighbor_type, **options), graph, {focus_type})
 
 
 def score_communities(measures: DataFrame, min_size: int = 2) -> DataFrame:

@@ -11,9 +11,9 @@ from ledgernet.operators.enrichment import enrich_suppliers
 from ledgernet.operators.graph_build import build_graph
 from ledgernet.operators.normalize import Collections, normalize, with_lineage
 from ledgernet.operators.quality import (
-    commitment_errors,
+    commitment_checks,
     dedup_first,
-    dimension_errors,
+    dimension_checks,
     drop_negative,
     validate,
 )
@@ -28,13 +28,13 @@ def _unique(table: DataFrame) -> DataFrame:
 
 def clean(raw: Collections, mode: str = "strict") -> Collections:
     """Valid rows, one per id, without negative amounts."""
-    commitments = _unique(validate(raw.commitments, commitment_errors(), "empenhos", mode))
+    commitments = _unique(validate(raw.commitments, commitment_checks(), "empenhos", mode))
     amount = parse_amount(F.col("valor_empenhado"))
     commitments = drop_negative(commitments.withColumn("_amount", amount), "_amount").drop("_amount")
     return Collections(
         commitments,
-        _unique(validate(raw.suppliers, dimension_errors(), "fornecedores", mode)),
-        _unique(validate(raw.agencies, dimension_errors(), "orgaos", mode)),
+        _unique(validate(raw.suppliers, dimension_checks(), "fornecedores", mode)),
+        _unique(validate(raw.agencies, dimension_checks(), "orgaos", mode)),
     )
 
 

@@ -68,7 +68,7 @@ def run_suite(graph: SpendGraph, one_hop: bool = False, max_iter: int = 20, **pr
         return [isolated_communities(projected, ends, labels)]
 
     nodes = suppliers.unionByName(agencies).unionByName(spread)
-    found, grouped = concurrently(lambda: with_evidence(nodes, graph), communities)
+    found, grouped = concurrently(lambda: with_evidence(nodes, graph, {V.FORNECEDOR, V.ORGAO}), communities)
     return _combine([found, *grouped])
 
 

@@ -50,7 +50,8 @@ def few_rows(df: DataFrame) -> DataFrame:
 def concurrently(*steps: Callable[[], Any]) -> list:
     """Results of steps that do not need each other; their jobs share the cluster."""
     with ThreadPoolExecutor(len(steps)) as pool:
-        running = [pool.submit(inheritable_thread_target(step)) for step in steps]
+        inherit = inheritable_thread_target(SparkSession.active())
+        running = [pool.submit(inherit(step)) for step in steps]
         return [step.result() for step in running]
 
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ledgernet.functions.amounts import money
 from ledgernet.operators.graph_build import build_edges, commitment_vertices
 from ledgernet.operators.normalize import normalize_commitments
-from ledgernet.operators.quality import commitment_errors, split_valid
+from ledgernet.operators.quality import commitment_checks, split_valid
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -36,7 +36,7 @@ def ingest_commitments(records: DataFrame, out: str, checkpoint: str, arrived: s
     Records repeat an id at most ``delay`` after its first sight; rejected records go to
     their own table. Runs until all landed files are read.
     """
-    good, _ = split_valid(records, commitment_errors())
+    good, _ = split_valid(records, commitment_checks())
     keyed = good.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["id"])
 
     def rebuild(batch: DataFrame, number: int) -> None:
@@ -51,7 +51,7 @@ def ingest_commitments(records: DataFrame, out: str, checkpoint: str, arrived: s
 
 def quarantine_rejected(records: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the rejected records with the rules they broke."""
-    rejected = split_valid(records, commitment_errors())[1]
+    rejected = split_valid(records, commitment_checks())[1]
     return (
         rejected.writeStream.format("parquet")
         .options(path=f"{out}/rejected", checkpointLocation=checkpoint)

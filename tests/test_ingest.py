@@ -37,7 +37,7 @@ def test_strict_validation_fails_and_quarantine_splits(spark):
         load_graph(bad)[0].edges.count()
     graph, tables = load_graph(bad, mode="quarantine")
     assert tables.commitments.count() == 1
-    _, rejected = Q.split_valid(bad.commitments, Q.commitment_errors())
+    _, rejected = Q.split_valid(bad.commitments, Q.commitment_checks())
     assert [r["errors"] for r in rejected.collect()] == [["missing_id"]]
     with pytest.raises(ValueError):
         clean(bad, mode="lax")

@@ -62,7 +62,7 @@ def test_shared_folder_comes_from_the_session(spark):
     assert "ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_independent_steps_run_together_and_raise():
+def test_independent_steps_run_together_and_raise(spark):
     assert workspace.concurrently(lambda: 1, lambda: 2) == [1, 2]
     with pytest.raises(ZeroDivisionError):
         workspace.concurrently(lambda: 1, lambda: 1 / 0)
