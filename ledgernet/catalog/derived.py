@@ -159,18 +159,11 @@ def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def payload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Payload documents: the commitments of an order, or one supplier, or one agency."""
-    raw = raw_collections(spark, sf_dir)
-    per_order = raw.commitments.groupBy("contrato_id").agg(F.collect_list(F.struct(*raw.commitments.columns)).alias("empenhos"))
-    one = {
-        "fornecedores": raw.suppliers.select(F.array(F.struct(*raw.suppliers.columns)).alias("fornecedores")),
-        "orgaos": raw.agencies.select(F.array(F.struct(*raw.agencies.columns)).alias("orgaos")),
-    }
-    return (
-        per_order.select("empenhos")
-        .unionByName(one["fornecedores"], allowMissingColumns=True)
-        .unionByName(one["orgaos"], allowMissingColumns=True)
-    )
+    """Payload documents of one record each, so that none grows with the data."""
+    raw = raw_collections(spark, sf_dir)._asdict()
+    names = {"commitments": "empenhos", "suppliers": "fornecedores", "agencies": "orgaos"}
+    one = [raw[k].select(F.array(F.struct(*raw[k].columns)).alias(name)) for k, name in names.items()]
+    return one[0].unionByName(one[1], allowMissingColumns=True).unionByName(one[2], allowMissingColumns=True)
 
 
 def order_pages(spark: SparkSession, sf_dir: str, data_key: str, page_size: int, last: list[str]) -> DataFrame:

@@ -19,9 +19,8 @@ from ledgernet.operators import risk as K
 from ledgernet.plans import detectors as D
 from ledgernet.plans.report import limit_per_detector as first_per_detector
 from ledgernet.plans.suite import agency_supplier_edges, run_suite
-from ledgernet.sources import export
 from ledgernet.sources import tables as T
-from ledgernet.sources.workspace import concurrently, scratch_path, stored
+from ledgernet.sources.workspace import concurrently, stored
 
 
 def _rounded(anomalies: DataFrame, *columns: str) -> DataFrame:
@@ -51,7 +50,7 @@ def _found_nodes(graph) -> DataFrame:
 
 
 def _node_findings(spark, sf_dir) -> D.Findings:
-    graph = T.graph(spark, sf_dir)
+    graph = T.stored_graph(spark, sf_dir)
     return D.with_evidence(_found_nodes(graph), graph, {V.FORNECEDOR, V.ORGAO})
 
 
@@ -76,18 +75,18 @@ _OUTLIER_COLUMNS = [
 
 @query("outliers_suppliers", _outlier_sql("suppliers"))
 def outliers_suppliers(spark, sf_dir):
-    return _rounded(_supplier_outliers(T.graph(spark, sf_dir)).anomalies, *_OUTLIER_COLUMNS)
+    return _rounded(_supplier_outliers(T.stored_graph(spark, sf_dir)).anomalies, *_OUTLIER_COLUMNS)
 
 
 @query("outliers_agencies", _outlier_sql("agencies"))
 def outliers_agencies(spark, sf_dir):
-    found = D.centrality_outliers(T.graph(spark, sf_dir), V.ORGAO, V.CENTRAL_AGENCIES)
+    found = D.centrality_outliers(T.stored_graph(spark, sf_dir), V.ORGAO, V.CENTRAL_AGENCIES)
     return _rounded(found.anomalies, *_OUTLIER_COLUMNS)
 
 
 @query("outliers_entropy", _outlier_sql("entropy"))
 def outliers_entropy(spark, sf_dir):
-    graph = T.graph(spark, sf_dir)
+    graph = T.stored_graph(spark, sf_dir)
     links = stored(agency_supplier_edges(graph), "projected")
     return _rounded(D.entropy_outliers(graph, V.FORNECEDOR, V.ORGAO, links=links).anomalies, *_OUTLIER_COLUMNS)
 
@@ -170,7 +169,7 @@ def isolated_communities_lpa(spark, sf_dir):
 )
 def ego_network(spark, sf_dir):
     """The neighbourhoods of the central suppliers."""
-    graph = T.graph(spark, sf_dir)
+    graph = T.stored_graph(spark, sf_dir)
     found = _supplier_outliers(graph)
     centers = found.anomalies.select("anomaly_id", F.col("node_id").alias("center_id"), "neighbor_count")
     return found.neighbors.join(centers, "anomaly_id").drop("anomaly_id")
@@ -276,7 +275,7 @@ def node_signals(spark, sf_dir):
     ),
 )
 def anomaly_severity_counts(spark, sf_dir):
-    return K.count_by_severity(_found_nodes(T.graph(spark, sf_dir)))
+    return K.count_by_severity(_found_nodes(T.stored_graph(spark, sf_dir)))
 
 
 @query(
@@ -284,7 +283,7 @@ def anomaly_severity_counts(spark, sf_dir):
     statement("select detector, severity, count(*) as anomalies from anomalies group by 1, 2", "anomalies"),
 )
 def anomaly_counter(spark, sf_dir):
-    return K.count_by_detector(_found_nodes(T.graph(spark, sf_dir)))
+    return K.count_by_detector(_found_nodes(T.stored_graph(spark, sf_dir)))
 
 
 @query(
@@ -296,7 +295,7 @@ def anomaly_counter(spark, sf_dir):
     ),
 )
 def limit_per_detector(spark, sf_dir):
-    return _rounded(first_per_detector(_found_nodes(T.graph(spark, sf_dir)), 3), "anomaly_id", "detector", "score")
+    return _rounded(first_per_detector(_found_nodes(T.stored_graph(spark, sf_dir)), 3), "anomaly_id", "detector", "score")
 
 
 def _annotated(spark, sf_dir) -> DataFrame:
@@ -430,7 +429,7 @@ def node_types(spark, sf_dir):
 
 @query("anomaly_suite")
 def anomaly_suite(spark, sf_dir):
-    """The default suite on stored graph tables."""
+    """The default suite on the stored graph."""
     return _rounded(_suite(spark, sf_dir).anomalies, "anomaly_id", "detector", "node_id", "score", "severity", "reason")
 
 
@@ -440,6 +439,4 @@ def suite_risk(spark, sf_dir):
 
 
 def _suite(spark, sf_dir):
-    path = scratch_path(spark, "graph")
-    export.write_graph(T.graph(spark, sf_dir), path)
-    return run_suite(export.read_graph(spark, path))
+    return run_suite(T.stored_graph(spark, sf_dir))

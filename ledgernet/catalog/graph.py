@@ -18,7 +18,7 @@ from ledgernet.operators.robust import median_and_mad
 from ledgernet.operators.robust import robust_stats as stats_of
 from ledgernet.sources import export
 from ledgernet.sources import tables as T
-from ledgernet.sources.workspace import cut_lineage, scratch_path
+from ledgernet.sources.workspace import cut_lineage, scratch_path, stored
 
 
 @query(
@@ -341,7 +341,7 @@ def label_propagation_full(spark, sf_dir):
 
 def _propagated(spark, sf_dir, rounds):
     graph = T.graph(spark, sf_dir)
-    links = P.as_edges(P.agency_supplier_links(graph), "orgao_fornecedor")
+    links = stored(P.as_edges(P.agency_supplier_links(graph), "orgao_fornecedor"), "projected")
     ends = graph.vertices.where(F.col("node_type").isin(V.ORGAO, V.FORNECEDOR)).select("id")
     return C.label_propagation(links, ends, max_iter=rounds)
 

@@ -12,19 +12,18 @@ from ledgernet.streaming import ingest as I
 _LANDED = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, copy int"
 
 
-def _land(spark, sf_dir):
-    """Events as several landed files, every event twice, times as text of their instant."""
+def _run(spark, sf_dir, start):
+    """Land all events, run the stream, land them a second time, and run it on.
+
+    ``start`` begins a stream over the landed records.
+    """
     path = scratch_path(spark, "landed")
-    events = table(spark, sf_dir, "events")
+    events = table(spark, sf_dir, "events").drop("props")
     # The text carries the zone, so every session reads the same instants.
     stamped = events.withColumn("ts", F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z")))
-    twice = stamped.drop("props").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
-    twice.repartition(3, "event_id").write.json(path)
-    return I.read_landed(spark, path, _LANDED, files_per_batch=1)
-
-
-def _run(stream):
-    stream.awaitTermination()
+    for copy in (1, 2):
+        stamped.withColumn("copy", F.lit(copy)).write.mode("append").json(path)
+        start(I.read_landed(spark, path, _LANDED)).awaitTermination()
 
 
 @query(
@@ -34,19 +33,23 @@ def _run(stream):
 )
 def stream_ingest(spark, sf_dir):
     """Events as commitments: the user is paid, the event type commits; copies are dropped."""
-    records = _land(spark, sf_dir).select(
-        F.col("event_id").cast("string").alias("id"),
-        F.lit(None).cast("string").alias("numero"),
-        F.lit(None).cast("string").alias("descricao"),
-        F.col("value").cast("string").alias("valor_empenhado"),
-        F.col("ts").cast("string").alias("data_empenho"),
-        F.col("user_id").cast("string").alias("fornecedor_id"),
-        F.col("event_type").alias("unidade_gestora_id"),
-        F.lit(None).cast("string").alias("contrato_id"),
-        F.col("ts").alias("arrived"),
-    )
-    out = scratch_path(spark, "ingested")
-    _run(I.ingest_commitments(records, out, scratch_path(spark, "ingest-checkpoint"), delay="60 days"))
+    out, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint")
+
+    def start(events):
+        records = events.select(
+            F.col("event_id").cast("string").alias("id"),
+            F.lit(None).cast("string").alias("numero"),
+            F.lit(None).cast("string").alias("descricao"),
+            F.col("value").cast("string").alias("valor_empenhado"),
+            F.col("ts").cast("string").alias("data_empenho"),
+            F.col("user_id").cast("string").alias("fornecedor_id"),
+            F.col("event_type").alias("unidade_gestora_id"),
+            F.lit(None).cast("string").alias("contrato_id"),
+            F.col("ts").alias("arrived"),
+        )
+        return I.ingest_commitments(records, out, state, delay="60 days")
+
+    _run(spark, sf_dir, start)
     edges = spark.read.parquet(f"{out}/edges")
     return edges.groupBy("edge_type").agg(F.count("*").alias("edges"), F.round(F.sum("valor"), 2).alias("valor"))
 
@@ -56,9 +59,8 @@ def stream_ingest(spark, sf_dir):
     "select strftime(ts, '%Y-%m-%d') as day, event_type, 2 * count(*) as n from events group by 1, 2",
 )
 def daily_counts(spark, sf_dir):
-    out = scratch_path(spark, "daily")
-    events = _land(spark, sf_dir)
-    _run(I.count_daily(events, "ts", "event_type", out, scratch_path(spark, "daily-checkpoint"), delay="60 days"))
+    out, state = scratch_path(spark, "daily"), scratch_path(spark, "daily-checkpoint")
+    _run(spark, sf_dir, lambda events: I.count_daily(events, "ts", "event_type", out, state, delay="60 days"))
     # Windows are cut at midnight UTC.
     day = F.date_format(F.to_utc_timestamp("day", F.current_timezone()), "yyyy-MM-dd")
     return I.latest(spark, out, ["day", "event_type"], "n").withColumn("day", day)
@@ -73,8 +75,12 @@ def daily_counts(spark, sf_dir):
 def stream_degree(spark, sf_dir):
     """Running weighted degree of both ends; the copies count here."""
     ends = F.array(F.concat(F.lit("fornecedor::"), "user_id"), F.concat(F.lit("orgao::"), "event_type"))
-    weights = _land(spark, sf_dir).select(F.explode(ends).alias("node_id"), F.col("value").alias("weight"))
-    out = scratch_path(spark, "degree")
-    _run(I.accumulate_degree(weights, out, scratch_path(spark, "degree-checkpoint")))
+    out, state = scratch_path(spark, "degree"), scratch_path(spark, "degree-checkpoint")
+
+    def start(events):
+        weights = events.select(F.explode(ends).alias("node_id"), F.col("value").alias("weight"))
+        return I.accumulate_degree(weights, out, state)
+
+    _run(spark, sf_dir, start)
     current = I.latest(spark, out, ["node_id"], "centrality")
     return current.select("node_id", F.round(F.col("centrality").cast("double"), 2).alias("centrality"))

@@ -10,6 +10,7 @@ from ledgernet.operators.metrics import both_ends
 from ledgernet.sources.workspace import cut_lineage
 
 _ROWS_PER_SPLIT = 1_000_000
+_ROWS_PER_PARTITION = 2_000_000
 
 
 def label_propagation(
@@ -26,31 +27,34 @@ def label_propagation(
     smallest label on a tie. ``nodes(id)`` lists all nodes; one without edges keeps its
     own id as label. Labels stop changing or ``max_iter`` ends the loop.
 
-    The listed edges are partitioned once by (neighbour, split) and kept: a round moves
-    only the labels and the counted votes. ``split`` cuts the edges of a hub into pieces
+    The listed edges are partitioned and sorted once by (neighbour, split) and kept: a
+    round moves and sorts only the labels and the counted votes. ``split`` cuts the edges of a hub into pieces
     of about ``rows_per_split`` rows, and the hub's label row is repeated per piece.
     """
-    spark = edges.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     vote = F.coalesce(F.col("valor"), F.lit(1.0)) if weighted else F.lit(1)
     listed = both_ends(edges, vote.alias("vote"), near="neighbor_id", far="node_id")
 
-    degree = listed.groupBy("neighbor_id").agg(F.count("*").alias("rows"))
-    pieces = degree.select(
-        F.col("neighbor_id").alias("node_id"), F.ceil(F.col("rows") / F.lit(rows_per_split)).cast("int").alias("pieces")
-    )
-    hubs = pieces.where("pieces > 1").select(F.col("node_id").alias("neighbor_id"), "pieces")
+    # Only nodes with edges take part in the rounds. A round is one join over all edges;
+    # storing its labels, one row per node, keeps plans short and losses cheap.
+    rows = listed.groupBy(F.col("neighbor_id").alias("node_id")).agg(F.count("*").alias("rows"))
+    pieces = F.ceil(F.col("rows") / F.lit(rows_per_split)).cast("int")
+    labels = cut_lineage(rows.select("node_id", F.col("node_id").alias("label"), pieces.alias("pieces"), "rows"))
+    total = labels.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    configured = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(configured, -(-total // _ROWS_PER_PARTITION))
+    labels = labels.drop("rows")
+
+    # At most one hub per ``rows_per_split`` listed edges, so the hubs can be broadcast:
+    # the edges move once, already in pieces.
+    hubs = labels.where("pieces > 1").select(F.col("node_id").alias("neighbor_id"), "pieces")
     split = F.pmod(F.xxhash64("node_id"), F.coalesce("pieces", F.lit(1))).cast("int")
     placed = (
-        listed.join(hubs, "neighbor_id", "left")
+        listed.join(F.broadcast(hubs), "neighbor_id", "left")
         .select("neighbor_id", split.alias("split"), "node_id", "vote")
         .repartition(partitions, "neighbor_id", "split")
+        .sortWithinPartitions("neighbor_id", "split")
         .persist()
     )
-
-    # Only nodes with edges take part in the rounds. A round is one join over all edges;
-    # storing its labels, one row per node, keeps plans short and losses cheap.
-    labels = cut_lineage(pieces.select("node_id", F.col("node_id").alias("label"), "pieces"))
     try:
         for _ in range(max_iter):
             following = cut_lineage(_round(placed, labels, self_vote))

@@ -26,7 +26,8 @@ def _packed(table: DataFrame, name: str, order: list[str], columns: list[str]) -
 def report(suite: Suite, vertices: DataFrame) -> DataFrame:
     """``(detector, anomaly_id, score, document)``: the anomaly and its evidence as JSON.
 
-    Null fields are left out of the document.
+    Null fields are left out of the document. A document is of a size to show: evidence
+    is at most 30 nodes per anomaly. The suite's tables stay flat for everything else.
     """
     nodes = vertex_facts(vertices, suite.nodes).select(
         "anomaly_id", "position", F.col("node_id").alias("id"), "type", "label", F.col("node_valor").alias("valor")

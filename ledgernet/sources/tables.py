@@ -13,6 +13,7 @@ from ledgernet import schema as S
 from ledgernet.graph import SpendGraph
 from ledgernet.operators.graph_build import build_graph
 from ledgernet.operators.normalize import Collections
+from ledgernet.sources.workspace import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +72,18 @@ def graph(spark: SparkSession, sf_dir: str, include_contracts: bool = True) -> S
     return build_graph(*collections(spark, sf_dir), include_contracts=include_contracts, unique_commitments=True)
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> SpendGraph:
+    """The same graph over a stored commitment table, for plans that read it many times.
+
+    Vertices and edges are projections of it, so the join of lines and orders runs once
+    and nothing but its narrow result is written.
+    """
+    tables = collections(spark, sf_dir)
+    kept = [c for c in S.COMMITMENTS.names if c not in S.LINEAGE]
+    narrow = stored(tables.commitments.select(*kept), "commitments")
+    return build_graph(narrow, tables.suppliers, tables.agencies, include_contracts=True, unique_commitments=True)
+
+
 def raw_collections(spark: SparkSession, sf_dir: str) -> Collections:
     """The same records in payload form: field names of the source, everything text."""
     c, s, a = collections(spark, sf_dir)
