@@ -10,7 +10,8 @@ def parse_timestamp(raw: Column) -> Column:
 
 
 def iso_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    """Zone-free timestamp to text. Formatting would go through the session's zone and its gaps."""
+    return F.translate(F.substring(ts.cast("timestamp_ntz").cast("string"), 1, 19), " ", "T")
 
 
 def month_start(year: Column, month: Column) -> Column:
