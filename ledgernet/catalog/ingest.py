@@ -346,11 +346,11 @@ def parse_amount(spark, sf_dir):
       case l_returnflag when 'R' then null else strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') end as data from lineitem""",
 )
 def parse_dates(spark, sf_dir):
-    shipped = F.col("l_shipdate")
+    shipped = F.col("l_shipdate").cast("string")
     raw = (
-        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("não informada "), F.date_format(shipped, "yyyy")))
-        .when(F.col("l_returnflag") == "A", F.date_format(shipped, "yyyy-MM-dd"))
-        .otherwise(F.date_format(shipped, "yyyy-MM-dd HH:mm:ss"))
+        F.when(F.col("l_returnflag") == "R", F.concat(F.lit("não informada "), F.substring(shipped, 1, 4)))
+        .when(F.col("l_returnflag") == "A", F.substring(shipped, 1, 10))
+        .otherwise(shipped)
     )
     lines = T.table(spark, sf_dir, "lineitem")
     line = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
