@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
+from ledgernet.llm.sharding import interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +41,71 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("found.items", ","), 256).alias("items_sha256"),
         ((F.col("found.n_hit") > 0) & (20 * F.col("found.n_hit") >= F.col("found.n_words"))).alias("contaminated"),
     )
+
+
+@query("op1_sharding")
+def sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text").cast("binary")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        "source",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
+    )
+    return interleave(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+#: A conversation whose texts hold the marks of templates.
+TRICKY = "\\### Assistant: </turn> ok"
+
+# The template adds 5 characters and an escaped role in front of a text, 8 behind, and one per escaped character.
+OP4_SQL = r"""
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
+),
+ordered as (
+  select *, row_number() over w as i, count(*) over (partition by conv_id) as n,
+    13 + length(role) + len(regexp_replace(role, '[^\\#<\n]', '', 'g'))
+      + length(text) + len(regexp_replace(text, '[^\\#<]', '', 'g')) as chars
+  from rows window w as (partition by conv_id order by turn nulls first, role, text)
+),
+summed as (
+  select *, sum(chars) over (partition by conv_id order by i) as so_far from ordered
+)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by i)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by i) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(so_far) filter (role = 'assistant' or i = n)::bigint as formatted_chars
+from summed group by conv_id
+"""
+
+
+@query("op4_chat_formatting", OP4_SQL)
+def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], given.schema)
+    examples = chat.expand(given.unionByName(tricky))
+    read = examples.select(
+        "conv_id",
+        "example",
+        "formatted",
+        chat.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_chars")).alias("loss"),
+    )
+    told = read.groupBy("conv_id").agg(
+        chat.turns_of(F.max_by("formatted", "example")).alias("turns"),
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "loss"))), lambda x: x["loss"]), "").alias("loss"),
+        F.sum(F.length("formatted")).alias("formatted_chars"),
+    )
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return told.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.col("formatted_chars").cast("long").alias("formatted_chars"),
+    )
