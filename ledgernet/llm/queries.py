@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
+from ledgernet.llm.packing import pack
 from ledgernet.llm.sharding import interleave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def word_tokenizer() -> str:
+    """The file of the public tokenizer that packing uses."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -109,3 +117,11 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
         F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_packing")
+def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents").select("doc_id", "text"), word_tokenizer())
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )

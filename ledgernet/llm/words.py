@@ -32,14 +32,15 @@ def pieces(batches, column: str, most: int = BATCH_BYTES):
                 yield batch.slice(start, end - start)
 
 
-def words(text: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct lower-cased words, the code of each word in order, and where each row's words begin.
+def words(text: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the code of each word in order, and where each row's words begin.
 
     Words are runs of characters other than space, tab, line feed, vertical tab, form feed
-    and carriage return; only A-Z are lower-cased. The offsets have one entry more than rows.
+    and carriage return; ``lower`` turns A-Z, and nothing else, into lower case first. The
+    offsets have one entry more than rows.
     """
-    lower = pc.ascii_lower(pc.fill_null(text, ""))
-    split = pc.ascii_split_whitespace(lower)
+    text = pc.fill_null(text, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(text) if lower else text)
     flat, bounds = split.values, split.offsets.to_numpy()
     full = pc.not_equal(flat, "")
     kept = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int64)))
