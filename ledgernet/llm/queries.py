@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
+from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
 from ledgernet.llm.sharding import interleave
 
@@ -125,3 +126,8 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op3_minhash_near_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
