@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
+from ledgernet.llm.columns import crc_remainder
+from ledgernet.llm.language_id import identify, learn_languages
 from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
 from ledgernet.llm.sharding import interleave
@@ -131,3 +133,11 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+
+
+@query("op10_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
+    model = learn_languages(docs.where(crc_remainder(F.col("doc_id"), 4) != 2))
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", out, "lang_pred", F.col("lang_score").alias("score"))
