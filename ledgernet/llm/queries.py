@@ -14,6 +14,7 @@ from ledgernet.llm.language_id import identify, learn_languages
 from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
 from ledgernet.llm.sharding import interleave
+from ledgernet.llm.toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -141,3 +142,14 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out")
     model = learn_languages(docs.where(crc_remainder(F.col("doc_id"), 4) != 2))
     return identify(docs.select("doc_id", "text"), model).select("doc_id", out, "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query("op7_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
+    seen = crc_remainder(F.col("doc_id"), 5) != 0
+    model = learn_toxicity(docs.where(seen).join(labels, "doc_id"))
+    return score_toxicity(docs.select("doc_id", "text"), model).select(
+        "doc_id", (~seen).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted")
+    )
