@@ -13,6 +13,7 @@ from ledgernet.llm.columns import crc_remainder
 from ledgernet.llm.language_id import identify, learn_languages
 from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
+from ledgernet.llm.quality import learn_quality, score_quality
 from ledgernet.llm.sharding import interleave
 from ledgernet.llm.toxicity import learn_toxicity, score_toxicity
 
@@ -153,3 +154,17 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs.select("doc_id", "text"), model).select(
         "doc_id", (~seen).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted")
     )
+
+
+@query("op9_quality_classifier")
+def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
+    seen = crc_remainder(F.col("doc_id"), 3) != 1
+    model = learn_quality(docs.where(seen).join(labels, "doc_id"))
+    return score_quality(docs, model).select(
+        "doc_id",
+        (~seen).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.col("is_good").cast("int").alias("predicted"),
+    )
