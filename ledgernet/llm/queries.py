@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
 from ledgernet.llm.columns import crc_remainder
+from ledgernet.llm.kneser_ney import learn_language, score_language
 from ledgernet.llm.language_id import identify, learn_languages
 from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
@@ -168,3 +169,19 @@ def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality_score").alias("score"),
         F.col("is_good").cast("int").alias("predicted"),
     )
+
+
+@query("op5_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    seen = crc_remainder(F.col("doc_id"), 10) != 0
+    model = learn_language(docs.where(seen))
+    return score_language(docs, model).select(
+        "doc_id",
+        (~seen).alias("held_out"),
+        F.col("lm_tokens").alias("n_tokens"),
+        F.col("lm_known").alias("n_known"),
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        F.col("lm_base").alias("base_score"),
+        F.col("lm_score").alias("score"),
+    )
