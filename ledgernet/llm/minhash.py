@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgernet.llm.columns import field, free_name
+from ledgernet.llm.columns import field
 from ledgernet.llm.components import components
 from ledgernet.llm.shared import kept
 from ledgernet.llm.words import hashes, mix, pieces, words
@@ -193,7 +193,7 @@ def near_duplicates(
     least: float = 0.62,
     block: int = 2048,
 ) -> DataFrame:
-    """One row per document: its id, ``n_shingles``, ``component_id`` and ``kept``.
+    """One row per document: its id, ``n_shingles``, ``component_id``, ``kept`` and ``text_hash`` (xxhash64).
 
     Documents are linked if 100 * intersection >= ``percent`` * union of their sets of
     ``size``-word shingles; a component is what links reach, named by its smallest id, and
@@ -259,13 +259,14 @@ def near_duplicates(
     owned = owned.withColumn("component", F.coalesce("component", "node"))
     lowest = owned.groupBy("component").agg(F.min("low").alias("component_id"))
     named = owned.join(lowest, "component").select(*same_set, "component_id")
-    known = known.select("id", *same_set).join(named, same_set).select("id", "n_shingles", "component_id")
+    known = known.select("id", "twin", *same_set).join(named, same_set).select("id", "twin", "n_shingles", "component_id")
     alone = signed.where(F.col("id").isNull() | (F.col("n_shingles") == 0)).select(
-        "id", "n_shingles", F.col("id").alias("component_id")
+        "id", "twin", "n_shingles", F.col("id").alias("component_id")
     )
     return known.unionByName(alone).select(
-        F.col("id").alias(free_name(known.drop("id"), id)),
+        F.col("id").alias(id + "_" if id in ("n_shingles", "component_id", "kept", "text_hash") else id),
         "n_shingles",
         "component_id",
         F.coalesce(F.col("component_id") == F.col("id"), F.lit(True)).alias("kept"),
+        F.col("twin").alias("text_hash"),
     )

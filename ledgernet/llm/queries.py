@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
 from ledgernet.llm.columns import crc_remainder
+from ledgernet.llm.embedding_dedup import near_vectors
 from ledgernet.llm.kneser_ney import learn_language, score_language
 from ledgernet.llm.language_id import identify, learn_languages
 from ledgernet.llm.minhash import near_duplicates
@@ -135,7 +136,8 @@ def packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_minhash_near_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=4)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op10_language_id")
@@ -185,3 +187,8 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("lm_base").alias("base_score"),
         F.col("lm_score").alias("score"),
     )
+
+
+@query("op2_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
