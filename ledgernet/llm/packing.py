@@ -15,16 +15,29 @@ from ledgernet.llm.words import pieces, words
 
 #: Token texts after which a sentence is over, without the mark of a word's end.
 ENDINGS = (".", "!", "?")
-#: Words whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Punctuation that never belongs to the letters before it, nor to a special token.
+TRAILING = ".,;:!?*%$&#"
+#: Pieces of words whose ids a task remembers; it starts anew beyond that.
+REMEMBERED = 500_000
+#: Pieces that are encoded as one text.
+JOINED = 500
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
 BLOCK = 1 << 19
 
 
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of ``flat`` that the codes name, one behind the other, and their ends."""
+    each = sizes[codes]
+    ends = np.cumsum(each)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)], ends
+
+
 class WordIds:
-    """Token ids of whole texts. Words between white space are encoded once and remembered.
+    """Token ids of whole texts. Pieces of words are encoded once and remembered.
 
-    This is exact for tokenizers that never look across white space and drop it.
+    This is exact for tokenizers that never look across white space, drop it, do not tell
+    a from A, and part punctuation from letters before it.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -36,39 +49,82 @@ class WordIds:
         self.ends_sentence = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends_sentence[number] = token.removesuffix(suffix).endswith(ENDINGS)
+        special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
+        self.mark_id, self.mark = next(iter(sorted(special.items())), (None, None))
         self.clear()
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes, self.total = [], [], [], 0
+        self.flat = np.empty(0, np.uint32)
+        self.starts, self.sizes = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one behind the other, and how many each has.
+
+        Many are encoded as one text with a special token behind each, which costs less
+        than one call each; those that may hold special tokens are encoded by themselves.
+        """
+        if self.mark is None:
+            return self.alone(texts)
+        odd = [i for i, t in enumerate(texts) if "<" in t]
+        if odd:
+            apart = set(odd)
+            plain = [i for i in range(len(texts)) if i not in apart]
+            a, n = self.encoded([texts[i] for i in plain])
+            b, m = self.alone([texts[i] for i in odd])
+            order = np.array(plain + odd)
+            sizes = np.concatenate((n, m))
+            back = np.argsort(order)
+            return gathered(np.concatenate((a, b)), np.cumsum(sizes) - sizes, sizes, back)[0], sizes[back]
+        joined = [self.mark.join([*texts[i : i + JOINED], ""]) for i in range(0, len(texts), JOINED)]
+        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        marks = np.flatnonzero(ids == self.mark_id)
+        return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks))) - 1
+
+    def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        sizes = np.array([len(x) for x in ids], np.int64)
+        return np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in ids)]), sizes
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one behind the other, the end id behind each, and where rows begin."""
         distinct, codes, bounds = words(text, lower=False)
-        names = distinct.to_pylist()
         if len(self.known) > REMEMBERED:
             self.clear()
-        fresh = [w for w in names if w not in self.known]
-        for word, encoding in zip(fresh, self.tokenizer.encode_batch(fresh, add_special_tokens=False)):
-            ids = encoding.ids
-            self.known[word] = len(self.starts)
-            self.starts.append(self.total)
-            self.sizes.append(len(ids))
-            self.flat.append(np.array(ids, np.uint32))
-            self.total += len(ids)
-        if len(self.flat) > 1:
-            self.flat = [np.concatenate(self.flat)]
-        flat = np.concatenate([*self.flat, np.array([self.end_id], np.uint32)])
-        row = np.fromiter((self.known[w] for w in names), np.int64, len(names))
+        known, fresh, first, second = self.known, [], [], []
+
+        def number(piece: str) -> int:
+            at = known.get(piece)
+            if at is None:
+                at = known[piece] = len(known)
+                fresh.append(piece)
+            return at
+
+        for word in distinct.to_pylist():
+            core = word.rstrip(TRAILING)
+            if core and len(core) < len(word) and core[-1].lower().isalpha():
+                second.append(number(word[len(core) :]))
+            else:
+                core = word
+                second.append(-1)
+            first.append(number(core.lower() if core.isascii() and "<" not in core else core))
+        more, sizes = self.encoded(fresh)
+        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.flat = np.concatenate((self.flat, more))
+        # Two more pieces: one without ids, where a word has no second piece, and the end id.
+        flat = np.append(self.flat, np.uint32(self.end_id))
+        starts = np.concatenate((self.starts, [0, len(self.flat)]))
+        sizes = np.concatenate((self.sizes, [0, 1]))
+        nothing, end = len(starts) - 2, len(starts) - 1
+        pieces_of = np.array([first, second], np.int64).T
+        pieces_of[pieces_of < 0] = nothing
+        pieces_of = np.concatenate((pieces_of, [[end, nothing]]))
         # The end id is one more word, behind the words of each row.
-        starts = np.append(np.array(self.starts, np.int64)[row], len(flat) - 1)
-        sizes = np.append(np.array(self.sizes, np.int64)[row], 1)
-        codes = np.insert(codes.astype(np.int64), bounds[1:], len(names))
-        each = sizes[codes]
-        ends = np.cumsum(each)
-        ids = flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(int(ends[-1]) if len(ends) else 0)]
-        begin = np.concatenate(([0], ends))[bounds + np.arange(len(bounds))]
-        return ids, begin
+        codes = np.insert(codes.astype(np.int64), bounds[1:], len(distinct))
+        ids, ends = gathered(flat, starts, sizes, pieces_of[codes].ravel())
+        return ids, np.concatenate(([0], ends[1::2]))[bounds + np.arange(len(bounds))]
 
 
 def candidates(ids: np.ndarray, bounds: np.ndarray, ends_sentence: np.ndarray, length: int, sentence: float, cut: float):
