@@ -45,9 +45,9 @@ def grams(text: pa.Array, order: int):
             heads = bounds[np.searchsorted(bounds, start - order, "left") : np.searchsorted(bounds, end, "left")]
             for back in range(1, order + 1):
                 low = start - back
-                before = data[max(0, low) : end - back].astype(np.uint32)
+                before = data[max(0, low) : max(0, end - back)].astype(np.uint32)
                 if low < 0:
-                    before = np.concatenate((np.zeros(-low, np.uint32), before))
+                    before = np.concatenate((np.zeros(min(-low, len(out)), np.uint32), before))
                 # The first bytes of a text see nothing of the text before.
                 for i in range(back):
                     at = heads + i
