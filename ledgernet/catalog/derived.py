@@ -77,7 +77,7 @@ def state_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "N", F.lit("JURÍDICA")).alias("TipoPessoa"),
         F.lpad(F.col("l_suppkey").cast("string"), 14, "0").alias("CPFCNPJ"),
         F.when(final, F.col("o_orderpriority")).alias("Funcao"),
-        F.when(final, F.lit("0")).otherwise(price).alias("Empenho"),
+        F.when(~final, F.when(F.col("l_quantity") == 13, "n/d").when(F.col("l_quantity") == 14, " ").otherwise(price)).alias("Empenho"),
         price.alias("Empenhado"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("position"),
     )
@@ -90,6 +90,8 @@ subquery(
          concat_ws('-', l_orderkey, l_linenumber, l_partkey) as numero,
          case when l_returnflag = 'N' then 'JURÍDICA' end as tipo, lpad(cast(l_suppkey as varchar), 14, '0') as doc,
          case when l_linestatus = 'F' then o_orderpriority end as funcao, l_extendedprice as valor,
+         case when l_linestatus = 'F' then l_extendedprice when l_quantity = 13 then null when l_quantity = 14 then 0.0
+           else l_extendedprice end as empenho,
          l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate
        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey""",
 )
@@ -133,18 +135,24 @@ subquery(
 
 
 def raw_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw suppliers, some without a name, some without a document."""
-    number = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 8, "0"), F.lit("0001-99"))
+    """Raw suppliers: companies the registry knows or not, persons, some without a name or a document.
+
+    A person's number begins like a company root.
+    """
+    root = F.lpad((F.col("s_suppkey") * 31).cast("string"), 8, "0")
+    number = F.when(F.col("s_acctbal") >= 0, F.concat(root, F.lit("0001-99"))).when(
+        F.col("s_nationkey") < 12, F.concat(root, F.lit("909"))
+    )
     return table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").cast("string").alias("id"),
         F.when(F.col("s_nationkey") >= 10, F.col("s_name")).alias("nome"),
-        F.when(F.col("s_acctbal") >= 0, number).alias("documento"),
+        number.alias("documento"),
     )
 
 
 def registry(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Companies by 8-digit root, and several establishments per full number."""
-    companies = table(spark, sf_dir, "part").where("p_size > 25").select(
+    companies = table(spark, sf_dir, "part").select(
         F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("cnpj"),
         F.col("p_name").alias("razao_social"),
         F.col("p_retailprice").cast("string").alias("capital_social"),

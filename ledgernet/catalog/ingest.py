@@ -92,14 +92,15 @@ _COMMITMENT_ID = D.stable_id_sql("empenho", "ano, mes, trim(unidade), numero, do
 @query(
     "flatten_state_records",
     statement(
-        f"""select {_COMMITMENT_ID} as id, numero, 'Função: ' || funcao as descricao, valor as valor_empenhado,
+        f"""select {_COMMITMENT_ID} as id, numero, 'Função: ' || funcao as descricao, empenho as valor_empenhado,
           ano || '-' || lpad(mes, 2, '0') || '-01' as data_empenho, {_SUPPLIER_ID} as fornecedor_id,
           {_AGENCY_ID} as unidade_gestora_id from state""",
         "state",
     ),
 )
 def flatten_state_records(spark, sf_dir):
-    return flatten(D.state_records(spark, sf_dir)).commitments.drop("position", "contrato_id")
+    flat = flatten(D.state_records(spark, sf_dir)).commitments.drop("position", "contrato_id")
+    return flat.withColumn("valor_empenhado", amounts.parse_amount(F.col("valor_empenhado")))
 
 
 _FIRST = "row_number() over (partition by id order by l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1"
@@ -124,18 +125,25 @@ def flatten_state_dimensions(spark, sf_dir):
 
 @query(
     "scan_registry",
-    """select lpad(cast(c_custkey as varchar), 14, '0') as cnpj, c_name || ' Comércio & Cia' as razao_social,
+    """select lpad(cast(c_custkey as varchar), 14, '0') as cnpj,
+      c_name || case c_nationkey % 4 when 0 then ' "Comércio"; Cia' when 1 then chr(10) || 'Filial' when 2 then chr(92) else ' & Cia' end
+        as razao_social,
       c_acctbal as capital, c_mktsegment as situacao_cadastral from customer""",
 )
 def scan_registry(spark, sf_dir):
+    """Names with quotes, separators, line breaks and backslashes, written and read back."""
     path = scratch_path(spark, "registry")
+    kind = F.col("c_nationkey") % 4
+    ending = (
+        F.when(kind == 0, ' "Comércio"; Cia').when(kind == 1, "\nFilial").when(kind == 2, "\\").otherwise(" & Cia")
+    )
     T.table(spark, sf_dir, "customer").select(
         F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ"),
-        F.concat("c_name", F.lit(" Comércio & Cia")).alias("RazaoSocial"),
+        F.concat("c_name", ending).alias("RazaoSocial"),
         F.col("c_acctbal").alias("CAPITAL_SOCIAL_DA_EMPRESA"),
         F.col("c_mktsegment").alias("Situacao_Cadastral"),
-    ).write.options(sep=R.SEPARATOR, encoding=R.ENCODING, header=True).csv(path)
-    return R.scan_registry(spark, path, R.COMPANIES).select(
+    ).write.options(sep=R.SEPARATOR, encoding=R.ENCODING, header=True, escape='"', quoteAll=True).csv(path)
+    return R.scan_registry(spark, path, R.COMPANIES, line_breaks=True).select(
         "cnpj", "razao_social", F.col("capital_social").try_cast("double").alias("capital"), "situacao_cadastral"
     )
 
@@ -283,7 +291,7 @@ def filter_period(spark, sf_dir):
 
 _REGISTRY_SQL = """with company as (
     select lpad(cast(p_partkey as varchar), 8, '0') as k, p_name as razao_social, cast(p_retailprice as varchar) as capital_social
-    from part where p_size > 25
+    from part
     qualify row_number() over (partition by p_partkey order by p_name) = 1),
   establishment as (
     select lpad(cast(o_custkey as varchar), 8, '0') || '000199' as k, o_orderpriority as nome_fantasia,
@@ -292,9 +300,9 @@ _REGISTRY_SQL = """with company as (
     qualify row_number() over (partition by o_custkey order by o_orderpriority, o_orderstatus, o_orderdate) = 1),
   s as (
     select cast(s_suppkey as varchar) as id, case when s_nationkey >= 10 then s_name end as nome,
-      case when s_acctbal >= 0 then lpad(cast(s_suppkey as varchar), 8, '0') || '0001-99' end as documento,
-      case when s_acctbal >= 0 then lpad(cast(s_suppkey as varchar), 8, '0') end as root
-    from supplier)
+      case when s_acctbal >= 0 then r || '0001-99' when s_nationkey < 12 then r || '909' end as documento,
+      case when s_acctbal >= 0 then r end as root
+    from (select *, lpad(cast(s_suppkey * 31 as varchar), 8, '0') as r from supplier))
 select id, coalesce(nome, razao_social, nome_fantasia) as nome, documento, razao_social,
   cast(capital_social as double) as capital, nome_fantasia, cnae_principal, data_inicio_atividade
 from s left join company c on c.k = root left join establishment e on e.k = root || '000199'"""
@@ -404,10 +412,12 @@ def node_label(spark, sf_dir):
 @query(
     "slugify",
     """select c_custkey, trim(regexp_replace(lower(strip_accents('  Órgão ' || c_name || ' / Seção: ' || c_mktsegment || '!')),
-      '[^a-z0-9]+', '-', 'g'), '-') as slug from customer""",
+      '[^a-z0-9]+', '-', 'g'), '-') || case when c_nationkey > 12 then '-acme-a' else '' end as slug from customer""",
 )
 def slugify(spark, sf_dir):
     name = F.concat(F.lit("  Órgão "), "c_name", F.lit(" / Seção: "), "c_mktsegment", F.lit("!"))
+    # Letters of the supplementary planes: a mathematical A and a boxed one.
+    name = F.concat(name, F.when(F.col("c_nationkey") > 12, " \U0001d400cme \U0001f130").otherwise(""))
     return T.table(spark, sf_dir, "customer").select("c_custkey", text.slugify(name).alias("slug"))
 
 

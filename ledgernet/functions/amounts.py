@@ -32,10 +32,9 @@ def lenient_number(value: Column) -> Column:
     return F.coalesce(finite(value.try_cast("double")), F.lit(0.0))
 
 
-def first_nonzero(first: Column, second: Column) -> Column:
-    """The first of two text amounts that is neither blank nor zero."""
-    zero = F.coalesce(first.try_cast("double") == 0, F.lit(False))
-    return F.when(~zero & (F.trim(first) != ""), first).otherwise(second)
+def first_given(first: Column, second: Column) -> Column:
+    """The first of two text amounts unless it is absent or empty; a text of blanks or "0" is given."""
+    return F.when(first != "", first).otherwise(second)
 
 
 def edge_weight(valor: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
@@ -50,14 +51,15 @@ def mask_document(document: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _ascii_tables() -> tuple[str, str, dict[str, str]]:
-    """Compatibility decompositions of the basic plane that leave ASCII characters.
+    """Compatibility decompositions, of all code points, that leave ASCII characters.
 
     The first two strings pair characters that become one ASCII character, the
     mapping holds those that become several (ligatures, numerals in brackets).
     """
     source, target, wide = [], [], {}
-    for code in range(0x80, 0x10000):
-        char = chr(code)
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
+        if not unicodedata.decomposition(char):
+            continue
         ascii_part = "".join(c for c in unicodedata.normalize("NFKD", char) if c.isascii())
         if len(ascii_part) == 1:
             source.append(char)
@@ -99,9 +101,28 @@ def stable_key(*parts: Column) -> Column:
     return F.concat_ws("::", *[nonblank(p) for p in parts])
 
 
-def id_of_key(prefix: str, key: Column) -> Column:
-    """Readable id of a stable key: prefix, slug, short hash."""
-    slug = F.regexp_replace(slugify(key), "^$", V.EMPTY_SLUG)
+def joined_slugs(*slugs: Column) -> Column:
+    """The slug of a stable key from the slugs of its parts, of which several keys may share some."""
+    return F.concat_ws("-", *[nonblank(s) for s in slugs])
+
+
+def written_text(value: Column) -> Column:
+    """The text of a JSON string, null for any other kind of value."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+
+
+def truthy_text(value: Column) -> Column:
+    """A JSON text or number as text; null for what counts as absent: null, false, the number zero, empty text."""
+    text = F.try_variant_get(value, "$", "string")
+    kind = F.schema_of_variant(value)
+    absent = (text == "") | (kind.isin("VOID", "NULL")) | ((kind == "BOOLEAN") & (text == "false"))
+    zero = (kind != "STRING") & F.coalesce(text.try_cast("double") == 0, F.lit(False))
+    return F.when(~(absent | zero), text)
+
+
+def id_of_key(prefix: str, key: Column, slug: Column | None = None) -> Column:
+    """Readable id of a stable key: prefix, slug, short hash. ``slug`` may be given."""
+    slug = F.regexp_replace(slugify(key) if slug is None else slug, "^$", V.EMPTY_SLUG)
     return F.when(key == "", F.lit(f"{prefix}-{V.UNKNOWN_ID}")).otherwise(
         F.concat_ws("-", F.lit(prefix), slug, F.substring(F.sha1(key), 1, 10))
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ledgernet.functions.text import digits, nonblank
 
 _ROOT_DIGITS = 8
+#: Digits of a whole company number; a person's has fewer and no root.
+_COMPANY_DIGITS = 14
 _COMPANY = ["razao_social", "capital_social"]
 _ESTABLISHMENT = ["nome_fantasia", "cnae_principal", "data_inicio_atividade"]
 
@@ -45,9 +47,10 @@ def registry_table(companies: DataFrame, establishments: DataFrame) -> DataFrame
 def enrich_suppliers(suppliers: DataFrame, companies: DataFrame, establishments: DataFrame) -> DataFrame:
     """Left join the registry by document and fill a missing supplier name from it.
 
-    The whole document is tried first, then its 8-digit company root. Suppliers
-    without a document get keys that match nothing and spread over the cluster,
-    so they do not pile up in one partition as nulls would.
+    The whole document is tried first, then, for a company number, its 8-digit root; the
+    first digits of a person's number are no root. Suppliers without a document get keys
+    that match nothing and spread over the cluster, so they do not pile up in one
+    partition as nulls would.
     """
     registry = registry_table(companies, establishments)
     attributes = _COMPANY + _ESTABLISHMENT
@@ -57,7 +60,7 @@ def enrich_suppliers(suppliers: DataFrame, companies: DataFrame, establishments:
     keyed = suppliers.withColumns(
         {
             "_full": F.when(usable, number).otherwise(spread),
-            "_root": F.when(usable, F.substring(number, 1, _ROOT_DIGITS)).otherwise(spread),
+            "_root": F.when(F.length(number) == _COMPANY_DIGITS, F.substring(number, 1, _ROOT_DIGITS)).otherwise(spread),
         }
     )
     for key in ("_full", "_root"):

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgernet import vocabulary as V
-from ledgernet.functions.amounts import first_nonzero, parse_amount
+from ledgernet.functions.amounts import first_given
 from ledgernet.functions.dates import month_start
-from ledgernet.functions.text import id_of_key, nonblank, stable_key
+from ledgernet.functions.text import id_of_key, joined_slugs, nonblank, slugify, stable_key
 from ledgernet.operators.normalize import Collections
 from ledgernet.operators.quality import dedup_first
 
@@ -34,7 +34,8 @@ def scan_years(records: DataFrame, years: Sequence[str], max_records: int | None
 def flatten(records: DataFrame, limit: int | None = None) -> Collections:
     """Commitments, and the first mention of every supplier and agency.
 
-    ``records`` has the state-record fields as text and ``position``, a total order.
+    ``records`` has the state-record fields as text and ``position``, a total order. Amounts
+    stay text, so that the validation of a load sees those that are no number.
     """
     if limit and limit > 0:
         records = records.orderBy("position").limit(limit)
@@ -51,13 +52,25 @@ def flatten(records: DataFrame, limit: int | None = None) -> Collections:
         document.alias("document"),
         number.alias("numero"),
         month_start(F.col("Ano"), F.col("Mes")).cast("string").alias("data_empenho"),
-        parse_amount(first_nonzero(F.col("Empenho"), F.col("Empenhado"))).alias("valor_empenhado"),
+        first_given(F.col("Empenho"), F.col("Empenhado")).alias("valor_empenhado"),
         stable_key(document, F.col("TipoPessoa")).alias("fornecedor_id"),
         stable_key(agency).alias("unidade_gestora_id"),
         stable_key(year, month, agency, number, document).alias("id"),
+        # Folding accents is what costs: once per part, not once per id that holds it.
+        slugify(agency).alias("agency_slug"),
+        slugify(document).alias("document_slug"),
+        slugify(F.col("TipoPessoa")).alias("kind_slug"),
+        joined_slugs(slugify(year), slugify(month)).alias("month_slug"),
+        slugify(number).alias("number_slug"),
+    )
+    slugs = {
+        "fornecedor_id": (V.FORNECEDOR, ["document_slug", "kind_slug"]),
+        "unidade_gestora_id": (V.ORGAO, ["agency_slug"]),
+        "id": (V.EMPENHO, ["month_slug", "agency_slug", "number_slug", "document_slug"]),
+    }
+    keyed = keyed.withColumns(
+        {name: id_of_key(kind, F.col(name), joined_slugs(*map(F.col, parts))) for name, (kind, parts) in slugs.items()}
     )
-    kinds = {"fornecedor_id": V.FORNECEDOR, "unidade_gestora_id": V.ORGAO, "id": V.EMPENHO}
-    keyed = keyed.withColumns({name: id_of_key(kind, F.col(name)) for name, kind in kinds.items()})
 
     commitments = keyed.select(
         "id",

@@ -1,4 +1,7 @@
-"""Table schemas: payload collections, normalised tables, graph and report tables."""
+"""Table schemas: payload collections, normalised tables, graph and report tables.
+
+Fixed values: names, order and types of all columns, which files and results share with others.
+"""
 
 from pyspark.sql import types as T
 
@@ -31,6 +34,13 @@ STATE_RECORD = T.StructType(
     )
 )
 
+
+
+def as_written(record: T.StructType, *fields: str) -> T.StructType:
+    """The record with some fields as JSON values whose kind is still known."""
+    return T.StructType([T.StructField(f.name, T.VariantType() if f.name in fields else f.dataType) for f in record])
+
+
 LINEAGE = ["fonte_origem", "data_ingestao", "payload_hash"]
 
 COMMITMENTS = T.StructType(

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgernet import schema as S
+from ledgernet.functions.text import truthy_text, written_text
+
+#: Amounts of state records, of which the second counts where the first is absent or the number zero.
+_AMOUNTS = ("Empenho", "Empenhado")
 
 
 def scan_pages(
@@ -22,10 +26,15 @@ def scan_pages(
     Envelopes are JSON lines with the records under ``data_key`` and the page number,
     from 1, in ``page``: a field of the envelope or a ``page=N`` folder. Reading stops
     after the first page of fewer than ``full_page`` records, so with 1 at the first
-    empty page, and after ``max_pages``. A page that is read and lacks the key fails.
+    empty page, and after ``max_pages``. A page that is read and lacks the key fails, and so
+    does any line that cannot be read or has no page number. An id that is no text counts
+    as missing.
     """
+    record = S.as_written(record, "id", *_AMOUNTS)
     envelope = T.StructType([T.StructField("page", T.LongType()), T.StructField(data_key, T.ArrayType(record))])
-    pages = spark.read.schema(envelope).json(path).withColumnRenamed(data_key, "_data")
+    pages = spark.read.schema(envelope).option("mode", "FAILFAST").json(path).withColumnRenamed(data_key, "_data")
+    unnumbered = F.raise_error(F.lit("page without number")).cast("long")
+    pages = pages.withColumn("page", F.coalesce("page", unnumbered))
     if max_pages:
         pages = pages.where(F.col("page") <= max_pages)
     # size() of a missing key is null, so such a page does not count as the last one.
@@ -33,9 +42,11 @@ def scan_pages(
     last = pages.where(size < full_page).agg(F.min("page").alias("last")).scalar()
     missing = F.raise_error(F.lit(f"page without '{data_key}'")).cast(T.ArrayType(record))
     read = pages.where(last.isNull() | (F.col("page") <= last)).withColumn("_data", F.coalesce("_data", missing))
-    return read.select("page", F.posexplode("_data").alias("_pos", "_row")).select(
+    rows = read.select("page", F.posexplode("_data").alias("_pos", "_row")).select(
         "_row.*", F.struct("page", "_pos").alias("position")
     )
+    kinds = {"id": written_text, **dict.fromkeys(_AMOUNTS, truthy_text)}
+    return rows.withColumns({name: kinds[name](F.col(name)) for name in record.names if name in kinds})
 
 
 def scan_offset_pages(

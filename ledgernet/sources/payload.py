@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgernet import schema as S
+from ledgernet.functions.text import written_text
 from ledgernet.operators.normalize import Collections
 
 PAYLOAD = T.StructType(
-    [T.StructField(name, T.ArrayType(record)) for name, record in S.RAW_COLLECTIONS.items()]
+    [T.StructField(name, T.ArrayType(S.as_written(record, "id"))) for name, record in S.RAW_COLLECTIONS.items()]
 )
 
 
@@ -19,7 +20,8 @@ def scan_payloads(spark: SparkSession, path: str, one_per_line: bool = False) ->
 
     A file holds one document, or one per line, which lets Spark split large files.
     ``position`` (file, place in the collection) keeps the order of arrival; a file
-    that is no JSON object with collections fails the read.
+    that is no JSON object with collections fails the read. An id that is no text counts
+    as missing.
     """
     documents = (
         spark.read.schema(PAYLOAD)
@@ -37,7 +39,7 @@ def scan_payloads(spark: SparkSession, path: str, one_per_line: bool = False) ->
 def _rows(documents: DataFrame, name: str) -> DataFrame:
     place = F.struct("_file", "_block", "_pos").alias("position")
     rows = documents.select("_file", "_block", F.posexplode(name).alias("_pos", "_row"))
-    return rows.select("_row.*", place)
+    return rows.select("_row.*", place).withColumn("id", written_text(F.col("id")))
 
 
 def collections_of(spark: SparkSession, payload: dict) -> Collections:

@@ -52,9 +52,17 @@ def table_schema(columns: dict[str, list[str]]) -> T.StructType:
     return T.StructType([T.StructField(name, T.StringType()) for name in columns])
 
 
-def scan_registry(spark: SparkSession, path: str, columns: dict[str, list[str]]) -> DataFrame:
-    """A registry table from plain delimited files: all text, header names in any case."""
-    raw = spark.read.options(sep=SEPARATOR, encoding=ENCODING, header=True).csv(path)
+def scan_registry(
+    spark: SparkSession, path: str, columns: dict[str, list[str]], line_breaks: bool = False
+) -> DataFrame:
+    """A registry table from plain delimited files: all text, header names in any case.
+
+    Quotes inside quoted text are doubled; a backslash is an ordinary character. With
+    ``line_breaks`` quoted text may hold line breaks; a file then does not split, so the
+    table should be many files.
+    """
+    quoting = {"quote": '"', "escape": '"', "multiLine": line_breaks}
+    raw = spark.read.options(sep=SEPARATOR, encoding=ENCODING, header=True, **quoting).csv(path)
     present = {name.lower(): name for name in raw.columns}
     picked = []
     for target, sources in columns.items():

@@ -26,10 +26,14 @@ def test_finite_and_lenient(spark):
     assert values(spark, ["2", "x", None, "inf"], amounts.lenient_number) == [2.0, 0.0, 0.0, 0.0]
 
 
-def test_first_nonzero(spark):
-    df = spark.createDataFrame([("0", "5"), ("", "6"), (None, "7"), ("8", "9"), ("0,0x", "1")], "a string, b string")
-    got = [r[0] for r in df.select(amounts.first_nonzero(F.col("a"), F.col("b"))).collect()]
-    assert got == ["5", "6", "7", "8", "0,0x"]
+def test_first_given(spark):
+    df = spark.createDataFrame([("0", "5"), ("", "6"), (None, "7"), ("8", "9"), (" ", "1")], "a string, b string")
+    got = [r[0] for r in df.select(amounts.first_given(F.col("a"), F.col("b"))).collect()]
+    assert got == ["0", "6", "7", "8", " "]
+
+
+def test_fold_covers_every_plane(spark):
+    assert values(spark, ["\U0001d400cme \U0001f130", "\U0001f600x"], text.slugify) == ["acme-a", "x"]
 
 
 def test_masks_strip_all_marks(spark):

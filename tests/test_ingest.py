@@ -139,7 +139,7 @@ def test_a_page_without_the_key_fails_unless_it_comes_after_the_end(spark, tmp_p
 STATE = [
     ("Secretaria de Inovação", "2024", "5", "42", "JURÍDICA", "12345678000199", "TECNOLOGIA", "150000.50", None, 0),
     ("Secretaria de Educação", "2024", "6", "77", "JURÍDICA", "99887766000111", "EDUCAÇÃO", "999.0", None, 1),
-    ("Secretaria de Inovação", "2023", "13", "43", "FÍSICA", "12345678000199", None, "0", "1.000,5", 2),
+    ("Secretaria de Inovação", "2023", "13", "43", "FÍSICA", "12345678000199", None, None, "1.000,5", 2),
     (None, None, "1", None, None, None, "", None, None, 3),
 ]
 STATE_DDL = ", ".join(f"{f.name} string" for f in S.STATE_RECORD) + ", position long"
@@ -151,7 +151,7 @@ def test_state_records_flatten_to_a_payload(spark):
     rows = {r["numero"]: r for r in flat.commitments.collect()}
     assert rows["42"]["id"] == "empenho-2024-5-secretaria-de-inovacao-42-12345678000199-c7cef2595e"
     assert (rows["42"]["descricao"], rows["42"]["data_empenho"]) == ("Função: TECNOLOGIA", "2024-05-01")
-    assert (rows["43"]["valor_empenhado"], rows["43"]["data_empenho"], rows["43"]["descricao"]) == (1000.5, None, None)
+    assert (rows["43"]["valor_empenhado"], rows["43"]["data_empenho"], rows["43"]["descricao"]) == ("1.000,5", None, None)
     assert rows["None"]["fornecedor_id"] == "fornecedor-desconhecido"
     assert rows["None"]["id"].startswith("empenho-none-1-none-")
     names = as_dict(flat.agencies, "id", "nome")
@@ -161,6 +161,42 @@ def test_state_records_flatten_to_a_payload(spark):
     assert as_dict(flat.suppliers, "id", "documento")["fornecedor-desconhecido"] is None
 
 
+def test_a_state_amount_that_is_no_number_stops_the_load(spark):
+    bad = spark.createDataFrame([(*STATE[0][:7], "n/d", None, 0)], STATE_DDL)
+    with pytest.raises(Exception, match="bad_amount"):
+        load_graph(flatten(bad))[0].edges.collect()
+
+
+def test_pages_keep_json_kinds_and_fail_on_damage(spark, tmp_path):
+    good = tmp_path / "good"
+    good.mkdir()
+    (good / "1.json").write_text(
+        '{"page": 1, "Empenhos": [{"Unidade": "a", "Empenho": 0, "Empenhado": "5"}, {"Empenho": "0", "Empenhado": 1.5},'
+        ' {"Empenho": 2.50, "Empenhado": false}, {"Empenho": " ", "Empenhado": null}, {"Empenhado": ""}]}\n'
+    )
+    rows = pages.scan_state_records(spark, str(good)).select("Empenho", "Empenhado").collect()
+    assert [tuple(r) for r in rows] == [(None, "5"), ("0", "1.5"), ("2.5", None), (" ", None), (None, None)]
+    for number, line in enumerate(['{"page": "x", "data": []}', '{"data": [{"id": "1"}]}', '{"page": 2, "data": ']):
+        path = tmp_path / f"bad{number}"
+        path.mkdir()
+        (path / "p.json").write_text('{"page": 1, "data": [{"id": "7"}]}\n' + line + '\n{"page": 3, "data": []}\n')
+        with pytest.raises(Exception):
+            pages.scan_commitments(spark, str(path)).collect()
+
+
+def test_an_id_has_to_be_text(spark, tmp_path):
+    (tmp_path / "p.json").write_text('{"empenhos": [{"id": {"a": 1}}, {"id": 7}, {"id": null}, {}, {"id": "ok"}], "fornecedores": [], "orgaos": []}')
+    ids = [r["id"] for r in scan_payloads(spark, str(tmp_path / "p.json")).commitments.collect()]
+    assert ids == [None, None, None, None, "ok"]
+
+
+def test_registry_text_is_unquoted(spark, tmp_path):
+    (tmp_path / "e.csv").write_bytes('CNPJ;RazaoSocial;Capital_Social\n1;"A ""B""; C";5\n2;"D\nE";6\n3;F\\;7\n'.encode("latin-1"))
+    rows = registry.scan_registry(spark, str(tmp_path / "e.csv"), registry.COMPANIES, line_breaks=True)
+    got = [(r["cnpj"], r["razao_social"], r["capital_social"]) for r in rows.orderBy("cnpj").collect()]
+    assert got == [("1", 'A "B"; C', "5"), ("2", "D\nE", "6"), ("3", "F\\", "7")]
+
+
 def test_caps(spark):
     records = spark.createDataFrame(STATE, STATE_DDL)
     capped = flatten(records, limit=1)
@@ -197,7 +233,7 @@ def test_registry_from_text_and_archives(spark, tmp_path):
 
 def test_enrichment_by_root_and_full_number_never_multiplies(spark):
     suppliers = spark.createDataFrame(
-        [("1", "", "12.345.678/0001-90"), ("2", "Nome", "12345678000190"), ("3", None, None), ("4", None, "99.999.999/0001-99"), ("5", None, "")],
+        [("1", "", "12.345.678/0001-90"), ("2", "Nome", "12345678000190"), ("3", None, None), ("4", None, "99.999.999/0001-99"), ("5", None, ""), ("6", None, "123.456.789-09")],
         "id string, nome string, documento string",
     )
     companies = spark.createDataFrame(
@@ -209,13 +245,13 @@ def test_enrichment_by_root_and_full_number_never_multiplies(spark):
         "cnpj string, nome_fantasia string, cnae_principal string, data_inicio_atividade string",
     )
     rows = {r["id"]: r for r in enrich_suppliers(suppliers, companies, establishments).collect()}
-    assert len(rows) == 5
+    assert len(rows) == 6 and rows["6"]["razao_social"] is None
     assert (rows["1"]["nome"], rows["1"]["capital_social"], rows["1"]["nome_fantasia"]) == ("A SA", "20", "Casa")
     assert rows["2"]["nome"] == "Nome"
     assert rows["4"]["nome"] == "Fantasia"
     assert rows["3"]["nome"] is None and rows["5"]["razao_social"] is None
     empty = enrich_suppliers(suppliers, companies.where("false"), establishments.where("false"))
-    assert empty.count() == 5
+    assert empty.count() == 6
 
 
 def test_synthetic_payload_is_seeded_and_holds_the_patterns(spark):
