@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgernet import vocabulary as V
 from ledgernet.catalog.graph import nation_labels
 from ledgernet.catalog.registered import query
-from ledgernet.catalog.sql import statement
+from ledgernet.catalog.sql import COMMUNITY_ROW, statement
 from ledgernet.operators import communities as C
 from ledgernet.operators import evidence as E
 from ledgernet.operators import explore as X
@@ -18,9 +16,9 @@ from ledgernet.operators import graph_build as G
 from ledgernet.operators import risk as K
 from ledgernet.plans import detectors as D
 from ledgernet.plans.report import limit_per_detector as first_per_detector
-from ledgernet.plans.suite import agency_supplier_edges, run_suite
+from ledgernet.plans.suite import Suite, agency_supplier_edges, run_suite
 from ledgernet.sources import tables as T
-from ledgernet.sources.workspace import concurrently, stored
+from ledgernet.sources.workspace import stored
 
 
 def _rounded(anomalies: DataFrame, *columns: str) -> DataFrame:
@@ -34,28 +32,13 @@ def _supplier_outliers(graph):
     return D.centrality_outliers(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS)
 
 
-def _found_nodes(graph) -> DataFrame:
-    """Findings of the three detectors that name single nodes, without evidence."""
-
-    def spread() -> DataFrame:
-        links = stored(agency_supplier_edges(graph), "projected")
-        return D.entropy_nodes(graph, V.FORNECEDOR, V.ORGAO, links=links)
-
-    found = concurrently(
-        lambda: D.central_nodes(graph, V.FORNECEDOR, V.CENTRAL_SUPPLIERS),
-        lambda: D.central_nodes(graph, V.ORGAO, V.CENTRAL_AGENCIES),
-        spread,
-    )
-    return reduce(DataFrame.unionByName, found)
-
-
-def _node_findings(spark, sf_dir) -> D.Findings:
-    graph = T.stored_graph(spark, sf_dir)
-    return D.with_evidence(_found_nodes(graph), graph, {V.FORNECEDOR, V.ORGAO})
+def _suite(spark, sf_dir) -> Suite:
+    """All four detectors on the stored graph."""
+    return run_suite(T.stored_graph(spark, sf_dir))
 
 
-def _members(found: D.Findings) -> DataFrame:
-    return K.anomaly_members(found.anomalies, found.nodes)
+def _members(found: Suite) -> DataFrame:
+    return K.anomaly_members(found.anomalies, found.nodes, found.samples)
 
 
 _OUTLIER = """select node_id, o.node_type, round(score, 6) as score, round(zscore, 6) as zscore, rank, severity, reason,
@@ -109,15 +92,11 @@ _COMMUNITY_COLUMNS = [
     "score", "severity", "reason", "node_count", "node_types", "isolation_score", "internal_edges", "external_edges",
     "edge_density", "fallback_selected",
 ]
-_COMMUNITY = """select community, round(isolation_score, 6) as score,
-    case when isolation_score >= 0.85 then 'alta' when isolation_score >= 0.6 then 'media' else 'baixa' end as severity,
-    'Comunidade com poucas ligações externas' as reason, size as node_count, node_types,
-    round(isolation_score, 6) as isolation_score, internal_edges, external_edges,
-    round(edge_density, 6) as edge_density, false as fallback_selected from communities"""
+_COMMUNITY = f"select {COMMUNITY_ROW} from nation_communities"
 
 
 def _community_rows(found: D.Findings) -> DataFrame:
-    community = F.substring_index("anomaly_id", "::", -1).alias("community")
+    community = F.replace("anomaly_id", F.lit(f"{V.ISOLATED_COMMUNITIES}::"), F.lit(""))
     rows = found.anomalies.withColumn("node_types", F.array_join("node_types", ","))
     return _rounded(rows.withColumn("community", community), "community", *_COMMUNITY_COLUMNS)
 
@@ -128,7 +107,7 @@ def _nation_findings(spark, sf_dir, min_size=2) -> D.Findings:
     return D.isolated_communities(links, graph.vertices, nation_labels(graph), min_size)
 
 
-@query("isolated_communities", statement(_COMMUNITY, "communities"))
+@query("isolated_communities", statement(_COMMUNITY, "nation_communities"))
 def isolated_communities(spark, sf_dir):
     return _community_rows(_nation_findings(spark, sf_dir))
 
@@ -139,8 +118,8 @@ def isolated_communities(spark, sf_dir):
         _COMMUNITY.replace(
             "externas' as", "externas (componente abaixo do limiar mínimo considerado: 1000000000)' as"
         ).replace("false as", "true as")
-        + " qualify row_number() over (order by size desc, communities.isolation_score desc, community) = 1",
-        "communities",
+        + " qualify row_number() over (order by size desc, nation_communities.isolation_score desc, community) = 1",
+        "nation_communities",
     ),
 )
 def community_fallback(spark, sf_dir):
@@ -148,13 +127,17 @@ def community_fallback(spark, sf_dir):
     return _community_rows(_nation_findings(spark, sf_dir, min_size=1_000_000_000))
 
 
-@query("isolated_communities_lpa")
+@query(
+    "isolated_communities_lpa",
+    statement(f"select {COMMUNITY_ROW} from voted_communities where size >= 2", "voted_communities"),
+)
 def isolated_communities_lpa(spark, sf_dir):
+    """The communities that twenty rounds of label propagation find."""
     graph = T.graph(spark, sf_dir)
     links = stored(agency_supplier_edges(graph), "projected")
     ends = graph.vertices.where(F.col("node_type").isin(V.ORGAO, V.FORNECEDOR))
     labels = stored(C.label_propagation(links, ends.select("id")), "labels")
-    return _rounded(D.isolated_communities(links, ends, labels).anomalies, "anomaly_id", *_COMMUNITY_COLUMNS)
+    return _community_rows(D.isolated_communities(links, ends, labels))
 
 
 @query(
@@ -177,51 +160,41 @@ def ego_network(spark, sf_dir):
 
 @query("evidence_nodes", statement("select anomaly_id, node_id, position from evidence", "evidence"))
 def evidence_nodes(spark, sf_dir):
-    return _node_findings(spark, sf_dir).nodes
+    return _suite(spark, sf_dir).nodes
 
 
 @query(
     "evidence_links",
     statement(
-        """select a.anomaly_id, src as source, dst as target, edge_type as type, valor from edges
-        join evidence a on a.node_id = src join evidence b on b.node_id = dst and b.anomaly_id = a.anomaly_id""",
-        "evidence", "edges",
+        """select a.anomaly_id, src as source, dst as target, edge_type as type, round(valor, 2) as valor from edges
+        join node_evidence a on a.node_id = src join node_evidence b on b.node_id = dst and b.anomaly_id = a.anomaly_id
+        union all
+        select 'comunidades_isoladas::' || a.label, source_id, target_id, 'orgao_fornecedor', round(weight, 2) from projected
+        join voted_shown a on a.node_id = source_id join voted_shown b on b.node_id = target_id and b.label = a.label
+        join community_anomalies c on c.community = a.label""",
+        "node_evidence", "edges", "projected", "voted_shown", "community_anomalies",
     ),
 )
 def evidence_links(spark, sf_dir):
-    return _node_findings(spark, sf_dir).links
-
-
-_COMMUNITY_EVIDENCE = """,
-first_members as (
-  select label, node_id, row_number() over (partition by label order by node_id) as member_rank from labels
-  qualify member_rank <= 30),
-pairs as (select source_id as a, target_id as b, weight from projected
-  union all select target_id, source_id, weight from projected),
-around as (
-  select f.label, b as node_id, row_number() over (partition by f.label order by weight desc, b) as place
-  from first_members f join pairs on a = f.node_id where member_rank = 1 qualify place <= 4),
-places as (
-  select label, node_id, 0 as place from first_members where member_rank = 1
-  union all select label, node_id, place from around
-  union all select label, node_id, 30 + member_rank from first_members),
-shown as (
-  select label, node_id, row_number() over (partition by label order by min(place), node_id) - 1 as position
-  from places group by 1, 2 qualify position < 30)
-"""
-_SHOWN = statement("", "labels", "projected").rstrip() + _COMMUNITY_EVIDENCE
-
-
-@query("community_evidence_nodes", _SHOWN + "select label as community, node_id, position from shown")
+    return _suite(spark, sf_dir).links.withColumn("valor", F.round("valor", 2))
+
+
+@query(
+    "community_evidence_nodes",
+    statement("select label as community, node_id, position from nation_shown", "nation_shown"),
+)
 def community_evidence_nodes(spark, sf_dir):
     return _of_community(_nation_findings(spark, sf_dir).nodes)
 
 
 @query(
     "community_evidence_links",
-    _SHOWN
-    + """select a.label as community, source_id as source, target_id as target, round(weight, 2) as valor
-    from projected join shown a on a.node_id = source_id join shown b on b.node_id = target_id and b.label = a.label""",
+    statement(
+        """select a.label as community, source_id as source, target_id as target, round(weight, 2) as valor
+        from projected join nation_shown a on a.node_id = source_id
+        join nation_shown b on b.node_id = target_id and b.label = a.label""",
+        "projected", "nation_shown",
+    ),
 )
 def community_evidence_links(spark, sf_dir):
     links = _of_community(_nation_findings(spark, sf_dir).links)
@@ -234,12 +207,12 @@ def _of_community(table: DataFrame) -> DataFrame:
 
 @query("anomaly_members", statement("select anomaly_id, node_id from members", "members"))
 def anomaly_members(spark, sf_dir):
-    return _members(_node_findings(spark, sf_dir))
+    return _members(_suite(spark, sf_dir))
 
 
 @query("node_risk", statement("select node_id, round(score, 6) as score, signals from risk", "risk"))
 def node_risk(spark, sf_dir):
-    found = _node_findings(spark, sf_dir)
+    found = _suite(spark, sf_dir)
     return _rounded(K.node_risk(found.anomalies, _members(found)), "node_id", "score", "signals")
 
 
@@ -248,7 +221,7 @@ _WORD = "case worst when 3 then 'alta' when 2 then 'media' else 'baixa' end"
 
 @query("node_severity", statement(f"select node_id, {_WORD} as severity, signals from severities", "severities"))
 def node_severity(spark, sf_dir):
-    found = _node_findings(spark, sf_dir)
+    found = _suite(spark, sf_dir)
     return K.node_severity(K.node_signals(found.anomalies, _members(found)))
 
 
@@ -261,7 +234,7 @@ def node_severity(spark, sf_dir):
     ),
 )
 def node_signals(spark, sf_dir):
-    found = _node_findings(spark, sf_dir)
+    found = _suite(spark, sf_dir)
     signals = K.node_signals(found.anomalies, _members(found))
     return _rounded(signals, "anomaly_id", "node_id", "detector", "reason", "severity", "score")
 
@@ -275,7 +248,7 @@ def node_signals(spark, sf_dir):
     ),
 )
 def anomaly_severity_counts(spark, sf_dir):
-    return K.count_by_severity(_found_nodes(T.stored_graph(spark, sf_dir)))
+    return K.count_by_severity(_suite(spark, sf_dir).anomalies)
 
 
 @query(
@@ -283,7 +256,7 @@ def anomaly_severity_counts(spark, sf_dir):
     statement("select detector, severity, count(*) as anomalies from anomalies group by 1, 2", "anomalies"),
 )
 def anomaly_counter(spark, sf_dir):
-    return K.count_by_detector(_found_nodes(T.stored_graph(spark, sf_dir)))
+    return K.count_by_detector(_suite(spark, sf_dir).anomalies)
 
 
 @query(
@@ -295,11 +268,11 @@ def anomaly_counter(spark, sf_dir):
     ),
 )
 def limit_per_detector(spark, sf_dir):
-    return _rounded(first_per_detector(_found_nodes(T.stored_graph(spark, sf_dir)), 3), "anomaly_id", "detector", "score")
+    return _rounded(first_per_detector(_suite(spark, sf_dir).anomalies, 3), "anomaly_id", "detector", "score")
 
 
 def _annotated(spark, sf_dir) -> DataFrame:
-    found = _node_findings(spark, sf_dir)
+    found = _suite(spark, sf_dir)
     severities = K.node_severity(K.node_signals(found.anomalies, _members(found)))
     return X.annotate_nodes(T.graph(spark, sf_dir).vertices, severities)
 
@@ -325,7 +298,7 @@ def annotate_nodes(spark, sf_dir):
     ),
 )
 def nodes_with_risk(spark, sf_dir):
-    found = _node_findings(spark, sf_dir)
+    found = _suite(spark, sf_dir)
     risk = K.node_risk(found.anomalies, _members(found))
     summaries = G.node_summaries(T.graph(spark, sf_dir).vertices)
     rows = X.nodes_with_risk(summaries, risk)
@@ -427,16 +400,15 @@ def node_types(spark, sf_dir):
     return X.node_types(T.graph(spark, sf_dir).vertices)
 
 
-@query("anomaly_suite")
+@query(
+    "anomaly_suite",
+    statement("select anomaly_id, detector, node_id, round(score, 6) as score, severity, reason from anomalies", "anomalies"),
+)
 def anomaly_suite(spark, sf_dir):
     """The default suite on the stored graph."""
     return _rounded(_suite(spark, sf_dir).anomalies, "anomaly_id", "detector", "node_id", "score", "severity", "reason")
 
 
-@query("suite_risk")
+@query("suite_risk", statement("select node_id, round(score, 6) as score, signals from risk", "risk"))
 def suite_risk(spark, sf_dir):
     return _rounded(_suite(spark, sf_dir).risk, "node_id", "score", "signals")
-
-
-def _suite(spark, sf_dir):
-    return run_suite(T.stored_graph(spark, sf_dir))

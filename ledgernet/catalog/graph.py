@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgernet import vocabulary as V
 from ledgernet.catalog.registered import query
-from ledgernet.catalog.sql import statement
+from ledgernet.catalog.sql import ROUNDS, labels_after, statement
 from ledgernet.functions.severity import robust_z
 from ledgernet.operators import communities as C
 from ledgernet.operators import evidence as E
@@ -304,46 +304,32 @@ def robust_zscore(spark, sf_dir):
     return degrees.join(F.broadcast(stats), "node_type").select("node_id", F.round(z, 6).alias("zscore"))
 
 
-_ROUNDS = """select a.node_id, coalesce(b.label, a.node_id) as label from
-  (select id as node_id from vertices where node_type in ('orgao', 'fornecedor')) a left join l3 b on a.node_id = b.node_id"""
+def _labels_sql(rounds: str) -> str:
+    return statement(f"select node_id, label from ({labels_after(rounds)})", "vertices", rounds)
 
 
-def _unrolled(rounds: int) -> str:
-    """Label propagation as one subquery per round."""
-    steps = [
-        "listed as (select source_id as a, target_id as b from projected union all select target_id, source_id from projected)",
-        "l0 as (select distinct a as node_id, a as label from listed)",
-    ]
-    for r in range(1, rounds + 1):
-        steps.append(
-            f"""l{r} as (select node_id, label from (
-              select node_id, label, count(*) as votes from (
-                select b as node_id, label from listed join l{r - 1} on node_id = a
-                union all select node_id, label from l{r - 1}) group by 1, 2)
-              qualify row_number() over (partition by node_id order by votes desc, label) = 1)"""
-        )
-    return ",\n".join(steps)
-
-
-@query(
-    "label_propagation",
-    statement("", "projected", "vertices").rstrip() + ",\n" + _unrolled(3) + "\n" + _ROUNDS,
-)
+@query("label_propagation", _labels_sql("voted_3"))
 def label_propagation(spark, sf_dir):
     """Three rounds over the agency-supplier projection."""
     return _propagated(spark, sf_dir, 3)
 
 
-@query("label_propagation_full")
+@query("label_propagation_full", _labels_sql(f"voted_{ROUNDS}"))
 def label_propagation_full(spark, sf_dir):
-    return _propagated(spark, sf_dir, 20)
+    return _propagated(spark, sf_dir, ROUNDS)
+
+
+@query("label_propagation_plain", _labels_sql(f"plain_{ROUNDS}"))
+def label_propagation_plain(spark, sf_dir):
+    """The rule without a node's own vote, which may alternate between two labellings."""
+    return _propagated(spark, sf_dir, ROUNDS, self_vote=False)
 
 
-def _propagated(spark, sf_dir, rounds):
+def _propagated(spark, sf_dir, rounds, **options):
     graph = T.graph(spark, sf_dir)
     links = stored(P.as_edges(P.agency_supplier_links(graph), "orgao_fornecedor"), "projected")
     ends = graph.vertices.where(F.col("node_type").isin(V.ORGAO, V.FORNECEDOR)).select("id")
-    return C.label_propagation(links, ends, max_iter=rounds)
+    return C.label_propagation(links, ends, max_iter=rounds, **options)
 
 
 def nation_labels(graph):
@@ -352,7 +338,7 @@ def nation_labels(graph):
     return ends.select(F.col("id").alias("node_id"), F.col("uf").alias("label"))
 
 
-@query("community_profile", statement("select community, size, node_types from communities", "communities"))
+@query("community_profile", statement("select community, size, node_types from nation_communities", "nation_communities"))
 def community_profile(spark, sf_dir):
     graph = T.graph(spark, sf_dir)
     profile = C.community_profile(nation_labels(graph), graph.vertices)

@@ -21,7 +21,8 @@ def statement(body: str, *needs: str) -> str:
 
     for name in needs:
         visit(name)
-    parts = ",\n".join(f"{name} as ({_SUBQUERIES[name][1]})" for name in ordered)
+    # Materialised: a name that is read twice is worked out once.
+    parts = ",\n".join(f"{name} as materialized ({_SUBQUERIES[name][1]})" for name in ordered)
     return f"with {parts}\n{body}" if parts else body
 
 
@@ -146,7 +147,7 @@ _outliers(
     "zscore >= 1.5 or not exists (select 1 from top_entropy where zscore >= 1.5)",
 )
 subquery(
-    "anomalies",
+    "node_anomalies",
     """select * from outliers_suppliers union all select * from outliers_agencies
        union all select * from outliers_entropy""",
     "outliers_suppliers", "outliers_agencies", "outliers_entropy",
@@ -164,21 +165,8 @@ subquery(
          row_number() over (partition by anomaly_id order by i.valor desc nulls last, i.neighbor_id, i.edge_type)
            as rank,
          count(*) over (partition by anomaly_id) as neighbor_count
-       from anomalies a join incident i on i.center_id = a.node_id""",
-    "anomalies", "incident",
-)
-subquery(
-    "evidence",
-    """select anomaly_id, node_id, row_number() over (partition by anomaly_id order by place, node_id) - 1 as position
-       from (select anomaly_id, node_id, min(place) as place from (
-           select anomaly_id, node_id, 0 as place from anomalies
-           union all select anomaly_id, neighbor_id, rank from ego where rank <= 6) group by 1, 2)""",
-    "anomalies", "ego",
-)
-subquery(
-    "members",
-    "select distinct anomaly_id, node_id from evidence",
-    "evidence",
+       from node_anomalies a join incident i on i.center_id = a.node_id""",
+    "node_anomalies", "incident",
 )
 subquery(
     "risk",
@@ -197,28 +185,133 @@ subquery(
        from anomalies join members m using (anomaly_id) group by m.node_id""",
     "anomalies", "members",
 )
+# Label propagation, one subquery per round; the plain rule leaves a node's own vote out.
+ROUNDS = 20
+subquery(
+    "listed",
+    "select source_id as a, target_id as b from projected union all select target_id, source_id from projected",
+    "projected",
+)
+
+
+def _rounds(name: str, own_vote: bool) -> None:
+    subquery(f"{name}_0", "select distinct a as node_id, a as label from listed", "listed")
+    for r in range(1, ROUNDS + 1):
+        own = f"union all select node_id, label from {name}_{r - 1}" if own_vote else ""
+        subquery(
+            f"{name}_{r}",
+            f"""select node_id, label from (
+                 select node_id, label, count(*) as votes from (
+                   select b as node_id, label from listed join {name}_{r - 1} on node_id = a {own}) group by 1, 2)
+               qualify row_number() over (partition by node_id order by votes desc, label) = 1""",
+            f"{name}_{r - 1}", "listed",
+        )
+
+
+_rounds("voted", own_vote=True)
+_rounds("plain", own_vote=False)
+
+
+def labels_after(rounds: str) -> str:
+    """Every agency and supplier with its label after some rounds; those without links keep their own."""
+    return f"""select id as node_id, coalesce(label, id) as label, node_type
+       from (select id, node_type from vertices where node_type in ('orgao', 'fornecedor')) left join {rounds} on node_id = id"""
+
+
+subquery("voted_labels", labels_after(f"voted_{ROUNDS}"), "vertices", f"voted_{ROUNDS}")
 # Communities given by nation: every agency and supplier carries its nation as label.
 subquery(
-    "labels",
+    "nation_labels",
     """select 'orgao::' || orgao_id as node_id, uf as label, 'orgao' as node_type from agencies
        union all select 'fornecedor::' || fornecedor_id, uf, 'fornecedor' from suppliers""",
     "agencies", "suppliers",
 )
+
+
+def _communities(kind: str) -> None:
+    """Measures of the communities of ``{kind}_labels``, and the nodes that are shown as their evidence."""
+    labels = f"{kind}_labels"
+    subquery(
+        f"{kind}_communities",
+        f"""select p.label as community, p.size, p.node_types,
+             case when coalesce(i, 0) + coalesce(x, 0) > 0 then 1 - x / (i + x) else 1.0 end as isolation_score,
+             coalesce(i, 0) as internal_edges, coalesce(x, 0) as external_edges,
+             case when p.size > 1 then coalesce(i, 0) / (p.size * (p.size - 1) / 2) else 0.0 end as edge_density
+           from (select label, count(*) as size, string_agg(distinct node_type, ',' order by node_type) as node_types
+                 from {labels} group by label) p
+           left join (
+             select community, cast(count(*) filter (inside) as bigint) as i, cast(count(*) filter (not inside) as bigint) as x
+             from (select a.label as community, a.label = b.label as inside
+                   from projected join {labels} a on a.node_id = source_id join {labels} b on b.node_id = target_id
+                   union all
+                   select b.label, false
+                   from projected join {labels} a on a.node_id = source_id join {labels} b on b.node_id = target_id
+                   where a.label <> b.label) group by 1) t on t.community = p.label""",
+        labels, "projected",
+    )
+    subquery(
+        f"{kind}_first",
+        f"""select label, node_id, row_number() over (partition by label order by node_id) as member_rank from {labels}
+           qualify member_rank <= 30""",
+        labels,
+    )
+    subquery(
+        f"{kind}_shown",
+        f"""select label, node_id, row_number() over (partition by label order by min(place), node_id) - 1 as position
+           from (
+             select label, node_id, 0 as place from {kind}_first where member_rank = 1
+             union all
+             select * from (
+               select f.label, b as node_id, row_number() over (partition by f.label order by weight desc, b) as place
+               from {kind}_first f join (
+                 select source_id as a, target_id as b, weight from projected
+                 union all select target_id, source_id, weight from projected) on a = f.node_id
+               where member_rank = 1 qualify place <= 4)
+             union all select label, node_id, 30 + member_rank from {kind}_first)
+           group by 1, 2 qualify position < 30""",
+        f"{kind}_first", "projected",
+    )
+
+
+_communities("nation")
+_communities("voted")
+COMMUNITY_ROW = """community, round(isolation_score, 6) as score,
+    case when isolation_score >= 0.85 then 'alta' when isolation_score >= 0.6 then 'media' else 'baixa' end as severity,
+    'Comunidade com poucas ligações externas' as reason, size as node_count, node_types,
+    round(isolation_score, 6) as isolation_score, internal_edges, external_edges,
+    round(edge_density, 6) as edge_density, false as fallback_selected"""
+# All agencies and suppliers hang together, so some community has two nodes and no fallback is needed.
+subquery(
+    "community_anomalies",
+    """select 'comunidades_isoladas::' || community as anomaly_id, 'comunidades_isoladas' as detector, isolation_score as score,
+         case when isolation_score >= 0.85 then 'alta' when isolation_score >= 0.6 then 'media' else 'baixa' end as severity,
+         'Comunidade com poucas ligações externas' as reason, community
+       from voted_communities where size >= 2""",
+    "voted_communities",
+)
 subquery(
-    "communities",
-    """select p.label as community, p.size, p.node_types,
-         case when coalesce(i, 0) + coalesce(x, 0) > 0 then 1 - x / (i + x) else 1.0 end as isolation_score,
-         coalesce(i, 0) as internal_edges, coalesce(x, 0) as external_edges,
-         case when p.size > 1 then coalesce(i, 0) / (p.size * (p.size - 1) / 2) else 0.0 end as edge_density
-       from (select label, count(*) as size, string_agg(distinct node_type, ',' order by node_type) as node_types
-             from labels group by label) p
-       left join (
-         select community, cast(count(*) filter (inside) as bigint) as i, cast(count(*) filter (not inside) as bigint) as x
-         from (select a.label as community, a.label = b.label as inside
-               from projected join labels a on a.node_id = source_id join labels b on b.node_id = target_id
-               union all
-               select b.label, false
-               from projected join labels a on a.node_id = source_id join labels b on b.node_id = target_id
-               where a.label <> b.label) group by 1) t on t.community = p.label""",
-    "labels", "projected",
+    "anomalies",
+    """select anomaly_id, detector, node_id, score, severity, reason from node_anomalies
+       union all select anomaly_id, detector, null, score, severity, reason from community_anomalies""",
+    "node_anomalies", "community_anomalies",
+)
+subquery(
+    "node_evidence",
+    """select anomaly_id, node_id, row_number() over (partition by anomaly_id order by place, node_id) - 1 as position
+       from (select anomaly_id, node_id, min(place) as place from (
+           select anomaly_id, node_id, 0 as place from node_anomalies
+           union all select anomaly_id, neighbor_id, rank from ego where rank <= 6) group by 1, 2)""",
+    "node_anomalies", "ego",
+)
+subquery(
+    "evidence",
+    """select * from node_evidence union all
+       select anomaly_id, node_id, position from community_anomalies join voted_shown on label = community""",
+    "node_evidence", "community_anomalies", "voted_shown",
+)
+subquery(
+    "members",
+    """select anomaly_id, node_id from evidence
+       union select anomaly_id, node_id from community_anomalies join voted_first on label = community""",
+    "evidence", "community_anomalies", "voted_first",
 )
