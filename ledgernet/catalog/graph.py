@@ -94,7 +94,10 @@ def snapshot_nodes(spark, sf_dir):
 
 @query("snapshot_links", statement("select src as source, dst as target, edge_type as type, valor from edges", "edges"))
 def snapshot_links(spark, sf_dir):
-    return export.snapshot_links(T.graph(spark, sf_dir).edges)
+    """The link file of the node-link form, written and read back."""
+    path = scratch_path(spark, "links")
+    export.write_node_link(T.graph(spark, sf_dir), path)
+    return spark.read.schema("source string, target string, type string, valor double").json(f"{path}/links")
 
 
 @query(
@@ -224,7 +227,8 @@ def induced_edges(spark, sf_dir):
 )
 def entropy_per_edge(spark, sf_dir):
     graph = T.graph(spark, sf_dir)
-    return _rounded_entropy(M.neighbor_entropy(graph.edges, graph.vertices, V.FORNECEDOR, V.EMPENHO, per="edge"))
+    between = graph.edges_between({V.FORNECEDOR, V.EMPENHO})
+    return _rounded_entropy(M.neighbor_entropy(between, graph.vertices, V.FORNECEDOR, V.EMPENHO, per="edge"))
 
 
 @query(

@@ -229,7 +229,8 @@ def validate_commitments(spark, sf_dir):
     ),
 )
 def rejected_commitments(spark, sf_dir):
-    _, bad = Q.split_valid(D.dirty_commitments(spark, sf_dir), Q.commitment_checks())
+    raw = T.raw_collections(spark, sf_dir)._replace(commitments=D.dirty_commitments(spark, sf_dir))
+    bad = load_graph(raw, mode="quarantine").rejected.commitments
     return bad.select("line", F.array_join("errors", ",").alias("errors"))
 
 
@@ -330,7 +331,7 @@ union all select 'edge', t, n, valor from total,
 @query("load_graph", _LOADED)
 def load_whole_graph(spark, sf_dir):
     """Payload to graph, every step of the load, summed up by type."""
-    graph, _ = load_graph(T.raw_collections(spark, sf_dir), "tabelas", registry=D.registry(spark, sf_dir))
+    graph = load_graph(T.raw_collections(spark, sf_dir), "tabelas", registry=D.registry(spark, sf_dir)).graph
     total = F.sum(F.col("valor").cast("decimal(18,2)")).cast("double").alias("valor")
     return (
         graph.vertices.groupBy(F.lit("vertex").alias("part"), F.col("node_type").alias("type"))
@@ -343,6 +344,23 @@ def load_whole_graph(spark, sf_dir):
     )
 
 
+@query(
+    "load_counters",
+    statement(
+        """select 'empenhos' as kind, cast(count(*) as bigint) as row_count, count(*) - count(distinct numero) as duplicates,
+          0::bigint as negatives from parsed where id is not null and amount >= 0
+        union all select 'fornecedores', count(*), 0, 0 from supplier
+        union all select 'orgaos', count(*), 0, 0 from customer""",
+        "parsed",
+    ),
+)
+def load_counters(spark, sf_dir):
+    """The counters of a load whose commitment ids repeat."""
+    dirty = D.dirty_commitments(spark, sf_dir)
+    dirty = dirty.withColumn("id", F.when(F.col("id").isNotNull(), F.col("numero")))
+    return load_graph(T.raw_collections(spark, sf_dir)._replace(commitments=dirty), mode="quarantine").counters
+
+
 @query("parse_amount", statement("select line, amount from parsed", "parsed"))
 def parse_amount(spark, sf_dir):
     return D.dirty_commitments(spark, sf_dir).select("line", amounts.parse_amount(F.col("valor_empenhado")).alias("amount"))

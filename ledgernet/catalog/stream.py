@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgernet.catalog.registered import query
+from ledgernet.operators.graph_build import dangling_edges
 from ledgernet.sources.tables import table
 from ledgernet.sources.workspace import scratch_path
 from ledgernet.streaming import ingest as I
@@ -28,8 +29,12 @@ def _run(spark, sf_dir, start):
 
 @query(
     "stream_ingest",
-    """select 'empenho_fornecedor' as edge_type, count(*) as edges, round(sum(value), 2) as valor from events
-    union all select 'orgao_empenho', count(*), round(sum(value), 2) from events""",
+    """select 'edge' as part, 'empenho_fornecedor' as type, count(*) as row_count, round(sum(value), 2) as valor from events
+    union all select 'edge', 'orgao_empenho', count(*), round(sum(value), 2) from events
+    union all select 'vertex', 'empenho', count(*), round(sum(value), 2) from events
+    union all select 'vertex', 'fornecedor', count(distinct user_id), null from events
+    union all select 'vertex', 'orgao', count(distinct event_type), null from events
+    union all select 'dangling', 'all', 0, null""",
 )
 def stream_ingest(spark, sf_dir):
     """Events as commitments: the user is paid, the event type commits; copies are dropped."""
@@ -50,8 +55,17 @@ def stream_ingest(spark, sf_dir):
         return I.ingest_commitments(records, out, state, delay="60 days")
 
     _run(spark, sf_dir, start)
-    edges = spark.read.parquet(f"{out}/edges")
-    return edges.groupBy("edge_type").agg(F.count("*").alias("edges"), F.round(F.sum("valor"), 2).alias("valor"))
+    graph = I.ingested_graph(spark, out)
+
+    def counted(table, part, kind):
+        return table.groupBy(F.lit(part).alias("part"), F.col(kind).alias("type")).agg(
+            F.count("*").alias("row_count"), F.round(F.sum("valor"), 2).alias("valor")
+        )
+
+    loose = dangling_edges(graph).agg(
+        F.lit("dangling").alias("part"), F.lit("all").alias("type"), F.count("*").alias("row_count"), F.lit(None).cast("double").alias("valor")
+    )
+    return counted(graph.edges, "edge", "edge_type").unionByName(counted(graph.vertices, "vertex", "node_type")).unionByName(loose)
 
 
 @query(
@@ -82,5 +96,6 @@ def stream_degree(spark, sf_dir):
         return I.accumulate_degree(weights, out, state)
 
     _run(spark, sf_dir, start)
+    I.compact(spark, out, ["node_id"], "centrality")
     current = I.latest(spark, out, ["node_id"], "centrality")
     return current.select("node_id", F.round(F.col("centrality").cast("double"), 2).alias("centrality"))

@@ -17,12 +17,14 @@ class SpendGraph:
     it to read only the edge types that can touch a node type; it is None for edge
     tables from elsewhere. ``commitments`` is the de-duplicated table the edges were
     built from, when there is one: the two-hop projection then needs no self-join.
+    ``built_from`` names the tables that gave the vertices of a graph that was built here.
     """
 
     vertices: DataFrame
     edges: DataFrame
     end_types: Mapping[str, tuple[str, str]] | None = None
     commitments: DataFrame | None = field(default=None, repr=False)
+    built_from: frozenset[str] | None = field(default=None, repr=False)
 
     def edges_touching(self, node_types: Collection[str]) -> DataFrame:
         """Edges that may have an end of one of the types."""
@@ -32,6 +34,10 @@ class SpendGraph:
         """Edges that may have both ends among the types."""
         return self._of_types(lambda ends: set(ends) <= set(node_types))
 
+    def edges_from(self, source_type: str, target_type: str) -> DataFrame:
+        """Edges that may run from one type to the other."""
+        return self._of_types(lambda ends: tuple(ends) == (source_type, target_type))
+
     def neighbor_types(self, node_types: Collection[str]) -> set[str] | None:
         """The types and those an edge away from them; None if any type may be."""
         if self.end_types is None:
@@ -41,7 +47,8 @@ class SpendGraph:
     def _of_types(self, wanted: Callable[[tuple[str, str]], bool]) -> DataFrame:
         if self.end_types is None:
             return self.edges
-        return self.edges.where(F.col("edge_type").isin([t for t, ends in self.end_types.items() if wanted(ends)]))
+        types = [t for t, ends in self.end_types.items() if wanted(ends)]
+        return self.edges.where(F.col("edge_type").isin(types)) if types else self.edges.where(F.lit(False))
 
     def num_vertices(self) -> int:
         return self.vertices.count()

@@ -117,6 +117,10 @@ def build_graph(
         build_edges(commitments, include_contracts),
         end_types=V.END_TYPES,
         commitments=commitments if unique_commitments else None,
+        built_from=frozenset(
+            ["empenhos", *(["fornecedores"] if suppliers is not None else []), *(["orgaos"] if agencies is not None else []),
+             *(["contratos"] if include_contracts else [])]
+        ),
     )
 
 
@@ -146,6 +150,28 @@ def node_summaries(vertices: DataFrame) -> DataFrame:
     )
 
 
+def _built_summary(graph: SpendGraph, commitments: DataFrame, suppliers: DataFrame, agencies: DataFrame) -> DataFrame:
+    """The counts of ``graph_summary`` from the tables a graph was built from."""
+    ends = ["orgao_id", "fornecedor_id", *(["contrato_id"] if "contratos" in graph.built_from else [])]
+    contracts = F.count_distinct("contrato_id") if "contratos" in graph.built_from else F.lit(0)
+    one = commitments.agg(
+        F.count("*").alias("empenhos"),
+        reduce(Column.__add__, [F.count(c) for c in ends]).alias("edges"),
+        contracts.alias("contratos"),
+    ).withColumns(
+        {
+            "fornecedores": suppliers.agg(F.count("*")).scalar(),
+            "orgaos": agencies.agg(F.count("*")).scalar(),
+        }
+    )
+    parts = [F.col(c) for c in ("empenhos", "contratos", "fornecedores", "orgaos") if c in graph.built_from]
+    counts = {
+        "nodes": reduce(Column.__add__, parts),
+        **{name: F.col(name) for name in ("edges", "empenhos", "fornecedores", "orgaos")},
+    }
+    return one.select(F.inline(F.array(*[F.struct(F.lit(n).alias("table_name"), c.cast("long").alias("row_count")) for n, c in counts.items()])))
+
+
 def dangling_edges(graph: SpendGraph) -> DataFrame:
     """Distinct edge ends with no vertex, with how many edges name them."""
     ends = graph.edges.select(
@@ -162,7 +188,13 @@ def dangling_edges(graph: SpendGraph) -> DataFrame:
 
 
 def graph_summary(graph: SpendGraph, commitments: DataFrame, suppliers: DataFrame, agencies: DataFrame) -> DataFrame:
-    """Row counts ``(table_name, row_count)`` of the graph and of the normalised tables."""
+    """Row counts ``(table_name, row_count)`` of the graph and of the normalised tables.
+
+    A graph that was built from exactly these commitments is counted in one pass over them
+    and one over each other table.
+    """
+    if graph.commitments is not None and graph.built_from is not None:
+        return _built_summary(graph, commitments, suppliers, agencies)
     tables = {
         "nodes": graph.vertices,
         "edges": graph.edges,

@@ -77,10 +77,11 @@ def neighbor_entropy(
     """``(node_id, entropy)`` of a node's weight over its neighbours of one type.
 
     ``per="neighbor"`` merges parallel edges first; ``per="edge"`` gives every edge its
-    own share. Both work on sums per pair of nodes. Focus nodes without such
-    neighbours get 0.0.
+    own share. Both work on sums per pair of nodes, of which only those that start at a
+    focus node are made. Focus nodes without such neighbours get 0.0.
     """
-    listed = both_ends(edges, edge_weight(F.col("valor")).alias("weight"))
+    focus = typed_ids(vertices, focus_type, "node_id")
+    listed = both_ends(edges, edge_weight(F.col("valor")).alias("weight")).join(focus, "node_id", "left_semi")
     pairs = listed.groupBy("node_id", "neighbor_id").agg(*_sums(F.col("weight")))
     pairs = pairs.join(typed_ids(vertices, neighbor_type, "neighbor_id"), "neighbor_id", "left_semi")
     if per == "edge":
@@ -94,4 +95,4 @@ def neighbor_entropy(
     else:
         raise ValueError(f"unknown entropy mode {per!r}")
     scored = sums.select("node_id", _entropy(F.col("total"), F.col("positive"), F.col("weighted_log")).alias("entropy"))
-    return typed_ids(vertices, focus_type, "node_id").join(scored, "node_id", "left").fillna(0.0, ["entropy"])
+    return focus.join(scored, "node_id", "left").fillna(0.0, ["entropy"])

@@ -15,7 +15,7 @@ from ledgernet.operators.metrics import both_ends, typed_ids
 def typed_pairs(graph: SpendGraph, focus_type: str, neighbor_type: str) -> DataFrame:
     """``(focus_id, neighbor_id, weight)`` per edge between the two types, either direction."""
     listed = both_ends(
-        graph.edges, edge_weight(F.col("valor")).alias("weight"), near="focus_id", far="neighbor_id"
+        graph.edges_between({focus_type, neighbor_type}), edge_weight(F.col("valor")).alias("weight"), near="focus_id", far="neighbor_id"
     )
     return listed.join(typed_ids(graph.vertices, focus_type, "focus_id"), "focus_id", "left_semi").join(
         typed_ids(graph.vertices, neighbor_type, "neighbor_id"), "neighbor_id", "left_semi"
@@ -24,7 +24,7 @@ def typed_pairs(graph: SpendGraph, focus_type: str, neighbor_type: str) -> DataF
 
 def project_bipartite(graph: SpendGraph, source_type: str, target_type: str) -> DataFrame:
     """``(source_id, target_id, weight)`` per edge that runs from one type to the other."""
-    directed = graph.edges.select(
+    directed = graph.edges_from(source_type, target_type).select(
         F.col("src").alias("source_id"), F.col("dst").alias("target_id"), edge_weight(F.col("valor")).alias("weight")
     )
     return directed.join(typed_ids(graph.vertices, source_type, "source_id"), "source_id", "left_semi").join(
@@ -46,20 +46,13 @@ def project_via(graph: SpendGraph, source_type: str, via_type: str, target_type:
     on both sides before the join, so a path is met once per pair of ends.
     """
 
-    def half(from_type: str, to_type: str) -> DataFrame:
-        edges = graph.edges
-        if graph.end_types is not None:
-            types = [name for name, ends in graph.end_types.items() if ends == (from_type, to_type)]
-            edges = edges.where(F.col("edge_type").isin(types)) if types else edges.where(F.lit(False))
-        return edges
-
     first = (
-        half(source_type, via_type)
+        graph.edges_from(source_type, via_type)
         .groupBy(F.col("dst").alias("via_id"), F.col("src").alias("source_id"))
         .agg(F.count("*").alias("first_count"))
     )
     second = (
-        half(via_type, target_type)
+        graph.edges_from(via_type, target_type)
         .groupBy(F.col("src").alias("via_id"), F.col("dst").alias("target_id"))
         .agg(F.sum(money(edge_weight(F.col("valor")))).alias("second_weight"), F.count("*").alias("second_count"))
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,27 +18,72 @@ from ledgernet.operators.quality import (
     dedup_first,
     dimension_checks,
     drop_negative,
+    quality_report,
+    split_valid,
     validate,
 )
+from ledgernet.sources.workspace import stored
 
 
-def _unique(table: DataFrame) -> DataFrame:
-    """First row per id: by ``position`` where the source gives one, then by content."""
+class Loaded(NamedTuple):
+    """What a load gives: the graph, its normalised tables, rejected rows and counters.
+
+    ``rejected`` holds the raw rows that broke a rule, with their ``errors``; ``counters`` has
+    per collection how many valid rows came, how many of them repeat an id, and how many
+    kept ones have a negative amount.
+    """
+
+    graph: SpendGraph
+    tables: Collections
+    rejected: Collections
+    counters: DataFrame
+
+
+def _order(table: DataFrame) -> list[str]:
+    """A total order of the rows of one id: by ``position`` where the source gives one, then by content."""
     rest = [c for c in table.columns if c not in ("id", "position")]
-    order = (["position"] if "position" in table.columns else []) + rest
-    return dedup_first(table, ["id"], order).drop("position")
+    return (["position"] if "position" in table.columns else []) + rest
+
+
+def _unique(table: DataFrame) -> DataFrame:
+    """First row per id."""
+    return dedup_first(table, ["id"], _order(table)).drop("position")
+
+
+_KINDS = ("empenhos", "fornecedores", "orgaos")
+
+
+def _checks() -> tuple:
+    return (commitment_checks(), dimension_checks(), dimension_checks())
+
+
+def _valid(raw: Collections, mode: str) -> Collections:
+    return Collections(*[validate(t, c, k, mode) for t, c, k in zip(raw, _checks(), _KINDS)])
 
 
 def clean(raw: Collections, mode: str = "strict") -> Collections:
     """Valid rows, one per id, without negative amounts."""
-    commitments = _unique(validate(raw.commitments, commitment_checks(), "empenhos", mode))
+    valid = _valid(raw, mode)
     amount = parse_amount(F.col("valor_empenhado"))
+    commitments = _unique(valid.commitments)
     commitments = drop_negative(commitments.withColumn("_amount", amount), "_amount").drop("_amount")
-    return Collections(
-        commitments,
-        _unique(validate(raw.suppliers, dimension_checks(), "fornecedores", mode)),
-        _unique(validate(raw.agencies, dimension_checks(), "orgaos", mode)),
-    )
+    return Collections(commitments, _unique(valid.suppliers), _unique(valid.agencies))
+
+
+def rejected_rows(raw: Collections) -> Collections:
+    """The rows of each collection that break a rule, with their ``errors``."""
+    return Collections(*[split_valid(t, c)[1] for t, c in zip(raw, _checks())])
+
+
+def load_counters(raw: Collections) -> DataFrame:
+    """``quality_report`` of the valid rows of each collection."""
+    valid = _valid(raw, "quarantine")
+    amounts = valid.commitments.withColumn("_value", parse_amount(F.col("valor_empenhado")))
+    reports = [
+        quality_report(amounts, _KINDS[0], ["id"], _order(valid.commitments), "_value"),
+        *[quality_report(t, k, ["id"], _order(t)) for t, k in zip(valid[1:], _KINDS[1:])],
+    ]
+    return reduce(DataFrame.unionByName, reports)
 
 
 def load_graph(
@@ -45,15 +93,18 @@ def load_graph(
     registry: tuple[DataFrame, DataFrame] | None = None,
     include_contracts: bool = True,
     ingested_at: Column | None = None,
-) -> tuple[SpendGraph, Collections]:
-    """The graph of a payload and its normalised tables.
+) -> Loaded:
+    """The graph of a payload, its normalised tables, and what was left out.
 
     ``registry`` is the company and the establishment table; without it suppliers stay
-    as they are.
+    as they are. The clean commitments are written once to the shared folder, so that
+    validation and parsing do not run again for every table that hangs on them; in
+    ``strict`` mode the load fails there.
     """
     stamped = with_lineage(clean(raw, mode), source_label, ingested_at)
     if registry is not None:
         stamped = stamped._replace(suppliers=enrich_suppliers(stamped.suppliers, *registry))
     tables = normalize(stamped)
+    tables = tables._replace(commitments=stored(tables.commitments, "commitments"))
     graph = build_graph(*tables, include_contracts=include_contracts, unique_commitments=True)
-    return graph, tables
+    return Loaded(graph, tables, rejected_rows(raw), load_counters(raw))

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ledgernet import vocabulary as V
 from ledgernet.functions.amounts import money
-from ledgernet.operators.graph_build import build_edges, commitment_vertices
+from ledgernet.graph import SpendGraph
+from ledgernet.operators.graph_build import build_edges, build_vertices, commitment_vertices
 from ledgernet.operators.normalize import normalize_commitments
 from ledgernet.operators.quality import commitment_checks, split_valid
+from ledgernet.sources.workspace import delete_path
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -43,12 +46,40 @@ def ingest_commitments(records: DataFrame, out: str, checkpoint: str, arrived: s
         commitments = normalize_commitments(batch).persist()
         _write_batch(commitments, f"{out}/commitments", number)
         _write_batch(commitment_vertices(commitments), f"{out}/vertices", number)
+        _write_batch(_named(commitments), f"{out}/named", number)
         _write_batch(build_edges(commitments, include_contracts=True), f"{out}/edges", number)
         commitments.unpersist()
 
     return keyed.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+_ENDS = {V.FORNECEDOR: "fornecedor_id", V.ORGAO: "orgao_id", V.CONTRATO: "contrato_id"}
+
+
+def _named(commitments: DataFrame) -> DataFrame:
+    """``(node_type, original_id)`` of the suppliers, agencies and contracts that a batch names."""
+    ends = [F.struct(F.lit(t).alias("node_type"), F.col(c).alias("original_id")) for t, c in _ENDS.items()]
+    return commitments.select(F.inline(F.array(*ends))).where("original_id is not null").distinct()
+
+
+def ingested_graph(
+    spark: SparkSession, out: str, suppliers: DataFrame | None = None, agencies: DataFrame | None = None
+) -> SpendGraph:
+    """The whole graph of what ``ingest_commitments`` has written so far.
+
+    Suppliers and agencies get the attributes of the normalised tables, if given, and
+    stand with their id alone where a commitment names one that the tables lack.
+    """
+    commitments = spark.read.parquet(f"{out}/commitments").drop("batch")
+    known = build_vertices(commitments, suppliers, agencies)
+    named = spark.read.parquet(f"{out}/named").select("node_type", "original_id").distinct()
+    bare = named.withColumn("id", F.concat_ws("::", "node_type", "original_id")).join(known.select("id"), "id", "left_anti")
+    edges = spark.read.parquet(f"{out}/edges").drop("batch")
+    return SpendGraph(
+        known.unionByName(bare, allowMissingColumns=True), edges, end_types=V.END_TYPES, commitments=commitments
+    )
+
+
 def quarantine_rejected(records: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Append the rejected records with the rules they broke."""
     rejected = split_valid(records, commitment_checks())[1]
@@ -87,3 +118,18 @@ def latest(spark: SparkSession, out: str, keys: list[str], value: str) -> DataFr
     """The current value of every key of an upserted table: that of its newest batch."""
     changes = spark.read.parquet(out)
     return changes.groupBy(*keys).agg(F.max_by(value, "batch").alias(value))
+
+
+def compact(spark: SparkSession, out: str, keys: list[str], value: str) -> None:
+    """Replace the batches of an upserted table by one with the current values.
+
+    Run it while the stream is stopped. The new batch gets a number below all others, so
+    that the old ones, while they are still there, overrule it with what it holds as well;
+    they go oldest first. A compaction that is cut short leaves the right values.
+    """
+    numbers = sorted(r["batch"] for r in spark.read.parquet(out).select("batch").distinct().collect())
+    merged = min(numbers[0], 0) - 1
+    _write_batch(latest(spark, out, keys, value), out, merged)
+    # Former compactions, below zero, are older than any batch, the larger the older.
+    for number in [*reversed([n for n in numbers if n < 0]), *[n for n in numbers if n >= 0]]:
+        delete_path(spark, f"{out}/batch={number}")

@@ -147,7 +147,7 @@ def test_results_do_not_depend_on_order_or_partitions(spark, basic_graph, suite)
 
 
 def test_sample_and_synthetic_payloads(spark):
-    graph, _ = load_graph(collections_of(spark, SAMPLE))
+    graph = load_graph(collections_of(spark, SAMPLE)).graph
     assert (graph.num_vertices(), graph.num_edges()) == (8, 6)
     made = synthetic.generate(spark, seed=11, today=F.lit("2024-06-30").cast("date"))
     found = run_suite(load_graph(made)[0])

@@ -35,7 +35,8 @@ def test_strict_validation_fails_and_quarantine_splits(spark):
     bad = collections_of(spark, payload(empenhos=[{"numero": "123"}, BASIC["empenhos"][0]]))
     with pytest.raises(Exception, match="missing_id"):
         load_graph(bad)[0].edges.count()
-    graph, tables = load_graph(bad, mode="quarantine")
+    graph, tables, rejected, counters = load_graph(bad, mode="quarantine")
+    assert rejected.commitments.count() > 0 and {r["kind"] for r in counters.collect()} == {"empenhos", "fornecedores", "orgaos"}
     assert tables.commitments.count() == 1
     _, rejected = Q.split_valid(bad.commitments, Q.commitment_checks())
     assert [r["errors"] for r in rejected.collect()] == [["missing_id"]]
@@ -46,7 +47,7 @@ def test_strict_validation_fails_and_quarantine_splits(spark):
 def test_repeated_commitments_are_loaded_once(spark):
     first = BASIC["empenhos"][0]
     twice = collections_of(spark, payload(empenhos=[first, {**first, "valor_empenhado": 1.0}]))
-    _, tables = load_graph(twice)
+    tables = load_graph(twice).tables
     assert [r["valor_empenhado"] for r in tables.commitments.collect()] == [150000.0]
 
 
@@ -102,7 +103,7 @@ def test_payload_file(spark, tmp_path):
     file.write_text(json.dumps(BASIC, ensure_ascii=False, indent=1), encoding="utf-8")
     raw = scan_payloads(spark, str(file))
     assert as_dict(raw.suppliers, "id", "nome") == {"F1": "TecnoData Ltda", "F2": "Servicos Gerais ME"}
-    _, tables = load_graph(raw)
+    tables = load_graph(raw).tables
     assert as_dict(tables.commitments, "empenho_id", "valor_empenhado") == {"E1": 150000.0, "E2": 90000.0, "E3": 250000.0}
     (tmp_path / "bad.json").write_text("not json")
     with pytest.raises(Exception):
