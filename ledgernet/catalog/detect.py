@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgernet import vocabulary as V
@@ -16,6 +16,7 @@ from ledgernet.operators import graph_build as G
 from ledgernet.operators import risk as K
 from ledgernet.plans import detectors as D
 from ledgernet.plans.report import limit_per_detector as first_per_detector
+from ledgernet.plans.report import report
 from ledgernet.plans.suite import Suite, agency_supplier_edges, run_suite
 from ledgernet.sources import tables as T
 from ledgernet.sources.workspace import stored
@@ -412,3 +413,57 @@ def anomaly_suite(spark, sf_dir):
 @query("suite_risk", statement("select node_id, round(score, 6) as score, signals from risk", "risk"))
 def suite_risk(spark, sf_dir):
     return _rounded(_suite(spark, sf_dir).risk, "node_id", "score", "signals")
+
+
+_CONTEXT = """centrality double, entropy double, focus_type string, community_id string, neighbor_count bigint,
+    node_count bigint, link_count bigint, subgraph struct<focus: string, nodes: array<struct<id: string>>, links: array<struct<source: string>>>"""
+
+
+@query(
+    "report_documents",
+    statement(
+        """, linked as (
+          select anomaly_id, count(*) as n from (
+            select a.anomaly_id from edges join node_evidence a on a.node_id = src
+              join node_evidence b on b.node_id = dst and b.anomaly_id = a.anomaly_id
+            union all
+            select 'comunidades_isoladas::' || a.label from projected join voted_shown a on a.node_id = source_id
+              join voted_shown b on b.node_id = target_id and b.label = a.label) group by 1),
+        places as (
+          select anomaly_id, count(*) as nodes, max(node_id) filter (position = 0) as center from evidence group by 1)
+        select a.detector, a.anomaly_id, round(a.score, 6) as score, a.severity,
+          row_number() over (partition by a.detector order by a.score desc, a.anomaly_id) as place,
+          coalesce(a.node_id, center) as focus,
+          case when a.detector like 'centralidade%' then round(n.metric_value, 2) end as centrality,
+          case when a.detector like 'alta_entropia%' then round(n.metric_value, 6) end as entropy,
+          case when a.detector like 'alta_entropia%' then n.node_type end as focus_type,
+          case when a.detector = 'comunidades_isoladas' then substr(a.anomaly_id, 23) end as community_id,
+          nodes, coalesce(linked.n, 0) as links, coalesce(linked.n, 0) as link_count
+        from anomalies a left join node_anomalies n using (anomaly_id) join places using (anomaly_id)
+        left join linked on linked.anomaly_id = a.anomaly_id""",
+        "anomalies", "evidence", "edges", "projected", "voted_shown", "node_evidence",
+    ).replace("\n, linked", ",\nlinked"),
+)
+def report_documents(spark, sf_dir):
+    """The documents of a report, read back from their JSON, in the order in which they stand."""
+    graph = T.stored_graph(spark, sf_dir)
+    documents = report(run_suite(graph), graph.vertices, max_links=1_000_000)
+    standing = Window.partitionBy("detector").orderBy("order")
+    parsed = documents.withColumn("order", F.monotonically_increasing_id()).withColumn(
+        "d", F.from_json("document", f"score double, severity string, context struct<{_CONTEXT}>")
+    )
+    return parsed.select(
+        "detector",
+        "anomaly_id",
+        F.round("d.score", 6).alias("score"),
+        "d.severity",
+        F.row_number().over(standing).cast("long").alias("place"),
+        "d.context.subgraph.focus",
+        F.round("d.context.centrality", 2).alias("centrality"),
+        F.round("d.context.entropy", 6).alias("entropy"),
+        "d.context.focus_type",
+        "d.context.community_id",
+        F.size("d.context.subgraph.nodes").cast("long").alias("nodes"),
+        F.coalesce(F.size("d.context.subgraph.links"), F.lit(0)).cast("long").alias("links"),
+        F.coalesce("d.context.link_count", F.lit(0)).alias("link_count"),
+    )

@@ -103,26 +103,33 @@ def snapshot_links(spark, sf_dir):
 @query(
     "snapshot_xml",
     statement(
-        """select 'node' as element, id, cast(2 + (nome is not null)::int + (sigla is not null)::int + (uf is not null)::int
-          + (numero is not null)::int + (descricao is not null)::int + (valor is not null)::int
-          + (data is not null)::int as bigint) as attributes from vertices
-        union all select 'edge', src || ' ' || dst, 2 from edges""",
+        """select 'node' as element, id, node_type as type, nome, uf, numero, valor, data,
+          2 + (nome is not null)::bigint + (sigla is not null)::bigint + (uf is not null)::bigint + (numero is not null)::bigint
+          + (descricao is not null)::bigint + (valor is not null)::bigint + (data is not null)::bigint as attributes from vertices
+        union all select 'edge', src || ' ' || dst, edge_type, null, null, null, valor, null, 2 from edges""",
         "vertices", "edges",
     ),
 )
 def snapshot_xml(spark, sf_dir):
-    """The graph as XML, written and read back: how many attributes each element has."""
+    """The graph as GraphML, written and read back: the values of each element, and how many it has."""
     path = scratch_path(spark, "graph-xml")
     export.write_graph_xml(T.graph(spark, sf_dir), path)
-    data = "data array<struct<_VALUE string, _key string>>"
-    nodes = spark.read.format("xml").option("rowTag", "node").schema(f"_id string, {data}").load(f"{path}/nodes")
-    edges = (
-        spark.read.format("xml").option("rowTag", "edge")
-        .schema(f"_source string, _target string, {data}").load(f"{path}/edges")
-    )
-    size = F.size("data").cast("long").alias("attributes")
-    return nodes.select(F.lit("node").alias("element"), F.col("_id").alias("id"), size).unionByName(
-        edges.select(F.lit("edge").alias("element"), F.concat_ws(" ", "_source", "_target").alias("id"), size)
+
+    def elements(tag, names, id_):
+        schema = ", ".join(f"_{n} string" for n in names) + ", data array<struct<_VALUE string, _key string>>"
+        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/{tag}s")
+        values = F.map_from_entries(F.transform("data", lambda d: F.struct(d["_key"], d["_VALUE"])))
+        return rows.withColumn("values", values).select(
+            F.lit(tag).alias("element"),
+            id_.alias("id"),
+            *[F.col("values")[c].alias(c) for c in ("type", "nome", "uf", "numero")],
+            F.col("values")["valor"].cast("double").alias("valor"),
+            F.col("values")["data"].alias("data"),
+            F.size("data").cast("long").alias("attributes"),
+        )
+
+    return elements("node", ["id"], F.col("_id")).unionByName(
+        elements("edge", ["source", "target"], F.concat_ws(" ", "_source", "_target"))
     )
 
 

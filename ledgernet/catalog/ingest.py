@@ -150,9 +150,11 @@ def scan_registry(spark, sf_dir):
 
 @query("synth_commitments")
 def synth_commitments(spark, sf_dir):
-    """A synthetic commitment per line item, over as many suppliers and agencies as the tables have."""
-    sizes = {name: T.table(spark, sf_dir, name).count() for name in ("supplier", "customer", "lineitem")}
-    return synthetic.commitments(spark.range(sizes["lineitem"]), sizes["customer"], sizes["supplier"], seed=42)
+    """A synthetic commitment per line item, drawn from its key, over as many suppliers and agencies as the tables have."""
+    sizes = {name: T.table(spark, sf_dir, name).count() for name in ("supplier", "customer")}
+    key = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = T.table(spark, sf_dir, "lineitem").select(F.pmod(key, F.lit(1 << 62)).alias("id"))
+    return synthetic.commitments(lines, sizes["customer"], sizes["supplier"], seed=42)
 
 
 @query("synth_patterns")
@@ -205,7 +207,31 @@ def lineage_columns(spark, sf_dir):
     return stamped.suppliers.select("id", "nome", "fonte_origem", "data_ingestao", F.length("payload_hash").alias("hash_length"))
 
 
-@query("batch_fingerprint")
+def _print_sql(place: int, table: str, *fields: str) -> str:
+    """The part of a fingerprint that one table gives; ``fields`` by name, null ones empty."""
+    marked = ", ".join(f"coalesce({f}, chr(30))" if f else "chr(30)" for f in fields)
+    return f"""select {place} || ':' || count(*) || ':' || bit_xor(h) || ':' || sum(h::hugeint) as part
+        from (select ('0x' || substr(md5(concat_ws(chr(31), {marked})), 1, 15))::bigint as h from {table})"""
+
+
+@query(
+    "batch_fingerprint",
+    statement(
+        "select sha256(string_agg(part, '|' order by part)) as payload_hash from ("
+        + " union all ".join(
+            [
+                _print_sql(
+                    0, "commitments", "contrato_id", "strftime(data_empenho, '%Y-%m-%d')", "descricao", "fornecedor_id",
+                    "empenho_id", "numero_empenho", "orgao_id", "valor_empenhado::varchar",
+                ),
+                _print_sql(1, "suppliers", "", "fornecedor_id", "", "nome_fornecedor", "", "uf"),
+                _print_sql(2, "agencies", "orgao_id", "", "nome_orgao", "sigla", "uf"),
+            ]
+        )
+        + ")",
+        "commitments", "suppliers", "agencies",
+    ),
+)
 def batch_fingerprint(spark, sf_dir):
     return N.fingerprint(*T.raw_collections(spark, sf_dir))
 

@@ -71,12 +71,14 @@ def normalize(raw: Collections) -> Collections:
 def fingerprint(*tables: DataFrame) -> DataFrame:
     """One-row ``payload_hash`` of a batch that does not depend on row order.
 
-    Each table gives a row count, the xor and the sum of its row hashes: the sum keeps
-    repeated rows from cancelling out.
+    Each table gives a row count, the xor and the sum of its row hashes, which are the
+    first 60 bits of md5: the sum keeps repeated rows from cancelling out.
     """
     parts = []
     for position, table in enumerate(tables):
-        row = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(table.columns)])
+        # A field that is null leaves a mark that no text has.
+        fields = [F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in sorted(table.columns)]
+        row = F.conv(F.substring(F.md5(F.concat_ws("\x1f", *fields).cast("binary")), 1, 15), 16, 10).cast("long")
         parts.append(
             table.select(row.alias("h")).agg(
                 F.concat_ws(

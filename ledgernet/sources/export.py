@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ledgernet import schema as S
 from ledgernet import vocabulary as V
@@ -42,28 +44,62 @@ def write_node_link(graph: SpendGraph, path: str) -> None:
     snapshot_links(graph.edges).write.mode("overwrite").json(f"{path}/links")
 
 
-def _data(columns: list[str]) -> Column:
-    """Attributes as ``<data key="...">value</data>`` children, without the nulls."""
-    entries = [
-        F.when(F.col(c).isNotNull(), F.struct(F.col(c).cast("string").alias("_VALUE"), F.lit(c).alias("_key")))
-        for c in columns
+_GRAPHML = "http://graphml.graphdrawing.org/xmlns"
+_KINDS = {T.DoubleType(): "double"}
+
+
+def _escaped(text: Column) -> Column:
+    """Text as it stands in XML, also between quotation marks; characters XML has no place for are dropped."""
+    text = F.regexp_replace(text, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\uFFFE\\uFFFF]", "")
+    for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("\r", "&#13;"), ("\n", "&#10;")):
+        text = F.replace(text, F.lit(plain), F.lit(entity))
+    return text
+
+
+def _element(tag: str, attributes: dict[str, str], data: list[str]) -> Column:
+    """A node or edge element with a data child for each column that is not null."""
+    head = [part for name, column in attributes.items() for part in (F.lit(f' {name}="'), _escaped(F.col(column)), F.lit('"'))]
+    children = [
+        F.coalesce(F.concat(F.lit(f'<data key="{c}">'), _escaped(F.col(c).cast("string")), F.lit("</data>")), F.lit(""))
+        for c in data
     ]
-    return F.filter(F.array(*entries), lambda e: e.isNotNull()).alias("data")
+    return F.concat(F.lit(f"<{tag}"), *head, F.lit(">"), *children, F.lit(f"</{tag}>")).alias("value")
+
+
+def _documents(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """The lines of each partition between the opening and the end of a document."""
+    opening = ['<?xml version="1.0" encoding="UTF-8"?>', f'<graphml xmlns="{_GRAPHML}">', *keys, '<graph edgedefault="directed">']
+    ending = ["</graph>", "</graphml>"]
+
+    def run(batches):
+        started = False
+        for batch in batches:
+            if not started:
+                yield pa.record_batch([pa.array(opening)], ["value"])
+                started = True
+            yield batch
+        if started:
+            yield pa.record_batch([pa.array(ending)], ["value"])
+
+    return lines.mapInArrow(run, "value string")
 
 
 def write_graph_xml(graph: SpendGraph, path: str) -> None:
-    """Node and edge elements with typed data children; every part file is a document."""
-    nodes, links = snapshot_nodes(graph.vertices), snapshot_links(graph.edges)
-    node_data = [c for c in nodes.columns if c != "id"]
+    """GraphML: every part file is a document of directed edges or of nodes, with typed keys.
+
+    Together the files of ``nodes`` and ``edges`` are the graph.
+    """
     writers = {
-        "nodes": ("node", nodes.select(F.col("id").alias("_id"), _data(node_data))),
-        "edges": (
-            "edge",
-            links.select(F.col("source").alias("_source"), F.col("target").alias("_target"), _data(["type", "valor"])),
-        ),
+        "nodes": ("node", snapshot_nodes(graph.vertices), {"id": "id"}),
+        "edges": ("edge", snapshot_links(graph.edges), {"source": "source", "target": "target"}),
     }
-    for name, (tag, rows) in writers.items():
-        rows.write.mode("overwrite").format("xml").options(rootTag="graphml", rowTag=tag).save(f"{path}/{name}")
+    for name, (tag, rows, attributes) in writers.items():
+        data = [f for f in rows.schema.fields if f.name not in attributes.values()]
+        keys = [
+            f'<key id="{f.name}" for="{tag}" attr.name="{f.name}" attr.type="{_KINDS.get(f.dataType, "string")}"/>' for f in data
+        ]
+        lines = rows.select(_element(tag, attributes, [f.name for f in data]))
+        _documents(lines, keys).write.mode("overwrite").text(f"{path}/{name}")
 
 
 def write_report(summary: DataFrame, documents: DataFrame, path: str) -> None:

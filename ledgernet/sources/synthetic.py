@@ -12,51 +12,51 @@ from pyspark.sql import functions as F
 
 from ledgernet.operators.normalize import Collections
 
-# Names the generator draws from.
+# Names the generator draws from; how many there are does not matter to it.
 AGENCY_NAMES = [
-    ("Secretaria de Educação", "SEDUC"),
-    ("Secretaria de Saúde", "SESAU"),
-    ("Secretaria de Fazenda", "SEFAZ"),
-    ("Secretaria de Cultura", "SECULT"),
-    ("Secretaria de Segurança", "SESSEG"),
-    ("Secretaria de Esporte", "SEESP"),
+    ("Departamento de Parques", "DEPAR"),
+    ("Departamento de Estradas", "DEEST"),
+    ("Instituto de Águas", "INAG"),
+    ("Arquivo Público", "ARPUB"),
+    ("Junta de Transportes", "JUTRA"),
+    ("Fundação de Museus", "FUMUS"),
 ]
 SUPPLIER_NAMES = [
-    "TechNova", "Inova Serviços", "Alpha Consultoria", "Beta Engenharia", "Delta TI",
-    "Omega Logística", "Vertex Digital", "Aurora Saúde", "Atlas Construções", "Horizonte Eventos",
+    "Papelaria Horta", "Obras do Vale", "Pedreira Lima", "Gráfica Ponte", "Viveiro Sabiá",
+    "Oficina Central", "Frota Azul", "Cerâmica Rubi", "Lavanderia Norte", "Madeiras Paiva",
 ]
 DESCRIPTIONS = [
-    "Aquisição de materiais de escritório",
-    "Serviços de manutenção predial",
-    "Contratação de consultoria especializada",
-    "Fornecimento de equipamentos de informática",
-    "Organização de evento institucional",
-    "Campanha de comunicação social",
-    "Serviços de limpeza e conservação",
-    "Treinamento e capacitação de servidores",
+    "Compra de mudas e sementes",
+    "Reparo de pontes e bueiros",
+    "Estudo de solo e relevo",
+    "Impressão de mapas",
+    "Aluguel de caminhões",
+    "Restauro de acervo",
+    "Pintura de fachadas",
+    "Poda de árvores",
 ]
-CITIES = ["Rio de Janeiro", "Niterói", "Campos", "Volta Redonda"]
-STATE = "RJ"
+CITIES = ["Curitiba", "Londrina", "Maringá", "Cascavel"]
+STATE = "PR"
 
 # Amounts, dates and shares of the generator and its patterns.
 AMOUNTS = (5_000.0, 250_000.0)
 DAYS_BACK = 540
 CONTRACT_SHARE = 0.7
-HUB_NAME = "SupraMax Serviços Integrados LTDA"
-HUB_DESCRIPTION = "Contrato estratégico de serviços continuados"
+HUB_NAME = "Consórcio Grande Eixo"
+HUB_DESCRIPTION = "Obra plurianual de grande porte"
 HUB_AMOUNTS = (380_000.0, 520_000.0)
 HUB_SPREAD = (0.9, 1.1)
 HUB_AGENCIES = 6
 HUB_DAYS_BACK = 180
-ISOLATED_NAME = "Isolado Soluções Regionais ME"
-ISOLATED_CITY = "Petrópolis"
-ISOLATED_AGENCY = "Autarquia Distrital {n}"
-ISOLATED_SHORT = "AUD{n}"
-ISOLATED_AGENCY_CITY = "Paraty"
-ISOLATED_DESCRIPTION = "Programa local de manutenção extraordinária"
+ISOLATED_NAME = "Armazém da Ilha"
+ISOLATED_CITY = "Paranaguá"
+ISOLATED_AGENCY = "Posto Remoto {n}"
+ISOLATED_SHORT = "PR{n}"
+ISOLATED_AGENCY_CITY = "Antonina"
+ISOLATED_DESCRIPTION = "Reforma de cais e trapiches"
 ISOLATED_AMOUNTS = (45_000.0, 60_000.0)
 ISOLATED_DAYS_BACK = 90
-LINK_DESCRIPTION = "Contrato eventual de pequeno valor"
+LINK_DESCRIPTION = "Serviço avulso"
 LINK_AMOUNTS = (8_000.0, 12_000.0)
 LINK_DAYS_BACK = 30
 

@@ -50,14 +50,14 @@ def test_suite_findings(suite):
     assert {r["detector"] for r in rows.values()} == set(V.DETECTOR_WEIGHTS)
     assert {r["severity"] for r in rows.values()} <= set(V.SEVERITY_RANKS)
     top = rows["centralidade_fornecedores::fornecedor::F1"]
-    assert (top["rank"], top["metric_value"], top["neighbor_count"], top["node_label"]) == (1, 400000.0, 2, "TecnoData Ltda")
+    assert (top["rank"], top["metric_value"], top["neighbor_count"], top["node_label"]) == (1, 400000.0, 2, "Papelaria Horta")
     assert top["zscore"] == pytest.approx(0.6745)
     group = next(r for r in rows.values() if r["detector"] == V.ISOLATED_COMMUNITIES)
     assert (group["node_count"], group["internal_edges"], group["external_edges"], group["edge_density"]) == (4, 3, 0, 0.5)
     assert (group["severity"], group["isolation_score"], group["node_types"]) == ("alta", 1.0, ["fornecedor", "orgao"])
     assert suite.samples.count() == 4
     first = suite.neighbors.where("anomaly_id = 'centralidade_fornecedores::fornecedor::F1' and rank = 1").first()
-    assert (first["neighbor_id"], first["label"], first["node_valor"]) == ("empenho::E3", "Consultoria especializada", 250000.0)
+    assert (first["neighbor_id"], first["label"], first["node_valor"]) == ("empenho::E3", "Estudo de solo", 250000.0)
 
 
 def test_risk_signals_count_the_anomalies_naming_a_node(suite):

@@ -102,7 +102,7 @@ def test_payload_file(spark, tmp_path):
     file = tmp_path / "payload.json"
     file.write_text(json.dumps(BASIC, ensure_ascii=False, indent=1), encoding="utf-8")
     raw = scan_payloads(spark, str(file))
-    assert as_dict(raw.suppliers, "id", "nome") == {"F1": "TecnoData Ltda", "F2": "Servicos Gerais ME"}
+    assert as_dict(raw.suppliers, "id", "nome") == {"F1": "Papelaria Horta", "F2": "Obras do Vale"}
     tables = load_graph(raw).tables
     assert as_dict(tables.commitments, "empenho_id", "valor_empenhado") == {"E1": 150000.0, "E2": 90000.0, "E3": 250000.0}
     (tmp_path / "bad.json").write_text("not json")
