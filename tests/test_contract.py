@@ -15,6 +15,7 @@ CHECKED = [
     "scan_pages", "scan_years_capped", "scan_registry", "enrich_suppliers", "dedup_first", "validate_commitments",
     "flatten_state_dimensions", "mask_document", "weighted_degree_agencies", "project_via", "entropy_per_edge",
     "robust_stats", "label_propagation", "outliers_suppliers", "isolated_communities", "node_risk", "daily_counts",
+    "load_counters", "snapshot_xml", "stream_ingest", "batch_fingerprint", "graph_summary", "label_propagation_full", "slugify",
 ]
 
 

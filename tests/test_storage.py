@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import as_dict
 from ledgernet import vocabulary as V
-from ledgernet.operators.graph_build import graph_summary
+from ledgernet.operators.graph_build import dangling_edges, graph_summary
 from ledgernet.operators.metrics import weighted_degree
 from ledgernet.operators.projection import agency_supplier_links
 from ledgernet.sources import export, workspace
@@ -93,6 +93,13 @@ def test_stream_grows_the_tables_and_drops_copies_and_bad_rows(spark, tmp_path):
     run()
     edges = spark.read.parquet(f"{out}/edges")
     assert edges.count() == 4 and edges.agg(F.sum("valor")).first()[0] == 25.0
+    suppliers = spark.createDataFrame([("F1", "Um"), ("F9", "Nove")], "fornecedor_id string, nome_fornecedor string")
+    for name in ("municipio", "uf", "documento", "tipo_documento"):
+        suppliers = suppliers.withColumn(name, F.lit(None).cast("string"))
+    graph = I.ingested_graph(spark, out, suppliers)
+    names = as_dict(graph.vertices, "id", "nome")
+    assert names == {"empenho::E1": None, "empenho::E3": None, "fornecedor::F1": "Um", "fornecedor::F9": "Nove", "orgao::O1": None}
+    assert dangling_edges(graph).count() == 0
     I.quarantine_rejected(I.read_landed(spark, landed, RECORD), out, state + "-rejected").awaitTermination()
     assert spark.read.parquet(f"{out}/rejected").count() == 2
 
@@ -105,6 +112,13 @@ def test_running_degree_equals_the_degree_of_all_rows(spark, tmp_path):
         I.accumulate_degree(I.read_landed(spark, landed, schema), out, state).awaitTermination()
     now = as_dict(I.latest(spark, out, ["node_id"], "centrality"), "node_id", "centrality")
     assert {k: float(v) for k, v in now.items()} == {"a": 4.5, "b": 2.0}
+    for weight, total in ((1.0, 5.5), (0.5, 6.0)):
+        I.compact(spark, out, ["node_id"], "centrality")
+        assert len([p for p in (tmp_path / "out").iterdir() if p.name.startswith("batch=")]) == 1
+        spark.createDataFrame([("a", weight)], schema).coalesce(1).write.mode("append").json(landed)
+        I.accumulate_degree(I.read_landed(spark, landed, schema), out, state).awaitTermination()
+        now = as_dict(I.latest(spark, out, ["node_id"], "centrality"), "node_id", "centrality")
+        assert {k: float(v) for k, v in now.items()} == {"a": total, "b": 2.0}
 
 
 def test_daily_counts_over_batches(spark, tmp_path):
