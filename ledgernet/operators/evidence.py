@@ -47,20 +47,24 @@ def ego_networks(centers: DataFrame, edges: DataFrame, neighbor_limit: int = 6,
     """Incident-edge count and the ``neighbor_limit`` largest edges of every centre.
 
     Parallel edges are entries of their own. ``few`` says that the centres are a top-k
-    list: they are broadcast and the edges are not shuffled.
+    list: they are broadcast and the edges are not shuffled. Otherwise edges are ranked and
+    counted before they meet the centres, so that of a hub's edges each map task sends
+    ``neighbor_limit`` and a count.
     """
-    chosen = F.broadcast(centers) if few else centers
-    incident = _incident(edges).join(chosen, "center_id")
-    by_amount = Window.partitionBy("anomaly_id").orderBy(
-        F.col("valor").desc_nulls_last(), "neighbor_id", "edge_type"
+    columns = ["anomaly_id", "center_id", "rank", "neighbor_id", "edge_type", "valor"]
+    incident = _incident(edges)
+    if few:
+        incident = incident.join(F.broadcast(centers), "center_id")
+    key = "anomaly_id" if few else "center_id"
+    by_amount = Window.partitionBy(key).orderBy(F.col("valor").desc_nulls_last(), "neighbor_id", "edge_type")
+    neighbors = incident.withColumn("rank", F.row_number().over(by_amount).cast("long")).where(
+        F.col("rank") <= neighbor_limit
     )
-    neighbors = (
-        incident.withColumn("rank", F.row_number().over(by_amount).cast("long"))
-        .where(F.col("rank") <= neighbor_limit)
-        .select("anomaly_id", "center_id", "rank", "neighbor_id", "edge_type", "valor")
-    )
-    counts = incident.groupBy("anomaly_id").agg(F.count("*").alias("neighbor_count"))
-    return Ego(counts, neighbors)
+    counts = incident.groupBy(key).agg(F.count("*").alias("neighbor_count"))
+    if not few:
+        neighbors = neighbors.join(centers, "center_id")
+        counts = counts.join(centers, "center_id")
+    return Ego(counts.select("anomaly_id", "neighbor_count"), neighbors.select(*columns))
 
 
 def describe_neighbors(neighbors: DataFrame, vertices: DataFrame) -> DataFrame:
