@@ -65,7 +65,7 @@ def sets_of(text, size):
     return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
 
 
-@pytest.mark.parametrize("options", [{"size": 4}, {"size": 5, "block": 2}])
+@pytest.mark.parametrize("options", [{"size": 4}, {"size": 5, "block": 3}])
 def test_groups_match_brute_force(spark, options):
     rows = texts()
     shingles = [(i, sets_of(t, options["size"])) for i, t in rows if i is not None]
