@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ledgernet import vocabulary as V
 from ledgernet.functions.amounts import money
+from ledgernet.functions.text import join_id
 from ledgernet.graph import SpendGraph
 from ledgernet.operators.graph_build import build_edges, build_vertices, commitment_vertices
 from ledgernet.operators.normalize import normalize_commitments
@@ -73,7 +74,7 @@ def ingested_graph(
     commitments = spark.read.parquet(f"{out}/commitments").drop("batch")
     known = build_vertices(commitments, suppliers, agencies)
     named = spark.read.parquet(f"{out}/named").select("node_type", "original_id").distinct()
-    bare = named.withColumn("id", F.concat_ws("::", "node_type", "original_id")).join(known.select("id"), "id", "left_anti")
+    bare = named.withColumn("id", join_id(F.col("node_type"), F.col("original_id"))).join(known.select("id"), "id", "left_anti")
     edges = spark.read.parquet(f"{out}/edges").drop("batch")
     return SpendGraph(
         known.unionByName(bare, allowMissingColumns=True), edges, end_types=V.END_TYPES, commitments=commitments
