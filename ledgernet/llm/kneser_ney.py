@@ -25,7 +25,9 @@ _TURN = np.uint64(0xD1342543DE82EF95)
 #: Bytes of text that a shard of the counts stands for.
 SHARD_BYTES = 9_000_000
 #: Pairs a task adds up before it sends them off.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
+#: Bytes of text that are counted or scored together.
+BATCH = 2 << 20
 #: Texts from which frequent words are told, only to spread them over shards.
 SAMPLED = 500
 WORD = [("x", np.uint64), ("tokens", np.uint64), ("types", np.uint32), ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32)]
@@ -129,7 +131,7 @@ def layout_of(docs: DataFrame, text: str) -> Layout:
     sample = docs.select(field(docs, text).alias("text")).orderBy(F.xxhash64(F.lit(41), "text"), "text").limit(SAMPLED)
 
     def run(batches):
-        for batch in (b for big in batches for b in pieces([big], "text")):
+        for batch in (b for big in batches for b in pieces([big], "text", BATCH)):
             word, both, _ = tokens_of(batch.column("text"))
             n = np.bincount(both[0], minlength=len(word))
             most = np.argsort(-n, kind="stable")[:10_000]
@@ -179,7 +181,7 @@ def learn_language(docs: DataFrame, *, text: str = "text") -> Model:
                 blob = packed(context[part], word[part], n[part].astype(np.uint32))
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([blob], pa.binary())], ["shard", "blob"])
 
-        for batch in (b for big in batches for b in pieces([big], "text")):
+        for batch in (b for big in batches for b in pieces([big], "text", BATCH)):
             word, both, _ = tokens_of(batch.column("text"))
             a, b, n, _ = pairs_of(word, both)
             held.append((word[a], word[b], n))
@@ -352,7 +354,7 @@ def score_language(docs: DataFrame, model: Model, *, text: str = "text") -> Data
 
     def run(batches):
         arrays = Arrays(model)
-        for batch in (b for big in batches for b in pieces([big], text)):
+        for batch in (b for big in batches for b in pieces([big], text, BATCH)):
             made = score_batch(arrays, batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], [*batch.schema.names, *names])
 
