@@ -151,9 +151,8 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where("toxic is not null")
     seen = crc_remainder(F.col("doc_id"), 5) != 0
-    model = learn_toxicity(docs.where(seen).join(labels, "doc_id"))
+    model = learn_toxicity(docs.where(seen), table(spark, sf_dir, "labels"))
     return score_toxicity(docs.select("doc_id", "text"), model).select(
         "doc_id", (~seen).alias("held_out"), F.col("toxicity").alias("score"), F.col("is_toxic").cast("int").alias("predicted")
     )

@@ -94,7 +94,8 @@ def said(seed, n=400):
 
 
 def test_toxic_words_are_learned_and_whole_texts_read(spark):
-    model = learn_toxicity(spark.createDataFrame(said(1), "doc_id long, text string, lang string, toxic int"))
+    given = spark.createDataFrame(said(1), "doc_id long, text string, lang string, toxic int")
+    model = learn_toxicity(given.drop("toxic"), given.select("doc_id", "toxic"))
     df = spark.createDataFrame(said(2, 200), "doc_id long, text string, toxicity string, toxic int")
     rows = score_toxicity(df, model).collect()
     assert rows[0].__fields__ == ["doc_id", "text", "toxicity", "toxic", "toxicity_", "is_toxic"]
@@ -109,7 +110,7 @@ def test_toxic_words_are_learned_and_whole_texts_read(spark):
 def test_toxicity_without_two_classes(spark):
     rows = spark.createDataFrame([(1, "a b", None, 0), (2, None, "en", 1)], "doc_id long, text string, lang string, toxic int")
     for given in (rows, rows.limit(0)):
-        assert not score_toxicity(rows, learn_toxicity(given)).first()["is_toxic"]
+        assert not score_toxicity(rows, learn_toxicity(given, given)).first()["is_toxic"]
 
 
 def test_threshold_lies_in_the_gap():
