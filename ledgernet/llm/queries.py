@@ -161,9 +161,8 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_quality_classifier")
 def quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where("quality is not null")
     seen = crc_remainder(F.col("doc_id"), 3) != 1
-    model = learn_quality(docs.where(seen).join(labels, "doc_id"))
+    model = learn_quality(docs.where(seen), table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select(
         "doc_id",
         (~seen).alias("held_out"),

@@ -132,7 +132,8 @@ def rated(seed, n=300):
 
 
 def test_quality_is_learned_from_preferences(spark):
-    model = learn_quality(spark.createDataFrame(rated(1), "doc_id long, text string, quality int"))
+    given = spark.createDataFrame(rated(1), "doc_id long, text string, quality int")
+    model = learn_quality(given, given.unionAll(given))
     assert len(model.edges) == len(FEATURES)
     df = spark.createDataFrame(rated(2), "doc_id long, text string, quality int").withColumn("quality_score", F.lit(1))
     rows = score_quality(df, model).collect()
@@ -145,4 +146,4 @@ def test_quality_is_learned_from_preferences(spark):
 
 def test_quality_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, quality int")
-    assert 0 <= score_quality(rows, learn_quality(rows)).first()["quality_score"] <= 1
+    assert 0 <= score_quality(rows, learn_quality(rows, rows)).first()["quality_score"] <= 1
