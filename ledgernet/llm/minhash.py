@@ -311,7 +311,9 @@ def near_duplicates(
 
     def with_text(rows: DataFrame) -> DataFrame:
         """Rows of ``placed``, or a part of them, with the text of their set: one document of the id and hash."""
-        texts = given.join(placed.select("id", "twin", "node"), ["id", "twin"]).groupBy("node").agg(F.first("text").alias("text"))
+        # How many documents have candidates is open, so this is a merge join at every size.
+        wanted = placed.select("id", "twin", "node").hint("merge")
+        texts = given.join(wanted, ["id", "twin"]).groupBy("node").agg(F.first("text").alias("text"))
         return rows.join(texts, "node")
 
     body = ["component", "node", "n_shingles", "signature"]
