@@ -30,10 +30,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts stay. Without labels of both kinds the classifier has nothing to
     tell apart and calls every text by the one kind there is, not toxic if there is none.
     """
-    label = free_name(docs, "toxic_label")
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias(label)).where(F.col(label).isNotNull())
-    model = learn_toxicity(docs.select("doc_id", "text", "lang").join(labels, "doc_id"), label=label)
-    scored = score_toxicity(docs, model)
+    scored = score_toxicity(docs, learn_toxicity(docs, table(spark, sf_dir, "labels")))
     return _same(docs, scored.where(~F.col(scored.columns[-1])))
 
 
