@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgernet.llm.columns import field, free_name
-from ledgernet.llm.words import pieces
+from ledgernet.llm.words import frugal, pieces
 
 #: Fixed by the contract: what is not part of a word, after A-Z became lower case.
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -114,7 +114,7 @@ def find_passages(
     for part in range(parts):
         rows = [tuple(r) for r in items.where(F.pmod(F.xxhash64("body"), F.lit(parts)) == part).collect()]
         known = docs.sparkSession.sparkContext.broadcast(rows)
-        out = out.mapInArrow(_searching(known, text, found, size), out.schema)
+        out = out.mapInArrow(frugal(_searching(known, text, found, size)), out.schema)
     return out
 
 

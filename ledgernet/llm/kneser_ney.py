@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field, free_name
 from ledgernet.llm.shared import kept, model_folder, write_file
-from ledgernet.llm.words import hashes, mix, pieces, words
+from ledgernet.llm.words import frugal, hashes, mix, pieces, words
 
 #: Marks before the first and behind the last word of a text.
 START, END = np.uint64(0x53), np.uint64(0x45)
@@ -137,7 +137,7 @@ def layout_of(docs: DataFrame, text: str) -> Layout:
             most = np.argsort(-n, kind="stable")[:10_000]
             yield pa.RecordBatch.from_arrays([pa.array(word[most].view(np.int64)), pa.array(n[most])], ["x", "n"])
 
-    found = sample.mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    found = sample.mapInArrow(frugal(run), "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))
     rows = found.withColumn("share", F.col("n") / total * (2 << bits)).where("share > 1").collect()
     hot = np.array([r["x"] for r in rows], np.int64).view(np.uint64)
@@ -245,7 +245,7 @@ def learn_language(docs: DataFrame, *, text: str = "text") -> Model:
         figures += [int(c[start].sum()) for c in follow]
         return pa.table({"figures": pa.array([figures], pa.list_(pa.int64()))})
 
-    counted = docs.mapInArrow(count, "shard int, blob binary")
+    counted = docs.mapInArrow(frugal(count), "shard int, blob binary")
     sides = kept(counted.groupBy("shard").applyInArrow(merge_pairs, "shard int, blob binary, figures array<long>"), "pairs")
     of_pairs = np.sum([[0] * 5, *(r[0] for r in sides.where("figures is not null").select("figures").collect())], axis=0)
     merged = sides.select("shard", "blob").groupBy("shard").applyInArrow(merge_words, "figures array<long>")
@@ -358,4 +358,4 @@ def score_language(docs: DataFrame, model: Model, *, text: str = "text") -> Data
             made = score_batch(arrays, batch.column(text))
             yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, made)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

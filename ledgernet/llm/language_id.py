@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field, free_name
-from ledgernet.llm.words import pieces
+from ledgernet.llm.words import frugal, pieces
 
 #: Bytes that are looked at together; a longer text is read in stretches of this size.
 STRETCH = 1 << 20
@@ -82,7 +82,7 @@ def count_grams(docs: DataFrame, text: str, lang: str, order: int) -> DataFrame:
             )
 
     read = docs.select(field(docs, text).cast("string").alias("text"), field(docs, lang).cast("string").alias("lang"))
-    counted = read.where("lang is not null").mapInArrow(run, "lang string, gram long, n long")
+    counted = read.where("lang is not null").mapInArrow(frugal(run), "lang string, gram long, n long")
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -219,4 +219,4 @@ def identify(
                 [*batch.schema.names, pred, score],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)

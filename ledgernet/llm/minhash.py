@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgernet.llm.columns import field
 from ledgernet.llm.components import components
 from ledgernet.llm.shared import kept
-from ledgernet.llm.words import hashes, mix, pieces, words
+from ledgernet.llm.words import frugal, hashes, mix, pieces, words
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xD1342543DE82EF95)
@@ -114,7 +114,7 @@ def signatures(docs: DataFrame, size: int, m: int, bands: int, rows: int) -> Dat
                 ["id", "twin", "n_shingles", "f1", "f2", "signature", "bands"],
             )
 
-    return docs.select("id", "twin", "text").mapInArrow(run, f"id long, twin long, {SIGNED}")
+    return docs.select("id", "twin", "text").mapInArrow(frugal(run), f"id long, twin long, {SIGNED}")
 
 
 def groups(batches, keys: list[str]):
@@ -204,7 +204,7 @@ def alike(members: DataFrame, m: int, percent: int, least: float, block: int) ->
                 b.append(node[found])
             yield _edges(a, b)
 
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(frugal(run), "a long, b long")
 
 
 def linked(i: int, rows: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -243,7 +243,7 @@ def verified(rows: DataFrame, keys: list[str], size: int, m: int, percent: int,
                 b.append(node[found])
             yield _edges(a, b)
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(frugal(run), "a long, b long")
 
 
 def near_duplicates(

@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field
-from ledgernet.llm.words import pieces, words
+from ledgernet.llm.words import frugal, pieces, words
 
 #: Token texts after which a sentence is over, without the mark of a word's end.
 ENDINGS = (".", "!", "?")
 #: Punctuation that never belongs to the letters before it, nor to a special token.
 TRAILING = ".,;:!?*%$&#"
 #: Pieces of words whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Pieces that are encoded as one text.
 JOINED = 500
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
@@ -295,4 +295,4 @@ def pack(
         if len(ids):
             yield from flush(True)
 
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(frugal(run), schema)
