@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ledgernet.llm import chat
 from ledgernet.llm.decontamination import find_passages
 from ledgernet.llm.columns import crc_remainder
+from ledgernet.llm.conversation_repair import digests, repair
 from ledgernet.llm.embedding_dedup import near_vectors
 from ledgernet.llm.kneser_ney import learn_language, score_language
 from ledgernet.llm.language_id import identify, learn_languages
@@ -17,6 +18,7 @@ from ledgernet.llm.minhash import near_duplicates
 from ledgernet.llm.packing import pack
 from ledgernet.llm.quality import learn_quality, score_quality
 from ledgernet.llm.sharding import interleave
+from ledgernet.llm.token_counts import count_prefixes
 from ledgernet.llm.toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +42,13 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_tokenizer() -> str:
+    """The file of the public tokenizer by which tokens are counted."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -190,3 +199,138 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_embedding_near_dedup")
 def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op11_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_prefixes(table(spark, sf_dir, "documents").select("doc_id", "text"), piece_tokenizer(), limit=4096)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "fit_chars")
+
+
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations, nulls as one space, with a fifth of them lost, emptied, cut, repeated or given to the user."""
+    told = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    kind = F.crc32(F.concat(told[0], F.lit(":"), told[1]).cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    given = rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    return given.select(
+        "conv_id",
+        "turn",
+        F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(F.col("kind") == 1, F.lit(""))
+        .when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", ""))
+        .otherwise(F.col("text"))
+        .alias("text"),
+        F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1))).alias("copy"),
+    ).drop("copy")
+
+
+# The recursion reads one row of every conversation at a time and keeps the best way to each stack top.
+OP13_SQL = r"""
+with recursive crc(crcs) as (
+  select list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n, range(8)), lambda c, i: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)))
+),
+given as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    string_split(coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' '), '') as told
+  from conversations
+),
+kinds as (
+  select *, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(told, lambda c: ord(c)::bigint)),
+    lambda c, b: xor(c >> 8, crcs[(xor(c, b) & 255) + 1])), 4294967295) % 20 as kind
+  from given, crc
+),
+harmed as (
+  select conv_id, turn, if(kind = 4, 'user', role) as role,
+    case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from kinds, unnest(range(if(kind = 3, 2, 1)))
+  where kind <> 0
+),
+ordered as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as core
+  from harmed
+),
+faults as (
+  select *, left(role, 1) as initial,
+    case when core = '' then 'blank'
+      when row_number() over (partition by conv_id, role, text order by i) > 1 then 'duplicate'
+      when right(core, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    lag(left(role, 1)) over (partition by conv_id order by i) as before
+  from ordered
+),
+shift(top, initial, after) as (values (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+expected(top, role, after) as (values (0, 'user', 2), (1, 'user', 2), (2, 'assistant', 3), (3, 'user', 2)),
+inserted(top, letters, said, after) as (
+  select top, '', []::varchar[], top from expected
+  union all select top, 'I', [role || ':'], after from expected
+  union all select a.top, 'II', [a.role || ':', b.role || ':'], b.after from expected a join expected b on a.after = b.top
+),
+ways as (
+  select i.top, i.letters || 'D' as letters, 3 * length(i.letters) + 4 as cost, i.said, null::varchar as initial, null::varchar as role, i.after
+  from inserted i
+  union all
+  select i.top, i.letters || 'K', 3 * length(i.letters), i.said, s.initial, null::varchar, s.after
+  from inserted i join shift s on i.after = s.top
+  union all
+  select i.top, i.letters || 'R', 3 * length(i.letters) + 3, i.said, null::varchar, e.role, e.after
+  from inserted i join expected e on i.after = e.top
+),
+best(conv_id, i, top, cost, audit, said) as (
+  select distinct conv_id, 0::bigint, 0, 0::bigint, '', []::varchar[] from harmed
+  union all
+  select conv_id, i, top, found.cost, found.audit, found.said from (
+    select b.conv_id, f.i, w.after as top,
+      min({'cost': b.cost + w.cost + if(f.fault = 'truncated' and w.letters not like '%D', 3, 0),
+        'audit': b.audit || w.letters,
+        'said': b.said || w.said || case when w.letters like '%D' then []::varchar[]
+          else [coalesce(w.role, f.role) || ':' || f.text] end}) as found
+    from best b join faults f on f.conv_id is not distinct from b.conv_id and f.i = b.i + 1
+    join ways w on w.top = b.top and (w.initial is null or w.initial = f.initial)
+    where w.letters like '%D' or f.fault not in ('blank', 'duplicate')
+    group by b.conv_id, f.i, w.after
+  )
+),
+counts as (
+  select conv_id, max(i) as n, count(distinct turn) as turns, min(turn) as least, max(turn) as most,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || initial not in ('su', 'ua', 'au')) as illegal
+  from faults group by conv_id
+),
+ended as (
+  select b.conv_id, min({'cost': b.cost + 3 * length(e.letters), 'audit': b.audit || e.letters, 'said': b.said || e.said}) as found
+  from best b join counts c on c.conv_id is not distinct from b.conv_id and c.n = b.i
+  join inserted e on e.top = b.top and e.after in (0, 3)
+  group by b.conv_id
+)
+select o.conv_id, coalesce(c.most - c.least + 1 - c.turns, 0)::bigint as gaps,
+  coalesce(c.blank, 0)::bigint as blank, coalesce(c.duplicate, 0)::bigint as duplicate,
+  coalesce(c.truncated, 0)::bigint as truncated, coalesce(c.illegal, 0)::bigint as illegal,
+  coalesce(e.found.cost, 0)::bigint as cost, coalesce(e.found.audit, '') as audit,
+  sha256(coalesce(array_to_string(e.found.said, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+left join counts c on c.conv_id is not distinct from o.conv_id
+left join ended e on e.conv_id is not distinct from o.conv_id
+"""
+
+
+@query("op13_conversation_repair", OP13_SQL)
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired_conversations(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+
+
+def repaired_conversations(given: DataFrame) -> DataFrame:
+    """A row for every conversation, with what its rows, damaged before, were found to lack and became."""
+    done = repair(damaged(given))
+    told = digests(done.blocks)
+    rows = given.select("conv_id").distinct()
+    for part in (done.summary, told):
+        part = part.withColumnRenamed("conv_id", "_conv")
+        rows = rows.join(part, rows["conv_id"].eqNullSafe(part["_conv"]), "left").drop("_conv")
+    zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    empty = F.sha2(F.lit("").cast("binary"), 256)
+    return rows.select(
+        "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
+    )
