@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgernet.llm import chat
-from ledgernet.llm.decontamination import find_passages
+from ledgernet.llm.collocations import mine_phrases
 from ledgernet.llm.columns import crc_remainder
 from ledgernet.llm.conversation_repair import digests, repair
+from ledgernet.llm.decontamination import find_passages
 from ledgernet.llm.embedding_dedup import near_vectors
 from ledgernet.llm.kneser_ney import learn_language, score_language
 from ledgernet.llm.language_id import identify, learn_languages
@@ -334,3 +335,68 @@ def repaired_conversations(given: DataFrame) -> DataFrame:
     return rows.select(
         "conv_id", *zero, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", empty).alias("repaired_sha256")
     )
+
+
+OP12_SQL = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, row_number() over () as doc,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?\x0A-\x0D]')) as piece
+  from documents
+),
+split as (
+  select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') as words from pieces
+),
+runs as (
+  select lang, k, array_to_string(words[i:i + k - 1], ' ') as phrase,
+    array_to_string(words[i + 1:i + k - 1], ' ') as without_first, array_to_string(words[i:i + k - 2], ' ') as without_last,
+    words[i] as first, words[i + k - 1] as last
+  from (select lang, words, unnest(range(1, len(words) + 1)) as i from split) p, (values (1), (2), (3)) t(k)
+  where i + k - 1 <= len(words)
+),
+freq as (
+  select lang, k, phrase, count(*) as f, any_value(without_first) as without_first, any_value(without_last) as without_last,
+    any_value(first) as first, any_value(last) as last
+  from runs group by lang, k, phrase
+),
+sizes as (select lang, sum(f)::bigint as n from freq where k = 1 group by lang),
+frequent as (select * from freq where k > 1 and f >= 10),
+cuts as (
+  select c.lang, c.phrase, c.k, c.f as a, 1 as cut, l.f as l, r.f as r
+  from frequent c join freq l on l.lang = c.lang and l.k = 1 and l.phrase = c.first
+  join freq r on r.lang = c.lang and r.k = c.k - 1 and r.phrase = c.without_first
+  union all
+  select c.lang, c.phrase, c.k, c.f, 2, l.f, r.f
+  from frequent c join freq l on l.lang = c.lang and l.k = 2 and l.phrase = c.without_last
+  join freq r on r.lang = c.lang and r.k = 1 and r.phrase = c.last
+  where c.k = 3
+),
+scored as (
+  select *, (1000000::hugeint * a * a // (l::hugeint * r))::bigint as score from cuts
+  qualify row_number() over (partition by lang, phrase, k order by score, cut) = 1
+),
+inside as (
+  select lang, without_first as phrase, f from frequent where k = 3
+  union all select lang, without_last, f from frequent where k = 3
+),
+held as (select lang, phrase, max(f) as most from inside group by lang, phrase),
+ranked as (
+  select s.lang, row_number() over (partition by s.lang order by s.score desc, s.a desc, s.phrase) as rank, s.phrase, s.a, s.l, s.r, z.n, s.score
+  from scored s join sizes z on z.lang = s.lang
+  left join held h on s.k = 2 and h.lang = s.lang and h.phrase = s.phrase
+  where h.most is null or 100 * h.most < 50 * s.a
+)
+select * from ranked where rank <= 2000
+"""
+
+
+@query("op12_phrase_mining", OP12_SQL)
+def phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_phrases(mine_phrases(table(spark, sf_dir, "documents").select("text", "lang")))
+
+
+def best_phrases(phrases: DataFrame, most: int = 2000) -> DataFrame:
+    """The ``most`` phrases of each language with the highest scores, ranked."""
+    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
+    ranked = phrases.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= most)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
