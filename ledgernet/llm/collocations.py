@@ -18,6 +18,8 @@ from ledgernet.llm.words import frugal, pieces
 BLOCK_BYTES = 8 << 20
 #: Bytes of text that wait for their blocks to fill, over all languages.
 WAITING_BYTES = 32 << 20
+#: Bits of an id for the code of a group in its block, and of a block's number in its partition.
+CODE_BITS, NUMBER_BITS = 26, 14
 #: Groups that are sent to Spark at a time.
 SENT = 100_000
 #: What a byte is: 0 part of a word, 1 between words, 2 between pieces. All of them are ASCII.
@@ -67,7 +69,7 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
     """Occurrences of words, a row per block: language, relation, words by code, how often each."""
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 24
+        number = TaskContext.get().partitionId() << NUMBER_BITS
         waiting: dict[str, list] = {}
         sizes: dict[str, int] = {}
 
@@ -81,6 +83,8 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
             columns = [[number], [lang], [_relation(at, code)], [len(at)], [distinct], [n]]
             kinds = [pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
             number += 1
+            if len(at) >> CODE_BITS or not number % (1 << NUMBER_BITS):
+                raise OverflowError("a text of 2^26 words, or a partition of 2^14 blocks")
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, k) for c, k in zip(columns, kinds)], ["block", "lang", "relation", "n", "words", "times"]
             )
@@ -102,76 +106,77 @@ def _word_blocks(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(frugal(run), schema)
 
 
-def _restricted(blocks: DataFrame, codes: DataFrame) -> DataFrame:
-    """Blocks of words semi-joined with the frequent ones: positions, and ids instead of words."""
-    arrays = codes.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "id"))).alias("held"))
-    joined = blocks.select("block", "relation").join(arrays, "block")
-
-    def run(batches):
-        for batch in batches:
-            for block, blob, held in zip(*(batch.column(c) for c in ("block", "relation", "held"))):
-                at, word = _read_relation(blob.as_py())
-                code = held.values.field("code").to_numpy()
-                known = np.full(max(word.max(initial=0), code[-1]) + 1, -1, np.int64)
-                known[code] = np.arange(len(code))
-                group = known[word]
-                stays = group >= 0
-                yield _block(block.as_py(), at[stays], group[stays], held.values.field("id"))
-
-    return joined.select("block", "relation", "held").mapInArrow(frugal(run), "block long, relation binary, ids array<long>")
-
-
-def _block(block: int, at: np.ndarray, group: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
-    columns = [pa.array([block]), pa.array([_relation(at, group)], pa.binary()), pa.array([ids], pa.list_(pa.int64()))]
-    return pa.RecordBatch.from_arrays(columns, ["block", "relation", "ids"])
+def _pairs(relation: tuple[np.ndarray, np.ndarray], groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions of adjacent groups and the code of each pair; the pairs by code and how often each comes up."""
+    at, left, right = adjacent(*relation)
+    pair, code, n = np.unique(left * groups + right, return_inverse=True, return_counts=True)
+    return at, code, pair, n
 
 
 def _pair_counts(blocks: DataFrame) -> DataFrame:
-    """Of each block the pairs of groups at adjacent positions, with how often they come up."""
+    """Of each block the pairs of groups at adjacent positions by code, with how often they come up."""
 
     def run(batches):
         for batch in batches:
             for block, blob, ids in zip(*(batch.column(c) for c in ("block", "relation", "ids"))):
                 ids = ids.values.to_numpy()
-                _, left, right = adjacent(*_read_relation(blob.as_py()))
-                pair, n = np.unique(left * len(ids) + right, return_counts=True)
+                _, _, pair, n = _pairs(_read_relation(blob.as_py()), len(ids))
                 for i in range(0, len(pair), SENT):
                     some = pair[i : i + SENT]
-                    columns = [np.full(len(some), block.as_py()), ids[some // len(ids)], ids[some % len(ids)], n[i : i + SENT]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "left", "right", "n"])
+                    columns = [
+                        np.full(len(some), block.as_py()),
+                        np.arange(i, i + len(some)),
+                        ids[some // len(ids)],
+                        ids[some % len(ids)],
+                        n[i : i + SENT],
+                    ]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["block", "code", "left", "right", "n"])
 
-    return blocks.mapInArrow(frugal(run), "block long, left long, right long, n long")
+    return blocks.mapInArrow(frugal(run), "block long, code long, left long, right long, n long")
 
 
-def _extended(blocks: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Blocks of groups one word longer: adjacent pairs semi-joined with the frequent ones."""
-    arrays = pairs.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("left", "right", "id"))).alias("held"))
-    joined = blocks.join(arrays, "block")
+def _semi_joined(blocks: DataFrame, seen: DataFrame, words: bool) -> DataFrame:
+    """Relations of the frequent groups: of ``words`` themselves, or else of pairs at adjacent positions."""
+    arrays = seen.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("code", "id"))).alias("held"))
+    names = ["block", "relation"] if words else ["block", "relation", "ids"]
+    joined = blocks.select(*names).join(arrays, "block").select(*names, "held")
 
     def run(batches):
         for batch in batches:
-            for block, blob, ids, held in zip(*(batch.column(c) for c in ("block", "relation", "ids", "held"))):
-                own = ids.values.to_numpy()
-                order = np.argsort(own)
-                at, left, right = adjacent(*_read_relation(blob.as_py()))
-                first, second = (order[np.searchsorted(own[order], held.values.field(c).to_numpy())] for c in ("left", "right"))
-                key = first * len(own) + second
-                ranks = np.argsort(key)
-                wanted = left * len(own) + right
-                found = np.minimum(np.searchsorted(key[ranks], wanted), len(key) - 1)
-                stays = key[ranks[found]] == wanted
-                yield _block(block.as_py(), at[stays], ranks[found[stays]], held.values.field("id"))
+            for i, (block, blob, held) in enumerate(zip(*(batch.column(c) for c in ("block", "relation", "held")))):
+                at, code = _read_relation(blob.as_py())
+                if not words:
+                    at, code, _, _ = _pairs((at, code), len(batch.column("ids")[i]))
+                frequent = held.values.field("code").to_numpy()
+                group = np.full(max(code.max(initial=0), frequent[-1]) + 1, -1, np.int64)
+                group[frequent] = np.arange(len(frequent))
+                group = group[code]
+                stays = group >= 0
+                columns = [
+                    pa.array([block.as_py()]),
+                    pa.array([_relation(at[stays], group[stays])], pa.binary()),
+                    pa.array([held.values.field("id")], pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "relation", "ids"])
 
-    return joined.select("block", "relation", "ids", "held").mapInArrow(frugal(run), "block long, relation binary, ids array<long>")
+    return joined.mapInArrow(frugal(run), "block long, relation binary, ids array<long>")
 
 
 def _frequent(counts: DataFrame, key: list[str], least: int) -> DataFrame:
-    """The rows of groups that come up ``least`` times in all blocks together, with that ``total``.
+    """The rows of groups that come up ``least`` times in all blocks together, with that ``total`` and an ``id``.
 
-    A group has a row per block at most, so that the rows of the commonest one are few; one
-    shuffle both adds up and semi-joins.
+    The id tells the first block and the code there. A group has a row per block at most, so
+    that the rows of the commonest one are few; one shuffle both adds up and semi-joins.
     """
-    return counts.withColumn("total", F.sum("n").over(Window.partitionBy(*key))).where(F.col("total") >= least)
+    group = Window.partitionBy(*key)
+    own = F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code"))
+    found = counts.withColumns({"total": F.sum("n").over(group), "id": F.min(own).over(group)})
+    return found.where(F.col("total") >= least).select("block", "code", "id", *key, "total")
+
+
+def _groups(seen: DataFrame) -> DataFrame:
+    """One row of each frequent group."""
+    return seen.where(F.col("id") == F.shiftleft("block", CODE_BITS).bitwiseOR(F.col("code"))).drop("block", "code")
 
 
 def mine_phrases(
@@ -197,7 +202,8 @@ def mine_phrases(
 
     What one group has to move is a row per block, however common it is. A null text is
     empty, a null language is ``und``. Rows count as often as they are there; other columns
-    are not read. An empty table, or one without frequent phrases, gives an empty result.
+    are not read. An empty table, or one without frequent phrases, gives an empty result. A
+    single text of 2^26 words, beyond what a row can reasonably hold, is refused with an error.
     """
     read = docs.select(
         F.coalesce(field(docs, text).cast("string"), F.lit("")).alias("text"),
@@ -206,38 +212,27 @@ def mine_phrases(
     words = kept(_word_blocks(read), "occurrences")
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     told = words.select("block", "lang", F.posexplode(F.arrays_zip("words", "times")).alias("code", "of"))
-    told = told.select("block", "code", "lang", F.col("of.words").alias("word"), F.col("of.times").alias("n"))
-    seen = kept(_frequent(told, ["lang", "word"], least).select("block", "code", "lang", "word", "total"), "frequent-words")
-    groups = seen.groupBy("lang", "word").agg(F.first("total").alias("total"))
-    level = kept(
-        groups.select(
-            F.monotonically_increasing_id().alias("id"),
-            "lang",
-            F.array("word").alias("words"),
-            "total",
-            F.array("total").alias("heads"),
-            F.array("total").alias("tails"),
-        ),
-        "words",
+    told = told.select("block", F.col("code").cast("long").alias("code"), "lang", F.col("of.words").alias("word"), F.col("of.times").alias("n"))
+    seen = kept(_frequent(told, ["lang", "word"], least), "frequent-words")
+    level = _groups(seen).select(
+        "id", "lang", F.array("word").alias("words"), "total", F.array("total").alias("heads"), F.array("total").alias("tails")
     )
-    named = level.select("id", "lang", F.col("words")[0].alias("word"))
-    blocks = kept(_restricted(words, seen.join(named, ["lang", "word"]).select("block", "code", "id")), "word-relation")
+    blocks = kept(_semi_joined(words, seen, words=True), "word-relation")
     levels = []
     for size in range(2, longest + 1):
-        counts = _pair_counts(blocks)
         if size < longest:
-            seen = kept(_frequent(counts, ["left", "right"], least).select("block", "left", "right", "total"), "frequent-pairs")
-            totals = seen.groupBy("left", "right").agg(F.first("total").alias("total"))
+            seen = kept(_frequent(_pair_counts(blocks), ["left", "right"], least), "frequent-pairs")
+            groups = _groups(seen)
+            blocks = kept(_semi_joined(blocks, seen, words=False), "relation")
         else:
-            totals = counts.groupBy("left", "right").agg(F.sum("n").alias("total")).where(F.col("total") >= least)
-        pairs = kept(totals.select(F.monotonically_increasing_id().alias("id"), "left", "right", "total"), "pairs")
-        if size < longest:
-            blocks = kept(_extended(blocks, seen.join(pairs.drop("total"), ["left", "right"]).select("block", "left", "right", "id")), "relation")
+            totals = _pair_counts(blocks).groupBy("left", "right").agg(F.sum("n").alias("total"))
+            groups = totals.where(F.col("total") >= least).withColumn("id", F.lit(None).cast("long"))
         before = level.select(F.col("id").alias("left"), "lang", F.col("words").alias("start"), "heads")
         behind = level.select(F.col("id").alias("right"), F.element_at("words", -1).alias("word"), "tails")
-        level = pairs.join(before, "left").join(behind, "right")
         level = kept(
-            level.select(
+            groups.join(before, "left")
+            .join(behind, "right")
+            .select(
                 "id", "left", "right", "lang", F.concat("start", F.array("word")).alias("words"), "total",
                 F.concat("heads", F.array("total")).alias("heads"), F.concat("tails", F.array("total")).alias("tails"),
             ),
