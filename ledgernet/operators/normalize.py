@@ -39,7 +39,7 @@ def _conform(raw: DataFrame, table: T.StructType, fields: dict[str, str]) -> Dat
             value = F.lit(None)
         elif field.dataType == T.DoubleType() and raw.schema[source].dataType == T.StringType():
             value = parse_amount(F.col(source))
-        elif field.dataType == T.TimestampNTZType():
+        elif field.dataType == T.TimestampNTZType() and raw.schema[source].dataType != field.dataType:
             value = parse_timestamp(F.col(source))
         else:
             value = F.col(source)
@@ -97,15 +97,18 @@ def fingerprint(*tables: DataFrame) -> DataFrame:
     return united.agg(F.sha2(joined, 256).alias("payload_hash"))
 
 
-def with_lineage(raw: Collections, source_label: str, ingested_at: Column | None = None) -> Collections:
+def with_lineage(
+    raw: Collections, source_label: str, ingested_at: Column | None = None, batch: DataFrame | None = None
+) -> Collections:
     """Add source label, ingestion time (UTC) and batch fingerprint to every row.
 
-    The fingerprint is a scalar subquery: plans that do not use the column skip it.
+    The fingerprint is a scalar subquery: plans that do not use the column skip it. It is
+    that of ``raw`` unless ``batch`` gives another.
     """
     if ingested_at is None:
         now = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
         ingested_at = F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    batch = fingerprint(*raw)
+    batch = fingerprint(*raw) if batch is None else batch
     return Collections(
         *[
             table.withColumns(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -21,8 +22,9 @@ class Checks(NamedTuple):
     errors: Column
 
 
-def commitment_checks() -> Checks:
-    amount = parse_amount(F.col("valor_empenhado"))
+def commitment_checks(amount: Column | None = None) -> Checks:
+    """Checks of raw commitments; ``amount`` is the parsed amount where a column has it."""
+    amount = parse_amount(F.col("valor_empenhado")) if amount is None else amount
     return Checks(
         F.col("id").isNotNull() & (F.coalesce(amount, F.lit(-1.0)) >= 0),
         _broken(
@@ -81,6 +83,39 @@ def drop_negative(df: DataFrame, amount: str = "valor_empenhado", seen: Observat
     return df.where(~negative)
 
 
+def judge(
+    raw: DataFrame, checks: Checks, kind: str, mode: str = "strict", parsed: dict[str, Column] | None = None
+) -> DataFrame:
+    """Every row with the ``errors`` it makes (none for valid rows) and the ``parsed`` columns.
+
+    ``checks`` may name the parsed columns, so that nothing is parsed twice. ``strict`` fails
+    on a bad row, ``quarantine`` keeps it beside the others.
+    """
+    if mode not in ("strict", "quarantine"):
+        raise ValueError(f"unknown validation mode {mode!r}")
+    errors = checks.errors
+    if mode == "strict":
+        message = F.concat(F.lit(f"invalid record in {kind}: "), F.array_join(errors, ", "))
+        errors = F.when(F.size(errors) > 0, F.raise_error(message).cast("array<string>")).otherwise(errors)
+    return raw.withColumns(parsed or {}).withColumn("errors", errors)
+
+
+def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys that several rows have, with how many (``copies``): counts, added up before the shuffle."""
+    return df.groupBy(*keys).agg(F.count("*").alias("copies")).where("copies > 1")
+
+
+def without_repeats(df: DataFrame, repeated: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
+    """``dedup_first`` where the ``repeated_keys`` are known: rows of other keys are neither sorted nor gathered.
+
+    A null key equals another null key.
+    """
+    named = [F.col(c).alias(f"_{c}") for c in keys]
+    again = repeated.select(*named)
+    same = reduce(Column.__and__, [df[c].eqNullSafe(again[f"_{c}"]) for c in keys])
+    return df.join(again, same, "left_anti").unionByName(dedup_first(df.join(again, same, "left_semi"), keys, order))
+
+
 def quality_report(
     df: DataFrame, kind: str, keys: Sequence[str], order: Sequence[str], amount: str | None = None
 ) -> DataFrame:

@@ -180,7 +180,7 @@ def test_explorer(spark, basic_graph):
     assert shown(types=["empenho"], min_value="abc") == {"empenho::E1", "empenho::E2", "empenho::E3"}
     assert shown(anomalies_only=True) == {"empenho::E1"}
     assert shown(needle="44.555") == {"fornecedor::F2"}
-    assert shown(needle="SERVIÇOS") == {"empenho::E2"}
+    assert shown(needle="DE PONTES") == {"empenho::E2"}
     summary = X.filter_summary(v, X.passes(types=["empenho"])).first()
     assert tuple(summary) == (10, 3, 1)
     summaries = G.node_summaries(basic_graph.vertices)

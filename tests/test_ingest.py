@@ -1,4 +1,5 @@
 import json
+import shutil
 import zipfile
 
 import pytest
@@ -44,6 +45,36 @@ def test_strict_validation_fails_and_quarantine_splits(spark):
         clean(bad, mode="lax")
 
 
+def test_a_load_reads_each_collection_once(spark, tmp_path):
+    """After the pass over them the raw files can go: graph, tables, rejects and counters are there."""
+    raw = collections_of(spark, payload(empenhos=[{"numero": "1"}, BASIC["empenhos"][0], BASIC["empenhos"][0], BASIC["empenhos"][1]]))
+    for name, table in raw._asdict().items():
+        table.write.parquet(str(tmp_path / name))
+    raw = raw._replace(**{name: spark.read.parquet(str(tmp_path / name)) for name in raw._fields})
+    judged = Q.judge(raw.commitments, Q.commitment_checks(), "empenhos", "quarantine")
+    assert judged._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") == 1
+    graph, tables, rejected, counters = load_graph(raw, mode="quarantine")
+    shutil.rmtree(tmp_path)
+    assert graph.edges.count() == 6 and tables.commitments.where("payload_hash is null").count() == 0
+    assert as_dict(tables.commitments, "empenho_id", "valor_empenhado") == {"E1": 150000.0, "E2": 90000.0}
+    assert [(r["numero"], r["errors"]) for r in rejected.commitments.collect()] == [("1", ["missing_id"])]
+    told = {r["kind"]: (r["row_count"], r["duplicates"], r["negatives"]) for r in counters.collect()}
+    assert told == {"empenhos": (3, 1, 0), "fornecedores": (2, 0, 0), "orgaos": (2, 0, 0)}
+
+
+def test_repeats_of_known_keys_are_dropped(spark):
+    """Null keys are one key; a key with most of the rows is limited before the shuffle."""
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.col("id").cast("string")).alias("k"), "id"
+    )
+    repeated = Q.repeated_keys(rows, ["k"])
+    assert sorted((r["k"] or "", r["copies"]) for r in repeated.collect()) == [("", 1333), ("hot", 1334)]
+    once = Q.without_repeats(rows, repeated, ["k"], ["id"])
+    assert once._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") == 2
+    assert sorted(r["id"] for r in once.collect()) == sorted([0, 2, *range(1, 4000, 3)])
+    assert Q.without_repeats(rows.limit(0), repeated, ["k"], ["id"]).count() == 0
+
+
 def test_repeated_commitments_are_loaded_once(spark):
     first = BASIC["empenhos"][0]
     twice = collections_of(spark, payload(empenhos=[first, {**first, "valor_empenhado": 1.0}]))
