@@ -19,7 +19,7 @@ from ledgernet.sources import pages, synthetic
 from ledgernet.sources import registry as R
 from ledgernet.sources import tables as T
 from ledgernet.sources.payload import scan_payloads
-from ledgernet.sources.workspace import scratch_path
+from ledgernet.sources.workspace import delete_path, scratch_path
 
 
 @query(
@@ -123,31 +123,100 @@ def flatten_state_dimensions(spark, sf_dir):
     )
 
 
+def _company_rows(spark, sf_dir):
+    """Customers as companies, their columns named as the source names them."""
+    kind = F.col("c_nationkey") % 4
+    ending = F.when(kind == 0, ' "Comércio"; Cia').when(kind == 1, "\nFilial").when(kind == 2, "\\").otherwise(" & Cia")
+    return T.table(spark, sf_dir, "customer").select(
+        F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ"),
+        F.concat("c_name", ending).alias("RazaoSocial"),
+        F.col("c_acctbal").cast("string").alias("CAPITAL_SOCIAL_DA_EMPRESA"),
+        F.col("c_mktsegment").alias("Situacao_Cadastral"),
+    )
+
+
+def _zipped(spark, sf_dir):
+    """A folder of archives with companies and establishments; partners are missing."""
+    folder = scratch_path(spark, "archives")
+    orders = T.table(spark, sf_dir, "orders").select(
+        F.concat(F.lpad(F.col("o_orderkey").cast("string"), 8, "0"), F.lit("000199")).alias("CNPJ_BASICO"),
+        F.concat(F.lit("São "), "o_orderpriority").alias("Nome_Fantasia"),
+        F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("CNAE_FISCAL"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("DATA_INICIO_ATIVIDADE"),
+    )
+    R.write_zipped(_company_rows(spark, sf_dir).repartition(3), folder, "Empresas")
+    R.write_zipped(orders.repartition(5), folder, "Estabelecimentos")
+    return folder
+
+
+_COMPANY_NAMES = """c_name || case c_nationkey % 4 when 0 then ' "Comércio"; Cia' when 1 then chr(10) || 'Filial' when 2 then chr(92)
+    else ' & Cia' end"""
+
+
 @query(
     "scan_registry",
-    """select lpad(cast(c_custkey as varchar), 14, '0') as cnpj,
-      c_name || case c_nationkey % 4 when 0 then ' "Comércio"; Cia' when 1 then chr(10) || 'Filial' when 2 then chr(92) else ' & Cia' end
-        as razao_social,
-      c_acctbal as capital, c_mktsegment as situacao_cadastral from customer""",
+    f"""select lpad(cast(c_custkey as varchar), 14, '0') as cnpj, {_COMPANY_NAMES} as razao_social, c_acctbal as capital, c_mktsegment as situacao_cadastral from customer""",
 )
 def scan_registry(spark, sf_dir):
     """Names with quotes, separators, line breaks and backslashes, written and read back."""
     path = scratch_path(spark, "registry")
-    kind = F.col("c_nationkey") % 4
-    ending = (
-        F.when(kind == 0, ' "Comércio"; Cia').when(kind == 1, "\nFilial").when(kind == 2, "\\").otherwise(" & Cia")
-    )
-    T.table(spark, sf_dir, "customer").select(
-        F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ"),
-        F.concat("c_name", ending).alias("RazaoSocial"),
-        F.col("c_acctbal").alias("CAPITAL_SOCIAL_DA_EMPRESA"),
-        F.col("c_mktsegment").alias("Situacao_Cadastral"),
-    ).write.options(sep=R.SEPARATOR, encoding=R.ENCODING, header=True, escape='"', quoteAll=True).csv(path)
+    _company_rows(spark, sf_dir).write.options(sep=R.SEPARATOR, encoding=R.ENCODING, header=True, escape='"', quoteAll=True).csv(path)
     return R.scan_registry(spark, path, R.COMPANIES, line_breaks=True).select(
         "cnpj", "razao_social", F.col("capital_social").try_cast("double").alias("capital"), "situacao_cadastral"
     )
 
 
+@query(
+    "scan_registry_zip",
+    f"""select lpad(cast(c_custkey as varchar), 14, '0') as cnpj, {_COMPANY_NAMES} as razao_social,
+      c_acctbal as capital, c_mktsegment as situacao_cadastral from customer""",
+)
+def scan_registry_zip(spark, sf_dir):
+    """The same names as in plain text, from several archives."""
+    rows = R.scan_zipped_registry(spark, f"{_zipped(spark, sf_dir)}/Empresas*.zip", R.COMPANIES)
+    return rows.select("cnpj", "razao_social", F.col("capital_social").try_cast("double").alias("capital"), "situacao_cadastral")
+
+
+_CONVERTED = f"""select 'empresa' as kind, lpad(cast(c_custkey as varchar), 14, '0') as cnpj, {_COMPANY_NAMES} as nome,
+      null as cnae, null as inicio from customer
+    union all
+    select 'estabelecimento', lpad(cast(o_orderkey as varchar), 8, '0') || '000199', 'São ' || o_orderpriority,
+      nullif(o_orderstatus, 'F'), strftime(o_orderdate, '%Y-%m-%d') from orders"""
+
+
+def _converted(spark, sf_dir):
+    folder = _zipped(spark, sf_dir)
+    R.convert_registry(spark, folder, f"{folder}-parquet")
+    return f"{folder}-parquet"
+
+
+@query("convert_registry", _CONVERTED)
+def convert_registry(spark, sf_dir):
+    """Archives to Parquet and read back; the table without archives is left out."""
+    companies, establishments = R.read_registry(spark, _converted(spark, sf_dir))
+    none = F.lit(None).cast("string")
+    return companies.select(
+        F.lit("empresa").alias("kind"), "cnpj", F.col("razao_social").alias("nome"), none.alias("cnae"), none.alias("inicio")
+    ).unionByName(
+        establishments.select(
+            F.lit("estabelecimento").alias("kind"), "cnpj", F.col("nome_fantasia").alias("nome"),
+            F.col("cnae_principal").alias("cnae"), F.col("data_inicio_atividade").alias("inicio"),
+        )
+    )
+
+
+@query(
+    "read_registry_missing",
+    "select 'estabelecimentos' as gone, cast(s_suppkey as varchar) as id, s_name as nome, null as razao_social from supplier",
+)
+def read_registry_missing(spark, sf_dir):
+    """Without one of the tables there is no registry, and suppliers stay as they are."""
+    folder = _converted(spark, sf_dir)
+    delete_path(spark, f"{folder}/estabelecimentos.parquet")
+    rows = enrich(T.raw_collections(spark, sf_dir).suppliers, *R.read_registry(spark, folder))
+    return rows.select(F.lit("estabelecimentos").alias("gone"), "id", "nome", "razao_social")
+
+
 @query("synth_commitments")
 def synth_commitments(spark, sf_dir):
     """A synthetic commitment per line item, drawn from its key, over as many suppliers and agencies as the tables have."""

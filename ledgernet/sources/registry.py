@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
-import pyarrow.csv as pa_csv
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgernet.sources.zipped import ENCODING, SEPARATOR, ArchiveSource
+
 # Columns of the registry tables and the source names they come from.
 COMPANIES = {
     "cnpj": ["cnpj"],
@@ -37,9 +35,6 @@ PARTNERS = {
     "qualificacao_socio": ["qualificacao_socio"],
     "pais": ["pais"],
 }
-ENCODING = "ISO-8859-1"
-SEPARATOR = ";"
-
 # Table name, file name pattern, columns.
 TABLES = {
     "empresas": ("Empresas*.zip", COMPANIES),
@@ -72,65 +67,37 @@ def scan_registry(
     return raw.select(*picked)
 
 
+def archives(spark: SparkSession, pattern: str) -> list[str]:
+    """The files that match a path with wildcards, as Spark's file system lists them."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return sorted(f.getPath().toString() for f in found or [] if f.isFile())
+
+
 def scan_zipped_registry(spark: SparkSession, path: str, columns: dict[str, list[str]]) -> DataFrame:
     """A registry table from zip archives, of which the first member is read.
 
-    Zip does not split: an archive is one task, which streams it in Arrow batches.
-    Convert once to Parquet and read that.
+    Zip does not split: an archive is one partition, whose task opens the file and streams
+    it in Arrow batches. Archives have to be where workers can open files, a mounted folder
+    or a store that Arrow knows. Without any archive the table is empty.
     """
-    archives = spark.read.format("binaryFile").load(path).select("content")
-    out = pa.schema([(name, pa.string()) for name in columns])
-
-    def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column(0):
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    members = archive.namelist()
-                    if members:
-                        with archive.open(members[0]) as member:
-                            yield from _parsed(member, columns, out)
-
-    return archives.mapInArrow(unzip, table_schema(columns))
-
-
-def _parsed(member, columns: dict[str, list[str]], out: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Delimited text to batches of the target columns, all as text."""
-    # Column names come from the first line; naming their types keeps codes such as 007.
-    header = member.readline().decode(ENCODING).rstrip("\r\n")
-    names = [n.strip().strip('"').lower() for n in header.split(SEPARATOR)]
-    if not header:
-        return
-    try:
-        reader = pa_csv.open_csv(
-            member,
-            read_options=pa_csv.ReadOptions(column_names=names, encoding=ENCODING),
-            parse_options=pa_csv.ParseOptions(delimiter=SEPARATOR, newlines_in_values=True),
-            convert_options=pa_csv.ConvertOptions(
-                column_types={n: pa.string() for n in names}, null_values=[""], strings_can_be_null=True
-            ),
-        )
-    except pa.ArrowInvalid as error:
-        if "Empty CSV file" in str(error):
-            return
-        raise
-    for batch in reader:
-        arrays = []
-        for target, sources in columns.items():
-            found = [s for s in [*sources, target] if s in names]
-            arrays.append(batch.column(names.index(found[0])) if found else pa.nulls(batch.num_rows, pa.string()))
-        yield pa.RecordBatch.from_arrays(arrays, schema=out)
+    spark.dataSource.register(ArchiveSource)
+    options = {"uris": json.dumps(archives(spark, path)), "columns": json.dumps(columns)}
+    return spark.read.format(ArchiveSource.name()).schema(table_schema(columns)).options(**options).load()
+
+
+def write_zipped(rows: DataFrame, folder: str, prefix: str) -> None:
+    """Rows as zip archives of delimited text, named ``prefix`` and a number, one per task that has rows."""
+    rows.sparkSession.dataSource.register(ArchiveSource)
+    rows.write.format(ArchiveSource.name()).mode("append").option("prefix", prefix).save(folder)
 
 
 def convert_registry(spark: SparkSession, raw_dir: str, out_dir: str) -> None:
     """Convert the archives of all three tables; a table without archives is left out."""
     for name, (pattern, columns) in TABLES.items():
-        try:
+        if archives(spark, f"{raw_dir}/{pattern}"):
             table = scan_zipped_registry(spark, f"{raw_dir}/{pattern}", columns)
-        except AnalysisException as error:
-            if not _is_missing(error):
-                raise
-            continue
-        table.write.mode("overwrite").parquet(f"{out_dir}/{name}.parquet")
+            table.write.mode("overwrite").parquet(f"{out_dir}/{name}.parquet")
 
 
 def _is_missing(error: AnalysisException) -> bool:

@@ -1,12 +1,16 @@
 import json
+import os
 import shutil
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
-from conftest import BASIC, as_dict
+from conftest import BASIC, SF, as_dict
 from ledgernet import schema as S
 from ledgernet.operators import normalize as N
 from ledgernet.operators import quality as Q
@@ -259,10 +263,46 @@ def test_registry_from_text_and_archives(spark, tmp_path):
     out = str(tmp_path / "parquet")
     registry.convert_registry(spark, str(tmp_path), out)
     assert spark.read.parquet(f"{out}/estabelecimentos.parquet").count() == 3
+    assert registry.scan_zipped_registry(spark, str(tmp_path / "Socios*.zip"), registry.PARTNERS).count() == 0
     # The companies are missing, so there is nothing to enrich with.
     assert [t.count() for t in registry.read_registry(spark, out)] == [0, 0]
 
 
+def test_archives_are_partitions_written_and_read_by_tasks(spark, tmp_path):
+    rows = spark.range(900).selectExpr("cast(id as string) as CNPJ", "concat('Ação ', id, '; \"x\"') as RazaoSocial", "null as pais")
+    registry.write_zipped(rows.repartition(4).select("CNPJ", "RazaoSocial"), str(tmp_path / "zip"), "Empresas")
+    files = sorted(f.name for f in (tmp_path / "zip").iterdir())
+    assert files == [f"Empresas{i}.zip" for i in range(4)]
+    back = registry.scan_zipped_registry(spark, f"{tmp_path}/zip/Empresas*.zip", registry.COMPANIES)
+    assert back.rdd.getNumPartitions() == 4
+    assert as_dict(back, "cnpj", "razao_social") == {str(i): f'Ação {i}; "x"' for i in range(900)}
+    (tmp_path / "zip" / "Empresas9.zip").write_bytes(b"no archive, but long enough to look for an end record in it")
+    with pytest.raises(Exception, match="not a zip file"):
+        registry.scan_zipped_registry(spark, f"{tmp_path}/zip/Empresas*.zip", registry.COMPANIES).count()
+
+
+BARE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+from __spark_entry__ import queries
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.sql.shuffle.partitions", "4").getOrCreate())
+for name in {names!r}:
+    print(name, queries()[name](spark, {sf!r}).count(), flush=True)
+"""
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    """Only the driver's script finds the library, workers do not."""
+    names = ["scan_registry_zip", "convert_registry", "snapshot_xml"]
+    script = tmp_path / "bare.py"
+    script.write_text(BARE.format(repo=str(Path(__file__).resolve().parent.parent), names=names, sf=SF))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert [line.split()[0] for line in done.stdout.splitlines()] == names, done.stderr[-3000:]
+
+
 def test_enrichment_by_root_and_full_number_never_multiplies(spark):
     suppliers = spark.createDataFrame(
         [("1", "", "12.345.678/0001-90"), ("2", "Nome", "12345678000190"), ("3", None, None), ("4", None, "99.999.999/0001-99"), ("5", None, ""), ("6", None, "123.456.789-09")],
