@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm.columns import field
 from ledgernet.llm.components import components
-from ledgernet.llm.shared import kept
+from ledgernet.llm.shared import handed_out, kept, received
 
 
 @dataclass
@@ -177,10 +177,10 @@ def near_vectors(
     n = nodes.count()
     taken = nodes.select("v").orderBy(F.xxhash64(F.lit(seed), "v")).limit(sampled).toArrow()["v"]
     sample = np.array(taken.to_pylist(), float)
-    index = df.sparkSession.sparkContext.broadcast(build_index(sample, n, cosine, recall, per_cell, seed))
+    index = handed_out(df.sparkSession, build_index(sample, n, cosine, recall, per_cell, seed))
 
     def place(batches):
-        book = index.value
+        book = received(index)
         for batch in batches:
             x = np.array(batch.column("v").to_pylist(), float).reshape(len(batch), lengths["n"])
             d1, d2 = book.distances(unit_rows(x))
@@ -221,7 +221,7 @@ def near_vectors(
         )
 
     def compare(table: pa.Table) -> pa.Table:
-        book = index.value
+        book = received(index)
         member = table["member"].to_numpy()
         node, copies, last = (table[c].to_numpy() for c in ("node", "copies", "last"))
         x = unit_rows(np.frombuffer(b"".join(table["x"].to_pylist()), float).reshape(len(node), -1))

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field, free_name
-from ledgernet.llm.words import frugal, pieces
+from ledgernet.llm.shared import kept
+from ledgernet.llm.words import frugal, give_back, pieces
 
 #: Bytes that are looked at together; a longer text is read in stretches of this size.
 STRETCH = 1 << 20
@@ -152,18 +153,17 @@ def learn_languages(
     """
     if not 0 <= order <= 3:
         raise ValueError("order has to be 0 to 3")
-    counted = count_grams(docs, text, lang, order).persist()
-    try:
-        size = counted.count()
-        if size > most:
-            raise ValueError(f"{size} distinct grams, more than {most}: take a lower order")
-        table = counted.orderBy("lang", "gram").toArrow()
-    finally:
-        counted.unpersist()
-    names = table["lang"].to_pylist()
-    gram, n = table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy()
-    edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)] if names else [0]
-    return {names[a]: (gram[a:b], n[a:b]) for a, b in zip(edges, edges[1:])}
+    counted = kept(count_grams(docs, text, lang, order), "grams")
+    size = counted.count()
+    if size > most:
+        raise ValueError(f"{size} distinct grams, more than {most}: take a lower order")
+    model = {}
+    for name in sorted(r["lang"] for r in counted.select("lang").distinct().collect()):
+        table = counted.where(F.col("lang") == name).select("gram", "n").orderBy("gram").toArrow()
+        model[name] = (table["gram"].to_numpy().astype(np.uint32), table["n"].to_numpy().copy())
+        del table
+    give_back()
+    return model
 
 
 def identify(

@@ -6,6 +6,7 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -15,12 +16,16 @@ from ledgernet.llm.words import frugal, pieces, words
 
 #: Token texts after which a sentence is over, without the mark of a word's end.
 ENDINGS = (".", "!", "?")
+#: Pieces of letters that stay letters when they are normalised.
+LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Punctuation that never belongs to the letters before it, nor to a special token.
 TRAILING = ".,;:!?*%$&#"
 #: Pieces of words whose ids a task remembers; it starts anew beyond that.
 REMEMBERED = 300_000
 #: Pieces that are encoded as one text.
 JOINED = 500
+#: Bytes of text that are encoded together.
+BATCH = 3 << 20
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
 BLOCK = 1 << 19
 
@@ -33,6 +38,37 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.
     return flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)], ends
 
 
+def in_two(distinct: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Words without the punctuation that ends them, that punctuation, and which words have both.
+
+    Only punctuation behind a letter is parted. What is left is lower-cased where it is
+    ASCII and cannot hold a special token.
+    """
+    core = pc.ascii_rtrim(distinct, TRAILING)
+    shorter = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(distinct)), pc.not_equal(core, ""))
+    parted = np.flatnonzero(shorter.to_numpy(zero_copy_only=False))
+    last = pc.utf8_slice_codeunits(core.take(pa.array(parted)), -1).to_pylist()
+    parted = parted[np.fromiter((c.lower().isalpha() for c in last), bool, len(last))]
+    cut = np.zeros(len(distinct), bool)
+    cut[parted] = True
+    ending = pc.struct_field(pc.extract_regex(distinct.take(pa.array(parted)), f"(?P<e>[{TRAILING}]+)$"), "e")
+    core = pc.if_else(pa.array(cut), core, distinct)
+    plain = pc.and_(pc.string_is_ascii(core), pc.invert(pc.match_substring(core, "<")))
+    return pc.if_else(plain, pc.ascii_lower(core), core), ending, parted
+
+
+def letters_only(tokenizer):
+    """The same model and normaliser, for texts of letters and blanks, which need no pattern to be split."""
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    simple = Tokenizer.from_str(tokenizer.to_str())
+    simple.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+    simple.pre_tokenizer = pre_tokenizers.Sequence(
+        [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+    )
+    return simple
+
+
 class WordIds:
     """Token ids of whole texts. Pieces of words are encoded once and remembered.
 
@@ -45,10 +81,14 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
+        self.for_letters = letters_only(self.tokenizer)
         suffix = "</w>"
-        self.ends_sentence = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for token, number in self.tokenizer.get_vocab().items():
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word = self.ends_sentence.copy()
+        for token, number in vocabulary.items():
             self.ends_sentence[number] = token.removesuffix(suffix).endswith(ENDINGS)
+            self.ends_word[number] = token.endswith(suffix)
         special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = next(iter(sorted(special.items())), (None, None))
         self.clear()
@@ -61,21 +101,34 @@ class WordIds:
     def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one behind the other, and how many each has.
 
-        Many are encoded as one text with a special token behind each, which costs less
-        than one call each; those that may hold special tokens are encoded by themselves.
+        Many are encoded as one text, which costs less than one call each: pieces of letters
+        with blanks between them, others with a special token behind each; those that may
+        hold special tokens are encoded by themselves.
         """
         if self.mark is None:
             return self.alone(texts)
-        odd = [i for i, t in enumerate(texts) if "<" in t]
-        if odd:
-            apart = set(odd)
-            plain = [i for i in range(len(texts)) if i not in apart]
-            a, n = self.encoded([texts[i] for i in plain])
-            b, m = self.alone([texts[i] for i in odd])
-            order = np.array(plain + odd)
-            sizes = np.concatenate((n, m))
-            back = np.argsort(order)
-            return gathered(np.concatenate((a, b)), np.cumsum(sizes) - sizes, sizes, back)[0], sizes[back]
+        plain = pc.match_substring_regex(pa.array(texts, pa.string()), LETTERS).to_numpy(zero_copy_only=False)
+        simple = np.flatnonzero(plain)
+        odd = [i for i in np.flatnonzero(~plain).tolist() if "<" in texts[i]]
+        apart = set(odd)
+        rest = [i for i in np.flatnonzero(~plain).tolist() if i not in apart]
+        parts = [
+            self.letters([texts[i] for i in simple.tolist()]),
+            self.marked([texts[i] for i in rest]),
+            self.alone([texts[i] for i in odd]),
+        ]
+        ids, sizes = (np.concatenate(x) for x in zip(*parts))
+        back = np.argsort(np.concatenate((simple, np.array(rest + odd, np.int64))), kind="stable")
+        return gathered(ids, np.cumsum(sizes) - sizes, sizes, back)[0], sizes[back]
+
+    def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of letters: each is one word, whose last token bears the mark of a word's end."""
+        joined = [" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
+        found = self.for_letters.encode_batch_fast(joined, add_special_tokens=False)
+        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        return ids, np.diff(np.concatenate(([-1], np.flatnonzero(self.ends_word[ids]))))
+
+    def marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         joined = [self.mark.join([*texts[i : i + JOINED], ""]) for i in range(0, len(texts), JOINED)]
         found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
         ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
@@ -92,23 +145,15 @@ class WordIds:
         distinct, codes, bounds = words(text, lower=False)
         if len(self.known) > REMEMBERED:
             self.clear()
-        known, fresh, first, second = self.known, [], [], []
-
-        def number(piece: str) -> int:
-            at = known.get(piece)
-            if at is None:
-                at = known[piece] = len(known)
-                fresh.append(piece)
-            return at
-
-        for word in distinct.to_pylist():
-            core = word.rstrip(TRAILING)
-            if core and len(core) < len(word) and core[-1].lower().isalpha():
-                second.append(number(word[len(core) :]))
-            else:
-                core = word
-                second.append(-1)
-            first.append(number(core.lower() if core.isascii() and "<" not in core else core))
+        core, ending, parted = in_two(distinct)
+        both = pa.concat_arrays([core, ending]).dictionary_encode()
+        names = both.dictionary.to_pylist()
+        found = list(map(self.known.get, names))
+        fresh = [name for name, at in zip(names, found) if at is None]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[both.indices.to_numpy()]
+        first, second = at[: len(core)], np.full(len(core), -1)
+        second[parted] = at[len(core) :]
         more, sizes = self.encoded(fresh)
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
         self.sizes = np.concatenate((self.sizes, sizes))
@@ -118,13 +163,15 @@ class WordIds:
         starts = np.concatenate((self.starts, [0, len(self.flat)]))
         sizes = np.concatenate((self.sizes, [0, 1]))
         nothing, end = len(starts) - 2, len(starts) - 1
-        pieces_of = np.array([first, second], np.int64).T
+        pieces_of = np.stack((first, second), axis=1)
         pieces_of[pieces_of < 0] = nothing
         pieces_of = np.concatenate((pieces_of, [[end, nothing]]))
-        # The end id is one more word, behind the words of each row.
-        codes = np.insert(codes.astype(np.int64), bounds[1:], len(distinct))
-        ids, ends = gathered(flat, starts, sizes, pieces_of[codes].ravel())
-        return ids, np.concatenate(([0], ends[1::2]))[bounds + np.arange(len(bounds))]
+        # The ids of each distinct word, both pieces one behind the other; the end id is one more word.
+        flat, ends = gathered(flat, starts, sizes, pieces_of.ravel())
+        starts = np.concatenate(([0], ends[1::2]))
+        codes = np.insert(codes, bounds[1:], len(distinct))
+        ids, ends = gathered(flat, starts[:-1], np.diff(starts), codes)
+        return ids, np.concatenate(([0], ends))[bounds + np.arange(len(bounds))]
 
 
 def candidates(ids: np.ndarray, bounds: np.ndarray, ends_sentence: np.ndarray, length: int, sentence: float, cut: float):
@@ -134,8 +181,12 @@ def candidates(ids: np.ndarray, bounds: np.ndarray, ends_sentence: np.ndarray, l
     sentences, which are offered only where a gap is longer than an eighth of a window, ``cut``.
     """
     n = len(ids)
-    places = np.union1d(np.flatnonzero(ends_sentence[ids]) + 1, bounds[1:])
-    places = places[(places > 0) & (places <= n)]
+    whole = np.zeros(n + 1, bool)
+    whole[bounds[1:][bounds[1:] <= n]] = True
+    ends = whole.copy()
+    ends[1:] |= ends_sentence[ids]
+    ends[0] = False
+    places = np.flatnonzero(ends)
     gaps = np.diff(np.concatenate(([0], places)))
     wide = np.flatnonzero(gaps > length // 8)
     if len(wide):
@@ -148,7 +199,7 @@ def candidates(ids: np.ndarray, bounds: np.ndarray, ends_sentence: np.ndarray, l
         places, penalty = all_places[order], penalty[order]
     else:
         penalty = np.full(len(places), sentence)
-    penalty[np.isin(places, bounds[1:])] = 0
+    penalty[whole[places]] = 0
     return places, penalty
 
 
@@ -282,7 +333,7 @@ def pack(
             before[0] += max(0, upto - begin[first])
             begin = np.maximum(begin[first:] - upto, 0)
 
-        for batch in (b for big in batches for b in pieces([big], text, 2 << 20)):
+        for batch in (b for big in batches for b in pieces([big], text, BATCH)):
             kind = batch.schema.field(0).type
             more, bounds = encode(batch.column(1))
             begin = np.concatenate((begin, bounds[:-1] + len(ids)))

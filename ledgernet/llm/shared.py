@@ -3,14 +3,27 @@
 from __future__ import annotations
 
 import os
+import pickle
 import uuid
+from typing import Any
 from urllib.parse import urlparse
 
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgernet.sources.workspace import shared_dir, stored
 
 
+def handed_out(spark: SparkSession, model: Any) -> Broadcast:
+    """Broadcast a model of this package; its class travels along, since workers may lack the package."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(model))
+
+
+def received(given: Broadcast) -> Any:
+    """The model that was ``handed_out``; a worker reads it once."""
+    if not hasattr(given, "model"):
+        given.model = pickle.loads(given.value)
+    return given.model
 
 
 def model_folder(spark: SparkSession, name: str) -> str:

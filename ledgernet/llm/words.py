@@ -28,14 +28,19 @@ def frugal(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # Other C libraries lack it.
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            give_back()
 
     return wrapped
 
 
+def give_back() -> None:
+    """Return freed memory of this process to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # Other C libraries lack it.
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit integers (the splitmix finaliser)."""
     x = (x ^ (x >> _S30)) * _M1
