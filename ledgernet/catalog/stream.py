@@ -34,10 +34,11 @@ def _run(spark, sf_dir, start):
     union all select 'vertex', 'empenho', count(*), round(sum(value), 2) from events
     union all select 'vertex', 'fornecedor', count(distinct user_id), null from events
     union all select 'vertex', 'orgao', count(distinct event_type), null from events
-    union all select 'dangling', 'all', 0, null""",
+    union all select 'dangling', 'all', 0, null
+    union all select 'repeated', 'all', count(*), null from events""",
 )
 def stream_ingest(spark, sf_dir):
-    """Events as commitments: the user is paid, the event type commits; copies are dropped."""
+    """Events as commitments: the user is paid, the event type commits; copies are dropped and listed."""
     out, state = scratch_path(spark, "ingested"), scratch_path(spark, "ingest-checkpoint")
 
     def start(events):
@@ -52,7 +53,7 @@ def stream_ingest(spark, sf_dir):
             F.lit(None).cast("string").alias("contrato_id"),
             F.col("ts").alias("arrived"),
         )
-        return I.ingest_commitments(records, out, state, delay="60 days")
+        return I.ingest_commitments(records, out, state)
 
     _run(spark, sf_dir, start)
     graph = I.ingested_graph(spark, out)
@@ -65,7 +66,11 @@ def stream_ingest(spark, sf_dir):
     loose = dangling_edges(graph).agg(
         F.lit("dangling").alias("part"), F.lit("all").alias("type"), F.count("*").alias("row_count"), F.lit(None).cast("double").alias("valor")
     )
-    return counted(graph.edges, "edge", "edge_type").unionByName(counted(graph.vertices, "vertex", "node_type")).unionByName(loose)
+    again = spark.read.parquet(f"{out}/repeated").agg(
+        F.lit("repeated").alias("part"), F.lit("all").alias("type"), F.count("*").alias("row_count"), F.lit(None).cast("double").alias("valor")
+    )
+    tables = counted(graph.edges, "edge", "edge_type").unionByName(counted(graph.vertices, "vertex", "node_type"))
+    return tables.unionByName(loose).unionByName(again)
 
 
 @query(

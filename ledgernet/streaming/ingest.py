@@ -18,8 +18,10 @@ from ledgernet.functions.text import join_id
 from ledgernet.graph import SpendGraph
 from ledgernet.operators.graph_build import build_edges, build_vertices, commitment_vertices
 from ledgernet.operators.normalize import normalize_commitments
-from ledgernet.operators.quality import commitment_checks, split_valid
+from ledgernet.operators.quality import commitment_checks, dedup_first, split_valid
+from ledgernet.schema import COMMITMENTS
 from ledgernet.sources.workspace import delete_path
+from ledgernet.streaming.history import BITS, History
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:
@@ -34,24 +36,40 @@ def _write_batch(table: DataFrame, path: str, batch: int) -> None:
     table.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
-def ingest_commitments(records: DataFrame, out: str, checkpoint: str, arrived: str = "arrived", delay: str = "1 day") -> StreamingQuery:
+def ingest_commitments(
+    records: DataFrame, out: str, checkpoint: str, arrived: str = "arrived", bits: int = BITS
+) -> StreamingQuery:
     """Grow the commitment, vertex and edge tables under ``out`` with what has landed.
 
-    Records repeat an id at most ``delay`` after its first sight; rejected records go to
-    their own table. Runs until all landed files are read.
+    An id counts once over the whole load, however late it comes again: of a batch its
+    first record by ``arrived`` (then by content) is taken, and ids that earlier batches
+    hold are dropped and listed in ``repeated``. No state is kept but bitmaps of id hashes
+    (see ``History``). Rejected records go to their own table. Runs until all landed files
+    are read; a batch that runs twice leaves its rows once.
     """
     good, _ = split_valid(records, commitment_checks())
-    keyed = good.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["id"])
+    spark = records.sparkSession
+    history = History(spark, out, bits)
 
     def rebuild(batch: DataFrame, number: int) -> None:
-        commitments = normalize_commitments(batch).persist()
-        _write_batch(commitments, f"{out}/commitments", number)
+        rest = [c for c in batch.columns if c not in ("id", arrived)]
+        once = dedup_first(batch, ["id"], [arrived, *rest])
+        again = None
+        if history.before(number) is not None:
+            known = spark.read.parquet(f"{out}/commitments").where(F.col("batch") < number)
+            again = history.seen_again(once, "id", number, known.select(F.col("empenho_id").alias("id")))
+        if again is not None:
+            _write_batch(again, f"{out}/repeated", number)
+            again = spark.read.parquet(f"{out}/repeated/batch={number}")
+            once = once.join(again, "id", "left_anti")
+        _write_batch(normalize_commitments(once), f"{out}/commitments", number)
+        commitments = spark.read.schema(COMMITMENTS).parquet(f"{out}/commitments/batch={number}")
         _write_batch(commitment_vertices(commitments), f"{out}/vertices", number)
         _write_batch(_named(commitments), f"{out}/named", number)
         _write_batch(build_edges(commitments, include_contracts=True), f"{out}/edges", number)
-        commitments.unpersist()
+        history.add(commitments, "empenho_id", number)
 
-    return keyed.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return good.writeStream.foreachBatch(rebuild).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 _ENDS = {V.FORNECEDOR: "fornecedor_id", V.ORGAO: "orgao_id", V.CONTRATO: "contrato_id"}

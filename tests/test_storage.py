@@ -9,6 +9,7 @@ from ledgernet.operators.graph_build import dangling_edges, graph_summary
 from ledgernet.operators.metrics import weighted_degree
 from ledgernet.operators.projection import agency_supplier_links
 from ledgernet.sources import export, workspace
+from ledgernet.streaming import history as H
 from ledgernet.streaming import ingest as I
 
 
@@ -104,6 +105,33 @@ def test_stream_grows_the_tables_and_drops_copies_and_bad_rows(spark, tmp_path):
     assert spark.read.parquet(f"{out}/rejected").count() == 2
 
 
+def test_an_id_that_returns_years_later_is_dropped(spark, tmp_path):
+    """Also with bitmaps of 32,768 bits for 3,000 ids, where some new ids share a bit with old ones."""
+    landed, out, state = (str(tmp_path / n) for n in ("landed", "out", "state"))
+    run = lambda: I.ingest_commitments(I.read_landed(spark, landed, RECORD), out, state, bits=15).awaitTermination()
+    land(spark, landed, [record(f"E{i}", "1", 1) for i in range(3000)])
+    run()
+    late = [(*record(f"E{i}", "2", 1)[:-1], "2031-05-05 00:00:00") for i in range(2990, 6000)]
+    land(spark, landed, [*late, late[-1]])
+    run()
+    land(spark, landed, [record("E5", "3", 1), record("E6001", "3", 1), record("E5999", "3", 2)])
+    run()
+    amounts = as_dict(spark.read.parquet(f"{out}/commitments"), "empenho_id", "valor_empenhado")
+    assert amounts == {**{f"E{i}": 1.0 if i < 3000 else 2.0 for i in range(6000)}, "E6001": 3.0}
+    again = spark.read.parquet(f"{out}/repeated").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in again} == {1: 10, 2: 2}
+    assert sorted(p.name for p in (tmp_path / "out" / "seen").iterdir() if p.name.startswith("batch=")) == ["batch=1", "batch=2"]
+
+
+def test_bitmaps_hold_every_id_and_merge(spark):
+    ids = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
+    first, second = H.marks(ids.where("k < 'k3'"), "k", 20), H.marks(ids.where("k >= 'k3'"), "k", 20)
+    assert H.suspects(ids, "k", H.merged(first, second), 20).count() == 5000
+    others = spark.range(5000).select(F.concat(F.lit("z"), "id").alias("k"))
+    assert H.suspects(others, "k", H.merged(first, second), 20).count() < 100
+    assert H.suspects(ids, "k", H.marks(ids.limit(0), "k", 20), 20).count() == 0
+
+
 def test_running_degree_equals_the_degree_of_all_rows(spark, tmp_path):
     landed, out, state = (str(tmp_path / n) for n in ("landed", "out", "state"))
     schema = "node_id string, weight double"
