@@ -17,11 +17,12 @@ from ledgernet.functions.amounts import money
 from ledgernet.functions.text import join_id
 from ledgernet.graph import SpendGraph
 from ledgernet.operators.graph_build import build_edges, build_vertices, commitment_vertices
+from ledgernet.operators.membership import BITS
 from ledgernet.operators.normalize import normalize_commitments
 from ledgernet.operators.quality import commitment_checks, dedup_first, split_valid
 from ledgernet.schema import COMMITMENTS
 from ledgernet.sources.workspace import delete_path
-from ledgernet.streaming.history import BITS, History
+from ledgernet.streaming.history import History
 
 
 def read_landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "json", files_per_batch: int | None = None) -> DataFrame:

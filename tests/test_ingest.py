@@ -14,7 +14,7 @@ from conftest import BASIC, SF, as_dict
 from ledgernet import schema as S
 from ledgernet.operators import normalize as N
 from ledgernet.operators import quality as Q
-from ledgernet.operators.enrichment import enrich_suppliers
+from ledgernet.operators.enrichment import enrich_suppliers, registry_table
 from ledgernet.operators.graph_build import filter_period
 from ledgernet.operators.state_records import flatten, scan_years
 from ledgernet.plans.load import clean, load_graph
@@ -326,6 +326,20 @@ def test_enrichment_by_root_and_full_number_never_multiplies(spark):
     assert empty.count() == 6
 
 
+def test_registry_is_filtered_before_it_moves(spark):
+    """Of 100,000 companies those of 50 suppliers reach the shuffle."""
+    companies = spark.range(100_000).selectExpr("lpad(id, 8, '0') as cnpj", "concat('C', id) as razao_social")
+    suppliers = spark.range(50).selectExpr("cast(id as string) as id", "null as nome", "concat(lpad(id * 7, 8, '0'), '000199') as documento")
+    wanted = spark.range(50).selectExpr("lpad(id * 7, 8, '0') as registry_key")
+    reduced = registry_table(companies, companies.limit(0), wanted)
+    assert 50 <= reduced.count() < 200
+    assert reduced.join(wanted, "registry_key", "left_semi").count() == 50
+    plan = reduced._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("hashpartitioning(registry_key") < plan.index("BroadcastHashJoin")
+    names = as_dict(enrich_suppliers(suppliers, companies, companies.limit(0)), "id", "nome")
+    assert names == {str(i): f"C{i * 7}" for i in range(50)}
+
+
 def test_synthetic_payload_is_seeded_and_holds_the_patterns(spark):
     today = F.lit("2024-06-30").cast("date")
     made = synthetic.generate(spark, seed=3, today=today)

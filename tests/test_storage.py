@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 from conftest import as_dict
 from ledgernet import vocabulary as V
 from ledgernet.operators.graph_build import dangling_edges, graph_summary
+from ledgernet.operators import membership as H
 from ledgernet.operators.metrics import weighted_degree
 from ledgernet.operators.projection import agency_supplier_links
 from ledgernet.sources import export, workspace
-from ledgernet.streaming import history as H
 from ledgernet.streaming import ingest as I
 
 
