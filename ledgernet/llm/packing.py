@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field
-from ledgernet.llm.words import frugal, pieces, words
+from ledgernet.llm.words import frugal, give_back, pieces, words
 
 #: Token texts after which a sentence is over, without the mark of a word's end.
 ENDINGS = (".", "!", "?")
@@ -21,11 +21,11 @@ LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Punctuation that never belongs to the letters before it, nor to a special token.
 TRAILING = ".,;:!?*%$&#"
 #: Pieces of words whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pieces that are encoded as one text.
 JOINED = 500
 #: Bytes of text that are encoded together.
-BATCH = 3 << 20
+BATCH = 2 << 20
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
 BLOCK = 1 << 19
 
@@ -89,6 +89,7 @@ class WordIds:
         for token, number in vocabulary.items():
             self.ends_sentence[number] = token.removesuffix(suffix).endswith(ENDINGS)
             self.ends_word[number] = token.endswith(suffix)
+        del vocabulary
         special = {n: t.content for n, t in self.tokenizer.get_added_tokens_decoder().items() if t.special}
         self.mark_id, self.mark = next(iter(sorted(special.items())), (None, None))
         self.clear()
@@ -343,6 +344,7 @@ def pack(
             ids = np.concatenate((ids, more))
             if len(ids) >= BLOCK:
                 yield from flush(False)
+                give_back()
         if len(ids):
             yield from flush(True)
 
