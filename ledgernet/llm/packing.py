@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import deque
 
 import numpy as np
@@ -24,6 +25,8 @@ TRAILING = ".,;:!?*%$&#"
 REMEMBERED = 200_000
 #: Pieces that are encoded as one text.
 JOINED = 500
+#: Texts that pass the library at a time.
+TOGETHER = 64
 #: Bytes of text that are encoded together.
 BATCH = 2 << 20
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
@@ -57,18 +60,6 @@ def in_two(distinct: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
     return pc.if_else(plain, pc.ascii_lower(core), core), ending, parted
 
 
-def letters_only(tokenizer):
-    """The same model and normaliser, for texts of letters and blanks, which need no pattern to be split."""
-    from tokenizers import Tokenizer, normalizers, pre_tokenizers
-
-    simple = Tokenizer.from_str(tokenizer.to_str())
-    simple.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
-    simple.pre_tokenizer = pre_tokenizers.Sequence(
-        [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
-    )
-    return simple
-
-
 class WordIds:
     """Token ids of whole texts. Pieces of words are encoded once and remembered.
 
@@ -77,11 +68,15 @@ class WordIds:
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end_id = end_id
-        self.for_letters = letters_only(self.tokenizer)
+        # What is done to text before the model sees it: as the file says, or, for texts of
+        # letters and blanks, without the patterns that they do not need.
+        simple = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()])
+        blanks = [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        self.before = {False: (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer), True: (simple, pre_tokenizers.Sequence(blanks))}
         suffix = "</w>"
         vocabulary = self.tokenizer.get_vocab()
         self.ends_sentence = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -124,22 +119,27 @@ class WordIds:
 
     def letters(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of letters: each is one word, whose last token bears the mark of a word's end."""
-        joined = [" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)]
-        found = self.for_letters.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        ids = self.ids_of([" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)], letters=True)
         return ids, np.diff(np.concatenate(([-1], np.flatnonzero(self.ends_word[ids]))))
 
     def marked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joined = [self.mark.join([*texts[i : i + JOINED], ""]) for i in range(0, len(texts), JOINED)]
-        found = self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.empty(0, np.uint32), *(np.array(e.ids, np.uint32) for e in found)])
+        """Any pieces: behind each stands a special token."""
+        ids = self.ids_of([self.mark.join([*texts[i : i + JOINED], ""]) for i in range(0, len(texts), JOINED)])
         marks = np.flatnonzero(ids == self.mark_id)
         return np.delete(ids, marks), np.diff(np.concatenate(([-1], marks))) - 1
 
     def alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.array([len(x) for x in ids], np.int64)
-        return np.concatenate([np.empty(0, np.uint32), *(np.array(x, np.uint32) for x in ids)]), sizes
+        each = [self.ids_of([x]) for x in texts]
+        return np.concatenate([np.empty(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
+
+    def ids_of(self, texts: list[str], letters: bool = False) -> np.ndarray:
+        """Ids of all texts one behind the other; the library's bulky results are dropped as they come."""
+        self.tokenizer.normalizer, self.tokenizer.pre_tokenizer = self.before[letters]
+        out = [np.empty(0, np.uint32)]
+        for i in range(0, len(texts), TOGETHER):
+            found = self.tokenizer.encode_batch_fast(texts[i : i + TOGETHER], add_special_tokens=False)
+            out.extend(np.array(e.ids, np.uint32) for e in found)
+        return np.concatenate(out)
 
     def __call__(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows one behind the other, the end id behind each, and where rows begin."""
@@ -279,6 +279,7 @@ def pack(
     read = docs.select(field(docs, key), field(docs, text).cast("string"))
 
     def run(batches):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # A task has one core.
         encode = WordIds(tokenizer, end_id)
         made = 0  # sequences so far
         ids = np.empty(0, np.uint32)
