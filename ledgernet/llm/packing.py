@@ -22,13 +22,13 @@ LETTERS = "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"
 #: Punctuation that never belongs to the letters before it, nor to a special token.
 TRAILING = ".,;:!?*%$&#"
 #: Pieces of words whose ids a task remembers; it starts anew beyond that.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 #: Pieces that are encoded as one text.
 JOINED = 500
 #: Texts that pass the library at a time.
 TOGETHER = 64
 #: Bytes of text that are encoded together.
-BATCH = 2 << 20
+BATCH = 3 << 20
 #: Tokens that are cut into windows at a time; what the last window holds moves on to the next time.
 BLOCK = 1 << 19
 
