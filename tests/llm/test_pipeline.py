@@ -13,11 +13,19 @@ from ledgernet.llm.queries import QUERIES  # noqa: E402
 SMALL = "/root/testdata/sf0.001"
 
 
-def test_all_ten_operators_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_operators_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
 
 
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_take_an_empty_table(spark, stage):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
+    got = stage[1](spark, docs, SMALL)
+    assert got.count() == 0
+    assert stage[0] == "packing" or got.columns == docs.columns
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     """What goes into and comes out of each stage, over documents with planted cases."""
