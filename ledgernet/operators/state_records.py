@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgernet import vocabulary as V
@@ -13,20 +13,14 @@ from ledgernet.functions.dates import month_start
 from ledgernet.functions.text import id_of_key, joined_slugs, nonblank, slugify, stable_key
 from ledgernet.operators.normalize import Collections
 from ledgernet.operators.quality import dedup_first
-
-
-def _first(rows: DataFrame, limit: int, *order: Column | str) -> DataFrame:
-    """The first rows in a total order, left where they are: only their keys meet, to find the last one."""
-    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"k{i}") for i, c in enumerate(order)])
-    last = rows.select(key.alias("key")).orderBy("key").limit(limit).agg(F.max("key")).scalar()
-    return rows.where(key <= last)
+from ledgernet.operators.selection import first_rows
 
 
 def scan_years(records: DataFrame, years: Sequence[str], max_records: int | None = None) -> DataFrame:
     """Records of the given years in that order of years, at most ``max_records`` in all.
 
     ``position`` is a total order of the records of one year. The cap is a cut at the key
-    of the last record that counts.
+    of the last record that counts, which is found by counting.
     """
     if not years:
         wanted, year_order = records, F.lit(0)
@@ -36,7 +30,7 @@ def scan_years(records: DataFrame, years: Sequence[str], max_records: int | None
         year_order = F.array_position(F.lit(names), F.col("Ano"))
     if not max_records or max_records <= 0:
         return wanted
-    return _first(wanted, max_records, year_order, "position")
+    return first_rows(wanted, max_records, year_order, "position")
 
 
 def flatten(records: DataFrame, limit: int | None = None) -> Collections:
@@ -46,7 +40,7 @@ def flatten(records: DataFrame, limit: int | None = None) -> Collections:
     stay text, so that the validation of a load sees those that are no number.
     """
     if limit and limit > 0:
-        records = _first(records, limit, "position")
+        records = first_rows(records, limit, F.lit(0), "position")
 
     agency = F.coalesce(F.trim("Unidade"), F.lit(""))
     document = F.coalesce(F.trim("CPFCNPJ"), F.lit(""))
