@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgernet.llm.columns import field, free_name
-from ledgernet.llm.shared import kept, model_folder, write_file
+from ledgernet.llm.shared import Maps, kept, model_folder, write_arrays
 from ledgernet.llm.words import frugal, hashes, mix, pieces, words
 
 #: Marks before the first and behind the last word of a text.
@@ -24,6 +24,10 @@ START, END = np.uint64(0x53), np.uint64(0x45)
 _TURN = np.uint64(0xD1342543DE82EF95)
 #: Bytes of text that a shard of the counts stands for.
 SHARD_BYTES = 9_000_000
+#: Files of 2 to this power hold a shard each; more shards share files, 16 at most.
+FILE_BITS = 7
+#: Files a scorer keeps mapped.
+MAPPED = 64
 #: Pairs a task adds up before it sends them off.
 GATHERED = 1_000_000
 #: Bytes of text that are counted or scored together.
@@ -31,6 +35,8 @@ BATCH = 2 << 20
 #: Texts from which frequent words are told, only to spread them over shards.
 SAMPLED = 500
 WORD = [("x", np.uint64), ("tokens", np.uint64), ("types", np.uint32), ("n1", np.uint32), ("n2", np.uint32), ("n3", np.uint32)]
+#: The arrays of a shard of pairs: keys that came up once, keys that came up more often, how often.
+PAIR = [np.uint64, np.uint64, np.uint32]
 
 
 def packed(*arrays: np.ndarray) -> bytes:
@@ -77,6 +83,19 @@ class Layout:
     hot: np.ndarray
     spread: np.ndarray
 
+    @property
+    def shared_bits(self) -> int:
+        """A file holds 2 to this power of neighbouring shards."""
+        return min(max(self.bits - FILE_BITS, 0), 4)
+
+    def path(self, folder: str, what: str, file: int) -> str:
+        return f"{folder}/{what}/{file >> 10}/{file & 1023}"
+
+    def place(self, folder: str, what: str, shard: int, width: int) -> tuple[str, int]:
+        """The file with a shard and the place of the first of its ``width`` arrays."""
+        within = shard & ((1 << self.shared_bits) - 1)
+        return self.path(folder, what, shard >> self.shared_bits), within * width
+
     def of_words(self, x: np.ndarray) -> np.ndarray:
         return (mix(x) >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)
 
@@ -155,8 +174,8 @@ def learn_language(docs: DataFrame, *, text: str = "text") -> Model:
        word (behind how many contexts, how often).
     3. Words are added up and written in the same way.
 
-    Every text and every pair counts. Shards follow the size of the texts; the driver gets
-    a few figures per shard.
+    Every text and every pair counts. Shards follow the size of the texts and share files
+    when they are many; the driver gets their added figures.
     """
     spark = docs.sparkSession
     docs = docs.select(field(docs, text).cast("string").alias("text"))
@@ -192,21 +211,42 @@ def learn_language(docs: DataFrame, *, text: str = "text") -> Model:
         if held:
             yield from send()
 
+    def shards_of(table: pa.Table):
+        """The shards of a file in order, those without rows too."""
+        first = table["shard"][0].as_py() >> layout.shared_bits << layout.shared_bits
+        shards = table["shard"].to_numpy()
+        for shard in range(first, first + (1 << layout.shared_bits)):
+            yield table["blob"].take(np.flatnonzero(shards == shard)).to_pylist()
+
+    def path_of(table: pa.Table, what: str) -> str:
+        return layout.path(folder, what, table["shard"][0].as_py() >> layout.shared_bits)
+
     def merge_pairs(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        parts = [unpacked(b, np.uint64, np.uint64, np.uint32) for b in table["blob"].to_pylist()]
-        context, word, n = (np.concatenate(x) for x in zip(*parts))
-        del parts
-        key = key_of(context, word)
-        order = np.argsort(key)
-        key, context, word, n = key[order], context[order], word[order], n[order].astype(np.uint64)
-        head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        key, context, word, n = key[head], context[head], word[head], np.add.reduceat(n, head)
-        # Most pairs come up once: their counts need no room.
-        once = n == 1
-        write_file(f"{folder}/once-{shard}", key[once].tobytes())
-        write_file(f"{folder}/more-{shard}", key[~once].tobytes())
-        write_file(f"{folder}/times-{shard}", n[~once].astype(np.uint32).tobytes())
+        sides = []
+
+        def merged():
+            for blobs in shards_of(table):
+                parts = [unpacked(b, np.uint64, np.uint64, np.uint32) for b in blobs]
+                if not parts:
+                    yield from (np.empty(0, k) for k in PAIR)
+                    continue
+                context, word, n = (np.concatenate(x) for x in zip(*parts))
+                del parts
+                key = key_of(context, word)
+                order = np.argsort(key)
+                key, context, word, n = key[order], context[order], word[order], n[order].astype(np.uint64)
+                head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+                key, context, word, n = key[head], context[head], word[head], np.add.reduceat(n, head)
+                # Most pairs come up once: their counts need no room.
+                once = n == 1
+                yield from (key[once], key[~once], n[~once].astype(np.uint32))
+                sides.append(side_of(context, word, n))
+
+        write_arrays(path_of(table, "pairs"), merged())
+        return pa.concat_tables(sides)
+
+    def side_of(context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.Table:
+        """What the words of a shard's pairs gather, for the shards of the words."""
         one = np.ones(len(n), np.uint64)
         zero = np.zeros(len(n), np.uint64)
         side = summed(
@@ -233,52 +273,55 @@ def learn_language(docs: DataFrame, *, text: str = "text") -> Model:
         )
 
     def merge_words(table: pa.Table) -> pa.Table:
-        shard = table["shard"][0].as_py()
-        parts = [unpacked(b, *(k for _, k in WORD)) for b in table["blob"].to_pylist()]
-        columns = summed(*(np.concatenate(x).astype(np.uint64) for x in zip(*parts)))
-        for (name, kind), column in zip(WORD, columns):
-            write_file(f"{folder}/{name}-{shard}", column.astype(kind).tobytes())
-        x, tokens, types, *follow = columns
-        start = x == START
-        figures = [int(tokens.sum()), int((tokens > 0).sum()), int(types.sum())]
-        figures += [int((types == k).sum()) for k in (1, 2, 3, 4)] + [int((types >= 3).sum())]
-        figures += [int(c[start].sum()) for c in follow]
-        return pa.table({"figures": pa.array([figures], pa.list_(pa.int64()))})
+        gathered = []
+
+        def merged():
+            for blobs in shards_of(table):
+                parts = [unpacked(b, *(k for _, k in WORD)) for b in blobs]
+                if not parts:
+                    yield from (np.empty(0, k) for _, k in WORD)
+                    continue
+                columns = summed(*(np.concatenate(x).astype(np.uint64) for x in zip(*parts)))
+                yield from (c.astype(k) for c, (_, k) in zip(columns, WORD))
+                x, tokens, types, *follow = columns
+                start = x == START
+                figures = [int(tokens.sum()), int((tokens > 0).sum()), int(types.sum())]
+                figures += [int((types == k).sum()) for k in (1, 2, 3, 4)] + [int((types >= 3).sum())]
+                gathered.append(figures + [int(c[start].sum()) for c in follow])
+
+        write_arrays(path_of(table, "words"), merged())
+        return pa.table({"figures": pa.array(gathered, pa.list_(pa.int64()))})
+
+    def by_file(blobs: DataFrame):
+        return blobs.groupBy(F.shiftright("shard", layout.shared_bits).alias("file"))
+
+    def totals(figures: DataFrame, n: int) -> list[int]:
+        added = figures.select(F.posexplode("figures").alias("i", "figure")).groupBy("i").agg(F.sum("figure").alias("sum"))
+        rows = dict(added.collect())
+        return [rows.get(i, 0) for i in range(n)]
 
     counted = docs.mapInArrow(frugal(count), "shard int, blob binary")
-    sides = kept(counted.groupBy("shard").applyInArrow(merge_pairs, "shard int, blob binary, figures array<long>"), "pairs")
-    of_pairs = np.sum([[0] * 5, *(r[0] for r in sides.where("figures is not null").select("figures").collect())], axis=0)
-    merged = sides.select("shard", "blob").groupBy("shard").applyInArrow(merge_words, "figures array<long>")
-    of_words = np.sum([[0] * 11, *(r[0] for r in merged.collect())], axis=0)
-    tokens, vocabulary, pair_types, m1, m2, m3, m4, m3plus, *start = (int(v) for v in of_words)
+    sides = kept(by_file(counted).applyInArrow(merge_pairs, "shard int, blob binary, figures array<long>"), "pairs")
+    *of_pairs, texts = totals(sides, 5)
+    of_words = totals(by_file(sides.select("shard", "blob")).applyInArrow(merge_words, "figures array<long>"), 11)
+    tokens, vocabulary, pair_types, m1, m2, m3, m4, m3plus, *start = of_words
     return Model(
-        folder, layout, tokens, vocabulary, int(of_pairs[4]), tuple(start), pair_types,
-        discounts_of(*(int(v) for v in of_pairs[:4])), discounts_of(m1, m2, m3, m4), (m1, m2, m3plus),
+        folder, layout, tokens, vocabulary, texts, tuple(start), pair_types,
+        discounts_of(*of_pairs), discounts_of(m1, m2, m3, m4), (m1, m2, m3plus),
     )
 
 
 class Arrays:
-    """The model's files, mapped into memory when a shard is first asked for."""
+    """The model's files, mapped into memory as shards are asked for; a bounded number stays open."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.open: dict = {}
-
-    def mapped(self, name: str, shard: int, kind) -> np.ndarray:
-        if (name, shard) not in self.open:
-            path = f"{self.model.folder}/{name}-{shard}"
-            try:
-                self.open[name, shard] = np.asarray(np.memmap(path, kind, "r"))
-            except (FileNotFoundError, ValueError):  # A shard without rows has no file, or an empty one.
-                self.open[name, shard] = np.empty(0, kind)
-        return self.open[name, shard]
-
-    def found(self, name: str, shard: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = self.mapped(name, shard, np.uint64)
-        if not len(keys):
-            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return at, keys[at] == wanted
+        self.maps = Maps(MAPPED)
+
+    def of_shard(self, what: str, shard: int, kinds: list) -> list[np.ndarray]:
+        """The arrays of a shard, empty for one without rows."""
+        path, first = self.model.layout.place(self.model.folder, what, shard, len(kinds))
+        return [self.maps.array(path, first + i, kind) for i, kind in enumerate(kinds)]
 
     def by_shard(self, shards: np.ndarray, keys: np.ndarray):
         """Which of the keys each shard is asked for, in the order of its array."""
@@ -290,22 +333,32 @@ class Arrays:
     def words(self, x: np.ndarray) -> dict[str, np.ndarray]:
         out = {name: np.zeros(len(x)) for name, _ in WORD[1:]}
         for shard, rows in self.by_shard(self.model.layout.of_words(x), x):
-            at, hit = self.found("x", shard, x[rows])
-            for name, kind in WORD[1:]:
-                out[name][rows[hit]] = self.mapped(name, shard, kind)[at[hit]]
+            keys, *columns = self.of_shard("words", shard, [k for _, k in WORD])
+            at, hit = found(keys, x[rows])
+            for (name, _), column in zip(WORD[1:], columns):
+                out[name][rows[hit]] = column[at[hit]]
         return out
 
     def pairs(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         out = np.zeros(len(context))
         keys = key_of(context, word)
         for shard, rows in self.by_shard(self.model.layout.of_pairs(context, word), keys):
-            _, hit = self.found("once", shard, keys[rows])
+            once, more, times = self.of_shard("pairs", shard, PAIR)
+            _, hit = found(once, keys[rows])
             out[rows[hit]] = 1
-            at, hit = self.found("more", shard, keys[rows])
-            out[rows[hit]] = self.mapped("times", shard, np.uint32)[at[hit]]
+            at, hit = found(more, keys[rows])
+            out[rows[hit]] = times[at[hit]]
         return out
 
 
+def found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key would be among sorted ones, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
 def score_batch(arrays: Arrays, text: pa.Array) -> tuple[np.ndarray, ...]:
     """Tokens, known tokens, base score and model score of each text."""
     model = arrays.model

@@ -1,13 +1,17 @@
 """The language model, the toxicity and the quality classifier."""
 
 import math
+import os
 import random
+import resource
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from ledgernet.llm import kneser_ney
 from ledgernet.llm.kneser_ney import discounts_of, learn_language, packed, score_language, unpacked
 from ledgernet.llm.quality import FEATURES, learn_quality, score_quality
 from ledgernet.llm.toxicity import learn_toxicity, score_toxicity, threshold
@@ -68,6 +72,28 @@ def test_scores_match_the_definition(spark, n):
         assert sum(share("<s>", w) for w in words) + share("<s>", "nobody") == pytest.approx(1)
 
 
+def test_many_shards_need_few_files_and_handles(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 3)
+    train = sentences(80, 5)
+    model = learn_language(spark.createDataFrame([(t,) for t in train + train[:9]], "text string"))
+    assert 1 << model.layout.bits >= 2000
+    files = [f for _, _, names in os.walk(model.folder) for f in names]
+    assert 2 << (model.layout.bits - model.layout.shared_bits) >= len(files) > kneser_ney.MAPPED
+    words, share = by_definition(train + train[:9])
+    soft, hard = resource.getrlimit(resource.RLIMIT_NOFILE)
+    asked = train[:20] + [" ".join(train)]  # A long text asks all shards.
+    arrays = kneser_ney.Arrays(model)
+    try:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (256, hard))
+        scores = kneser_ney.score_batch(arrays, pa.array(asked))[3]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, (soft, hard))
+    assert len(arrays.maps.open) <= kneser_ney.MAPPED
+    for text, score in zip(asked, scores):
+        tokens = text.lower().split() + [None]
+        assert score == pytest.approx(sum(math.log10(share(c, t)) for c, t in zip(["<s>", *tokens], tokens)), abs=1e-6)
+
+
 def test_packed_columns_come_back():
     a = np.sort(np.random.default_rng(1).integers(0, 2**63, 50).astype(np.uint64))
     b = np.arange(50, dtype=np.uint32)
