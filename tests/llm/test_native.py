@@ -25,6 +25,31 @@ def test_shards_are_gapless_even_and_match_the_mixture(spark):
         assert max(each) - min(each) <= 2 and sum(each) == n
 
 
+def test_shards_match_a_plain_version(spark):
+    df = spark.range(700).selectExpr(
+        "id", "case when id % 3 = 0 then 'hot' when id % 50 = 1 then null else concat('s', id % 7) end as source"
+    )
+    seed, n_shards = 5, 6
+    hashed = df.select(
+        "id", "source", *[F.xxhash64(F.lit(seed + i), "id", "source").alias(f"h{i}") for i in (0, 1)],
+        F.xxhash64(F.lit(seed + 2), "source").alias("offset"),
+    ).collect()
+    by_source = {}
+    for r in hashed:
+        by_source.setdefault(r["source"], []).append(r)
+    placed = []
+    for rows in by_source.values():
+        rows.sort(key=lambda r: (r["h0"] % 2**64, r["h1"]))
+        shift = ((rows[0]["offset"] % 2**64) >> 12) / 2**52
+        placed += [((i + shift) / len(rows), r["h0"], r["h1"], r["id"]) for i, r in enumerate(rows)]
+    shards = [[] for _ in range(n_shards)]
+    for position, (*_, key) in enumerate(sorted(placed)):
+        shards[position * n_shards // len(placed)].append(key)
+    expected = {key: (shard, slot) for shard, keys in enumerate(shards) for slot, key in enumerate(keys)}
+    got = interleave(df.repartition(5), n_shards=n_shards, seed=seed).collect()
+    assert {r["id"]: (r["shard"], r["slot"]) for r in got} == expected
+
+
 def test_shuffle_follows_the_seed_only(spark):
     rows = spark.createDataFrame([(i, "s") for i in range(50)], "doc_id long, source string")
     one = {r["doc_id"]: (r["shard"], r["slot"]) for r in interleave(rows, seed=1).collect()}
