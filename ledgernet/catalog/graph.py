@@ -87,7 +87,7 @@ def dangling_edges(spark, sf_dir):
 def snapshot_nodes(spark, sf_dir):
     """The node file of the node-link form, written and read back."""
     path = scratch_path(spark, "node-link")
-    export.write_node_link(T.graph(spark, sf_dir), path)
+    export.write_node_link(T.graph(spark, sf_dir, one_pass=True), path)
     schema = "id string, type string, original_id string, nome string, numero string, valor double, data string"
     return spark.read.schema(schema).json(f"{path}/nodes")
 
@@ -96,7 +96,7 @@ def snapshot_nodes(spark, sf_dir):
 def snapshot_links(spark, sf_dir):
     """The link file of the node-link form, written and read back."""
     path = scratch_path(spark, "links")
-    export.write_node_link(T.graph(spark, sf_dir), path)
+    export.write_node_link(T.graph(spark, sf_dir, one_pass=True), path)
     return spark.read.schema("source string, target string, type string, valor double").json(f"{path}/links")
 
 
@@ -113,7 +113,7 @@ def snapshot_links(spark, sf_dir):
 def snapshot_xml(spark, sf_dir):
     """The graph as GraphML, written and read back: the values of each element, and how many it has."""
     path = scratch_path(spark, "graph-xml")
-    export.write_graph_xml(T.graph(spark, sf_dir), path)
+    export.write_graph_xml(T.graph(spark, sf_dir, one_pass=True), path)
 
     def elements(tag, names, id_):
         schema = ", ".join(f"_{n} string" for n in names) + ", data array<struct<_VALUE string, _key string>>"
@@ -378,4 +378,4 @@ def top_neighbors(spark, sf_dir):
     statement("select src as node_id, dst as neighbor_id from edges union select dst, src from edges", "edges"),
 )
 def adjacency(spark, sf_dir):
-    return X.adjacency(T.graph(spark, sf_dir).edges)
+    return X.adjacency(T.graph(spark, sf_dir, one_pass=True).edges)

@@ -38,6 +38,10 @@ def snapshot_links(edges: DataFrame) -> DataFrame:
     )
 
 
+#: Graph files repeat the names of fields and the beginnings of ids in every element.
+_COMPRESSION = "gzip"
+
+
 def write_node_link(graph: SpendGraph, path: str) -> None:
     """Two JSON datasets, ``nodes`` and ``links``; null fields are left out."""
     snapshot_nodes(graph.vertices).write.mode("overwrite").json(f"{path}/nodes")
@@ -87,7 +91,7 @@ def _documents(lines: DataFrame, keys: list[str]) -> DataFrame:
 def write_graph_xml(graph: SpendGraph, path: str) -> None:
     """GraphML: every part file is a document of directed edges or of nodes, with typed keys.
 
-    Together the files of ``nodes`` and ``edges`` are the graph.
+    Together the files of ``nodes`` and ``edges`` are the graph. They are compressed.
     """
     writers = {
         "nodes": ("node", snapshot_nodes(graph.vertices), {"id": "id"}),
@@ -99,7 +103,7 @@ def write_graph_xml(graph: SpendGraph, path: str) -> None:
             f'<key id="{f.name}" for="{tag}" attr.name="{f.name}" attr.type="{_KINDS.get(f.dataType, "string")}"/>' for f in data
         ]
         lines = rows.select(_element(tag, attributes, [f.name for f in data]))
-        _documents(lines, keys).write.mode("overwrite").text(f"{path}/{name}")
+        _documents(lines, keys).write.mode("overwrite").text(f"{path}/{name}", compression=_COMPRESSION)
 
 
 def write_report(summary: DataFrame, documents: DataFrame, path: str) -> None:

@@ -157,3 +157,19 @@ def test_daily_counts_over_batches(spark, tmp_path):
         I.count_daily(I.read_landed(spark, landed, schema), "ts", "kind", out, state).awaitTermination()
     now = I.latest(spark, out, ["day", "kind"], "n").collect()
     assert sorted((r["day"].day, r["n"]) for r in now) == [(1, 2), (2, 1)]
+
+
+def test_graph_files_are_compressed(basic_graph, tmp_path):
+    export.write_graph_xml(basic_graph, str(tmp_path / "xml"))
+    parts = [p.name for p in tmp_path.rglob("part-*")]
+    assert parts and all(name.endswith(".gz") for name in parts)
+
+
+def test_edges_in_one_pass(basic_tables):
+    from ledgernet.operators.graph_build import build_edges
+
+    gaps = basic_tables.commitments.withColumn("contrato_id", F.expr("if(empenho_id = 'E2', null, contrato_id)"))
+    one, many = build_edges(gaps, True, one_pass=True), build_edges(gaps, True)
+    assert one.count() == 8 and one.exceptAll(many).count() == 0 and one.columns == many.columns
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
