@@ -43,9 +43,9 @@ _COMPRESSION = "gzip"
 
 
 def write_node_link(graph: SpendGraph, path: str) -> None:
-    """Two JSON datasets, ``nodes`` and ``links``; null fields are left out."""
-    snapshot_nodes(graph.vertices).write.mode("overwrite").json(f"{path}/nodes")
-    snapshot_links(graph.edges).write.mode("overwrite").json(f"{path}/links")
+    """Two JSON datasets, ``nodes`` and ``links``, compressed; null fields are left out."""
+    snapshot_nodes(graph.vertices).write.mode("overwrite").json(f"{path}/nodes", compression=_COMPRESSION)
+    snapshot_links(graph.edges).write.mode("overwrite").json(f"{path}/links", compression=_COMPRESSION)
 
 
 _GRAPHML = "http://graphml.graphdrawing.org/xmlns"

@@ -160,6 +160,7 @@ def test_daily_counts_over_batches(spark, tmp_path):
 
 
 def test_graph_files_are_compressed(basic_graph, tmp_path):
+    export.write_node_link(basic_graph, str(tmp_path / "json"))
     export.write_graph_xml(basic_graph, str(tmp_path / "xml"))
     parts = [p.name for p in tmp_path.rglob("part-*")]
     assert parts and all(name.endswith(".gz") for name in parts)
