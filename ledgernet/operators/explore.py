@@ -83,8 +83,20 @@ def visible_links(edges: DataFrame, visible: DataFrame) -> DataFrame:
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
-    """Distinct undirected neighbour pairs ``(node_id, neighbor_id)``, each listed both ways."""
-    return both_ends(edges).distinct()
+    """Distinct undirected neighbour pairs ``(node_id, neighbor_id)``, each listed both ways.
+
+    Pairs are made distinct with the smaller end first, nulls before all, and listed from both
+    ends after that: half the rows move.
+    """
+    src, dst = F.col("src"), F.col("dst")
+    ordered = F.coalesce(src <= dst, src.isNull())
+    pairs = edges.select(
+        F.when(ordered, src).otherwise(dst).alias("node_id"), F.when(ordered, dst).otherwise(src).alias("neighbor_id")
+    ).distinct()
+    there = F.struct("node_id", "neighbor_id")
+    back = F.struct(F.col("neighbor_id").alias("node_id"), F.col("node_id").alias("neighbor_id"))
+    loop = F.col("node_id").eqNullSafe(F.col("neighbor_id"))
+    return pairs.select(F.inline(F.when(loop, F.array(there)).otherwise(F.array(there, back))))
 
 
 def neighbors_of(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -206,3 +206,16 @@ def test_dangling_and_induced(spark, basic_graph):
     few = basic_graph.vertices.where("node_type <> 'contrato'")
     sub = E.induced_subgraph(basic_graph, few)
     assert (sub.num_vertices(), sub.num_edges()) == (7, 6)
+
+
+def test_adjacency_moves_each_pair_once(spark):
+    from ledgernet.operators.explore import adjacency
+
+    pairs = [("a", "b"), ("b", "a"), ("c", "c"), ("a", None), (None, "a"), (None, None), ("a", "b")]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    both = {p for a, b in pairs for p in ((a, b), (b, a))}
+    found = [tuple(r) for r in adjacency(edges).collect()]
+    assert len(found) == len(both) and set(found) == both
+    plan = adjacency(edges)._jdf.queryExecution().optimizedPlan().toString()
+    # Rows are listed from both ends above the aggregate, not below it.
+    assert plan.index("Generate") < plan.index("Aggregate")
