@@ -219,3 +219,19 @@ def test_adjacency_moves_each_pair_once(spark):
     plan = adjacency(edges)._jdf.queryExecution().optimizedPlan().toString()
     # Rows are listed from both ends above the aggregate, not below it.
     assert plan.index("Generate") < plan.index("Aggregate")
+
+
+def test_rounds_of_labels_add_up_numbers_without_sorting(spark):
+    from ledgernet.operators.communities import _numbered, _round
+
+    ids = spark.createDataFrame([("n10", 1), ("n2", 1), ("n1", 1), ("é", 1)], "node_id string, pieces int")
+    numbers = _numbered(ids, "node_id")
+    assert {tuple(r) for r in numbers.select("node_id", "number").collect()} == {("n1", 0), ("n10", 1), ("n2", 2), ("é", 3)}
+    labels = numbers.select(F.col("number").alias("node_id"), F.col("number").alias("label"), "pieces")
+    ends = [(0, 0, 3), (1, 0, 3), (2, 0, 3), (3, 0, 1), (3, 0, 2)]
+    placed = spark.createDataFrame(ends, "neighbor_id long, split int, node_id long")
+    packed, plain = (_round(placed, labels, True, bits) for bits in (3, 0))
+    expected = {(0, 0), (1, 1), (2, 2), (3, 0)}
+    assert {(r["node_id"], r["label"]) for r in packed.collect()} == expected
+    assert {(r["node_id"], r["label"]) for r in plain.collect()} == expected
+    assert "SortAggregate" not in packed._jdf.queryExecution().executedPlan().toString()
