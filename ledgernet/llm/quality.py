@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgernet.llm.columns import free_name
-from ledgernet.llm.labelled import labelled, sample_of
-from ledgernet.llm.shared import handed_out, received
+from ledgernet.llm.columns import field, free_name
+from ledgernet.llm.shared import handed_out, kept, received
 from ledgernet.llm.words import frugal, give_back, pieces, words
+from ledgernet.operators.selection import exact_median, order_statistics
+
+#: Texts that are paired among each other, and how many of the rarer class are among them at least, about.
+BUCKET, PARTNERS = 2000, 50
+#: Tasks that add up the slopes of a step; each sends a megabyte.
+TASKS = 48
 
 FEATURES = [
     "log_words", "word_length", "upper", "digit", "symbol", "bar", "beyond_ascii", "blank", "breaks",
@@ -107,77 +112,128 @@ def spread(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(out, axis=1).astype(float)
 
 
-def train(values: np.ndarray, good: np.ndarray, weight: np.ndarray, *, pairs: int = 40_000, bins: int = 24, ridge: float = 3.0, seed: int = 5) -> Model:
+def preferences(rows: DataFrame, counts: dict[int, int], seed: int = 5) -> DataFrame:
+    """``(better, worse)``: features of texts of label 1 and 0, every text in one pair at least.
+
+    Texts meet within buckets of about ``BUCKET`` by hash. The rarer class is put into as many
+    buckets as it takes to have some ``PARTNERS`` in each, and its texts take part again
+    until all of the other class have a partner.
+    """
+    buckets = -(-(counts[0] + counts[1]) // BUCKET)
+    rare = int(counts[1] < counts[0])
+    copies = min(buckets, -(-buckets * PARTNERS // counts[rare]))
+    times = F.when(F.col("label") == rare, F.lit(copies)).otherwise(F.lit(1))
+    shift = F.explode(F.sequence(F.lit(0), times - 1))
+    dealt = rows.select("*", shift.alias("shift")).withColumn("bucket", F.pmod(F.col("mark") + F.col("shift"), F.lit(buckets)))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("mark", "ascending")])
+        good = table["label"].to_numpy()
+        better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
+        most = max(len(better), len(worse)) if len(better) and len(worse) else 0
+        random = np.random.default_rng([seed, table["bucket"][0].as_py()])
+
+        def often(some: np.ndarray) -> np.ndarray:
+            return np.concatenate([random.permutation(some) for _ in range(-(-most // len(some)))])[:most]
+
+        b, c = (often(better), often(worse)) if most else (better[:0], worse[:0])
+        return pa.table({"better": table["features"].take(b), "worse": table["features"].take(c)})
+
+    return dealt.groupBy("bucket").applyInArrow(run, "better array<double>, worse array<double>")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """The features of a column, a row each."""
+    return column.flatten().to_numpy().reshape(-1, len(FEATURES))
+
+
+def _slopes(pairs: DataFrame, edges: list[np.ndarray], w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and curvature of the log likelihood of all pairs; each task sends one sum."""
+    size, (rows, columns) = len(w), np.triu_indices(len(w))
+
+    def run(batches):
+        gradient, curvature = np.zeros(size), np.zeros((size, size), np.float32)
+        for batch in batches:
+            better, worse = _matrix(batch.column("better")), _matrix(batch.column("worse"))
+            for at in range(0, len(better), 2000):
+                part = slice(at, at + 2000)
+                d = (spread(better[part], edges) - spread(worse[part], edges)).astype(np.float32)
+                p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
+                gradient += d.T @ p
+                curvature += (d * (p * (1 - p)).astype(np.float32)[:, None]).T @ d
+        upper = curvature[np.triu_indices(size)]
+        yield pa.record_batch([pa.array([gradient.tobytes()]), pa.array([upper.tobytes()])], ["gradient", "curvature"])
+
+    gradient, curvature = np.zeros(size), np.zeros((size, size))
+    for row in pairs.mapInArrow(frugal(run), "gradient binary, curvature binary").collect():
+        gradient += np.frombuffer(row["gradient"])
+        curvature[rows, columns] += np.frombuffer(row["curvature"], np.float32)
+    return gradient, curvature + np.triu(curvature, 1).T
+
+
+def train(rows: DataFrame, *, pairs: int = 40_000, bins: int = 24, ridge: float = 3.0, seed: int = 5) -> Model:
     """Bradley-Terry by Newton steps on logistic loss over differences of preferred and other texts.
 
-    ``weight`` says how many rows a sampled one stands for. The cut is the score quantile
-    at the share of label 0 among all of them.
+    ``rows`` is ``(mark, label, features)``, stored; all of them take part in every step, in
+    Spark tasks that send sums. All pairs together weigh as much as ``pairs`` against the
+    ridge. The edges are quantiles of all rows of a class, by sketches of one part in 10,000.
+    The cut is the score quantile at the share of label 0.
     """
-    quantiles = np.linspace(0, 1, bins + 1)[1:-1]
-    of_class = [values[good == k] for k in (0, 1) if (good == k).any()]
-    edges = [
-        np.unique(np.concatenate([np.quantile(v[:, i], quantiles) for v in of_class])) if of_class else np.zeros(1)
-        for i in range(values.shape[1])
-    ]
-    x = spread(values, edges)
-    w = np.zeros(x.shape[1])
-    better, worse = np.flatnonzero(good == 1), np.flatnonzero(good == 0)
-    if len(better) and len(worse):
-        random = np.random.default_rng(seed)
-        # Every text takes part as often as any other of its class.
-        b = better[np.concatenate([random.permutation(len(better)) for _ in range(-(-pairs // len(better)))])[:pairs]]
-        c = worse[np.concatenate([random.permutation(len(worse)) for _ in range(-(-pairs // len(worse)))])[:pairs]]
-        d = x[b] - x[c]
+    counts = {0: 0, 1: 0, **dict(rows.groupBy("label").count().collect())}
+    n = counts[0] + counts[1]
+    shares = np.linspace(0, 1, bins + 1)[1:-1].tolist()
+    marks = [F.percentile_approx(F.col("features")[i], shares, F.lit(10_000)) for i in range(len(FEATURES))]
+    of_class = rows.groupBy("label").agg(*marks).collect()
+    edges = [np.unique(np.concatenate([r[1 + i] for r in of_class])) if of_class else np.zeros(1) for i in range(len(FEATURES))]
+    w = np.zeros(spread(np.zeros((1, len(FEATURES))), edges).shape[1])
+    if counts[0] and counts[1]:
+        pairing = kept(preferences(rows, counts, seed), "preferences").coalesce(TASKS)
+        each = pairs / pairing.count()
         for _ in range(15):
-            p = 1 / (1 + np.exp(np.clip(d @ w, -30, 30)))
-            gradient = d.T @ p - ridge * w
-            hessian = (d * (p * (1 - p))[:, None]).T @ d + ridge * np.eye(len(w))
-            step = np.linalg.solve(hessian, gradient)
+            gradient, curvature = _slopes(pairing, edges, w)
+            step = np.linalg.solve(each * curvature + ridge * np.eye(len(w)), each * gradient - ridge * w)
             w = w + step
-            if np.abs(step).max() < 1e-6:
+            if np.abs(step).max() < 1e-3:
                 break
-    score = x @ w
-    cut = 0.0
-    if len(score):
-        order = np.argsort(score)
-        share = np.cumsum(weight[order]) / weight.sum()
-        bad = weight[good == 0].sum() / weight.sum()
-        at = min(int(np.searchsorted(share, bad + 1e-12)), len(order) - 1)
-        cut = float((score[order[max(0, at - 1)]] + score[order[at]]) / 2)
-    spread_of = float(np.median(np.abs(score - cut))) if len(score) else 1.0
-    return Model(edges, w, cut, max(spread_of / 3, 1e-6))
+    if not n:
+        return Model(edges, w, 0.0, 1 / 3)
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array(spread(_matrix(batch.column("features")), edges) @ w)], ["score"])
+
+    scores = kept(rows.select("features").mapInArrow(frugal(run), "score double").select(F.lit(0).alias("g"), "score"), "scores")
+    at = min(counts[0], n - 1)
+    found = order_statistics(scores, "g", "score", {"low": lambda n: max(at, 1), "high": lambda n: at + 1}).first()
+    cut = (found["low"] + found["high"]) / 2
+    away = scores.select("g", F.abs(F.col("score") - F.lit(cut)).alias("away"))
+    return Model(edges, w, cut, max(exact_median(away, "g", "away").first()["median"] / 3, 1e-6))
 
 
 def learn_quality(
-    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 5000, **options
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", **options
 ) -> Model:
-    """Fit on documents with a label: all of them, or if a class has more, ``most`` of it in hash order.
+    """Fit on all documents with a label.
 
-    ``most`` bounds what the driver holds, 15 numbers a row; texts stay with the workers.
-    The shares of the classes are counted over all labelled documents. Documents without
-    text, key or label are left out; of documents that share a key one is taken.
+    Features are made where the texts are, 15 numbers a row; those of labelled documents are
+    stored. Documents without text, key or label are left out; of documents that share a key
+    one is taken.
     """
-    pairs = labelled(docs, labels, key, text, label)
-    counts = dict(pairs.groupBy("label").count().collect())
-    sample = sample_of(docs, pairs, key, most, 37, text=text).orderBy(F.xxhash64(F.lit(38), "key"), "label")
-    sample = sample.select("text", "label")
+    read = docs.select(field(docs, key).alias("key"), field(docs, text).alias("text")).where("key is not null and text is not null")
 
     def run(batches):
-        for batch in batches:
+        for batch in (b for big in batches for b in pieces([big], "text", 4 << 20)):
             values = features(batch.column("text"))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("label"), pa.array(values.tolist(), pa.list_(pa.float64()))], ["label", "features"]
-            )
+            listed = pa.ListArray.from_arrays(np.arange(0, values.size + 1, len(FEATURES), dtype=np.int32), values.ravel())
+            yield pa.RecordBatch.from_arrays([batch.column("key"), listed], ["key", "features"])
 
-    rows = sample.mapInArrow(frugal(run), "label int, features array<double>").collect()
-    values = np.array([r["features"] for r in rows]).reshape(len(rows), len(FEATURES))
-    good = np.array([r["label"] for r in rows], int)
-    taken = np.bincount(good, minlength=2)
-    weight = np.array([counts[k] / taken[k] for k in good.tolist()])
+    schema = T.StructType([T.StructField("key", read.schema["key"].dataType), T.StructField("features", T.ArrayType(T.DoubleType()))])
+    given = labels.select(field(labels, key).alias("key"), field(labels, label).cast("int").alias("label"))
+    given = given.where("key is not null and label in (0, 1)").distinct()
+    rows = read.mapInArrow(frugal(run), schema).join(given, "key").dropDuplicates(["key", "label"])
     try:
-        return train(values, good, weight, **options)
+        return train(kept(rows.select(F.xxhash64(F.lit(37), "key").alias("mark"), "label", "features"), "features"), **options)
     finally:
-        del rows, values
         give_back()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgernet.llm import kneser_ney
 from ledgernet.llm.kneser_ney import discounts_of, learn_language, packed, score_language, unpacked
-from ledgernet.llm.quality import FEATURES, learn_quality, score_quality
+from ledgernet.llm.quality import FEATURES, features, learn_quality, preferences, score_quality
 from ledgernet.llm.toxicity import learn_toxicity, score_toxicity, threshold
 
 
@@ -170,6 +170,18 @@ def test_quality_is_learned_from_preferences(spark):
     assert score_quality(odd.limit(0), model).count() == 0
 
 
+def test_quality_is_learned_from_all_rows(spark):
+    rng = random.Random(4)
+    texts = [" ".join(["ab"] * rng.randint(4, 60000 if i % 50 == 0 else 90)) for i in range(6500)]
+    given = spark.createDataFrame([(i, t, int(i % 100 > 0)) for i, t in enumerate(texts)], "doc_id long, text string, quality int")
+    model = learn_quality(given, given)
+    lengths = features(pa.array([t for i, t in enumerate(texts) if i % 100]))[:, 0]
+    quantiles = np.quantile(lengths, np.linspace(0, 1, 25)[1:-1], method="inverted_cdf")
+    assert set(quantiles) <= set(model.edges[0])
+    pairs = preferences(given.selectExpr("doc_id mark", "quality label", "array(double(doc_id)) features"), {0: 65, 1: 6435}).collect()
+    assert {r["better"][0] for r in pairs} | {r["worse"][0] for r in pairs} == set(range(6500))
+
+
 def test_quality_without_labels(spark):
     rows = spark.createDataFrame([(1, "a b", None)], "doc_id long, text string, quality int")
     assert 0 <= score_quality(rows, learn_quality(rows, rows)).first()["quality_score"] <= 1
