@@ -133,6 +133,21 @@ def test_toxic_words_are_learned_and_whole_texts_read(spark):
     assert score_toxicity(odd.limit(0), model).count() == 0
 
 
+def test_toxicity_is_counted_over_all_rows(spark, monkeypatch):
+    from ledgernet.llm import toxicity
+
+    monkeypatch.setattr(toxicity, "FEW", 100)
+    rows = spark.createDataFrame(said(3, 3500), "doc_id long, text string, lang string, toxic int")
+    model = learn_toxicity(rows.repartition(4), rows)
+    words = sum(len(r[1].split()) for r in said(3, 3500))
+    shares = np.exp(model.voices.astype(float))
+    # The smallest share is that of a row without a word.
+    totals = [0.05 / s.min() - 0.05 * len(s) for s in shares]
+    assert sum(totals) == pytest.approx(words, rel=1e-3)
+    asked = spark.createDataFrame(said(2, 200), "doc_id long, text string, lang string, toxic int")
+    assert np.mean([r["is_toxic"] == bool(r["toxic"]) for r in score_toxicity(asked, model).collect()]) > 0.95
+
+
 def test_toxicity_without_two_classes(spark):
     rows = spark.createDataFrame([(1, "a b", None, 0), (2, None, "en", 1)], "doc_id long, text string, lang string, toxic int")
     for given in (rows, rows.limit(0)):
