@@ -25,6 +25,23 @@ def suite(basic_graph):
     return run_suite(basic_graph)
 
 
+def test_communities_found_alike_with_few_and_many_centers(spark, basic_graph, monkeypatch):
+    edges = spark.createDataFrame(
+        [("a", "x", "t", 5.0), ("a", "x", "t", 4.0), ("b", "x", "t", 1.0), ("b", "y", "t", 2.0), ("c", "z", "t", 3.0), ("c", "c", "t", 7.0)], EDGE
+    )
+    vertices = spark.createDataFrame([(i, "orgao", i) for i in "abcxyz"], "id string, node_type string, nome string").select(
+        *[F.col(c) if c in ("id", "node_type", "nome") else F.lit(None).cast(t).alias(c) for c, t in basic_graph.vertices.dtypes]
+    )
+    labels = spark.createDataFrame([("a", "1"), ("b", "1"), ("x", "1"), ("y", "1"), ("c", "2"), ("z", "2")], "node_id string, label string")
+    seen, plain = [], D.E.ego_networks
+    monkeypatch.setattr(D.E, "ego_networks", lambda *a, **o: seen.append(o["few"]) or plain(*a, **o))
+    found = []
+    for most in (2, 1):
+        monkeypatch.setattr(D, "FEW", most)
+        found.append([sorted(map(repr, t.collect())) for t in D.isolated_communities(edges, vertices, labels)])
+    assert seen == [True, False] and found[0] == found[1]
+
+
 def scores(risk):
     return {r["node_id"]: (round(r["score"], 6), r["signals"]) for r in risk.collect() if not r["node_id"].startswith("contrato")}
 
