@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections import deque
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,14 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, codes: np.
     return flat[np.repeat(starts[codes] - (ends - each), each) + np.arange(total)], ends
 
 
+def listed(texts: pa.Array) -> list[str]:
+    """The texts, none with a blank, as a list: one long text is split sooner than each is read by itself."""
+    if not len(texts):
+        return []
+    whole = pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts)
+    return pc.binary_join(whole, " ")[0].as_py().split(" ")
+
+
 def in_two(distinct: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
     """Words without the punctuation that ends them, that punctuation, and which words have both.
 
@@ -50,8 +59,9 @@ def in_two(distinct: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray]:
     core = pc.ascii_rtrim(distinct, TRAILING)
     shorter = pc.and_(pc.less(pc.binary_length(core), pc.binary_length(distinct)), pc.not_equal(core, ""))
     parted = np.flatnonzero(shorter.to_numpy(zero_copy_only=False))
-    last = pc.utf8_slice_codeunits(core.take(pa.array(parted)), -1).to_pylist()
-    parted = parted[np.fromiter((c.lower().isalpha() for c in last), bool, len(last))]
+    last = pc.utf8_slice_codeunits(core.take(pa.array(parted)), -1).dictionary_encode()
+    letter = np.array([c.lower().isalpha() for c in last.dictionary.to_pylist()], bool)
+    parted = parted[letter[last.indices.to_numpy()]]
     cut = np.zeros(len(distinct), bool)
     cut[parted] = True
     ending = pc.struct_field(pc.extract_regex(distinct.take(pa.array(parted)), f"(?P<e>[{TRAILING}]+)$"), "e")
@@ -148,11 +158,13 @@ class WordIds:
             self.clear()
         core, ending, parted = in_two(distinct)
         both = pa.concat_arrays([core, ending]).dictionary_encode()
-        names = both.dictionary.to_pylist()
-        found = list(map(self.known.get, names))
-        fresh = [name for name, at in zip(names, found) if at is None]
-        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-        at = np.fromiter(map(self.known.__getitem__, names), np.int64, len(names))[both.indices.to_numpy()]
+        names = listed(both.dictionary)
+        places = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        unknown = np.flatnonzero(places < 0)
+        fresh = [names[i] for i in unknown.tolist()]
+        places[unknown] = np.arange(len(self.known), len(self.known) + len(fresh))
+        self.known.update(zip(fresh, places[unknown].tolist()))
+        at = places[both.indices.to_numpy()]
         first, second = at[: len(core)], np.full(len(core), -1)
         second[parted] = at[len(core) :]
         more, sizes = self.encoded(fresh)

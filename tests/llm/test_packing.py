@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from ledgernet.llm.packing import WordIds, best_cuts, pack, powers
+from ledgernet.llm.packing import WordIds, best_cuts, in_two, listed, pack, powers
 from ledgernet.llm.queries import word_tokenizer
 
 ODD = [
@@ -26,6 +26,15 @@ def test_ids_are_those_of_the_tokenizer():
         assert ids[begin[i] : begin[i + 1]].tolist() == reference(text)
 
 
+def test_pieces_are_listed_as_they_are_and_endings_parted_behind_letters():
+    words = [w for text in ODD if text for w in text.split(" ") if w]
+    for some in (words, words[:1], []):
+        assert listed(pa.array(some, pa.string())) == some
+    core, ending, parted = in_two(pa.array(["And", "here.", "5%", "Ω:", "中文!", "..,", "x&#"]))
+    assert core.to_pylist() == ["and", "here", "5%", "Ω", "中文", "..,", "x"]
+    assert (ending.to_pylist(), parted.tolist()) == ([".", ":", "!", "&#"], [1, 3, 4, 6])
+
+
 def test_cuts_cost_least():
     rng = np.random.default_rng(1)
     for _ in range(30):
