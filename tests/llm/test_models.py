@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgernet.llm import kneser_ney
+from ledgernet.llm import toxicity as tox
 from ledgernet.llm.kneser_ney import discounts_of, learn_language, packed, score_language, unpacked
 from ledgernet.llm.quality import FEATURES, features, learn_quality, preferences, score_quality
 from ledgernet.llm.toxicity import learn_toxicity, score_toxicity, threshold
@@ -119,6 +120,20 @@ def said(seed, n=400):
     return out
 
 
+def test_stored_words_are_taken_some_at_a_time(monkeypatch):
+    monkeypatch.setattr(tox, "TOGETHER", 10)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n).tolist() for n in (4, 0, 25, 3, 3, 3, 9, 1)]
+    batch = pa.record_batch([pa.array(texts, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.int32()))], ["bare", "stem"])
+    some = list(tox._some_words([batch]))
+    assert [x for part in some for x in part.column("bare").to_pylist()] == texts
+    assert all(part.num_rows == 1 or sum(map(len, part.column("bare").to_pylist()[1:])) <= 10 for part in some) and len(some) > 3
+    tokens, bounds = tox._stored_tokens(batch)
+    kinds, codes = tox.distinct_words(tokens)
+    assert (kinds[codes] == tokens).all() and len(kinds) == len(np.unique(tokens, axis=0))
+    assert bounds.tolist() == np.cumsum([0, *map(len, texts)]).tolist()
+
+
 def test_toxic_words_are_learned_and_whole_texts_read(spark):
     given = spark.createDataFrame(said(1), "doc_id long, text string, lang string, toxic int")
     model = learn_toxicity(given.drop("toxic"), given.select("doc_id", "toxic"))
