@@ -255,3 +255,27 @@ def test_rounds_of_labels_add_up_numbers_without_sorting(spark):
     assert {(r["node_id"], r["label"]) for r in packed.collect()} == expected
     assert {(r["node_id"], r["label"]) for r in plain.collect()} == expected
     assert "SortAggregate" not in packed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_votes_counted_in_blocks_are_those_counted_row_by_row(spark, monkeypatch):
+    from ledgernet.operators import votes as B
+
+    ends = [(f"o{i}", f"f{(i * k) % 7}") for i in range(40) for k in (1, 2, 3)] + [("o1", "f0"), ("o2", "o2"), ("o3", None)]
+    edges = spark.createDataFrame([(a, b, "x", 1.0) for a, b in ends], EDGE)
+    nodes = spark.createDataFrame([(n,) for n in sorted({e for pair in ends for e in pair if e} | {"alone"})], "id string")
+    plans, plain = [], B.best_labels
+    monkeypatch.setattr(B, "best_labels", lambda *a: plans.append(a[3]) or plain(*a))
+
+    def labels(blocks, **options):
+        ballot = B.Ballot
+        monkeypatch.setattr(B, "Ballot", lambda count, total: ballot(count, total, blocks) if blocks else ballot(1 << 40, total))
+        got = as_dict(C.label_propagation(edges, nodes, **options), "node_id", "label")
+        monkeypatch.setattr(B, "Ballot", ballot)
+        return got
+
+    for options in ({"max_iter": 3, "rows_per_split": 9}, {"max_iter": 2, "self_vote": False}):
+        rows = labels(None, **options)
+        assert not plans
+        assert len(set(rows.values())) > 1 and labels(30, **options) == rows
+        assert any(plans) == ("rows_per_split" in options)
+        plans.clear()
