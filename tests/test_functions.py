@@ -110,3 +110,17 @@ def test_signal_strength_of_missing_and_negative_scores(spark):
     )
     got = [r[0] for r in df.select(severity.signal_strength(F.col("s"), F.col("v"), F.col("d"))).collect()]
     assert got == pytest.approx([2.0 * 1.2 * 0.8, 0.0, 1.0 * 0.3 * 0.9])
+
+
+def test_sums_of_amounts_are_those_of_decimals(spark):
+    from ledgernet.functions.amounts import money, money_sum
+
+    amounts = [0.1, 0.2, 0.3, -0.3, 104949.5, -7.00005, 1.00015, 2.5e-5, 1e-9, 9999999999.9999, 1e10, -1e10, 123456789012.34567,
+               4503599627370.4971, -0.0, 16777215.9999, -16777216.0001, None, 33.33333333]
+    rows = [("all", v) for v in amounts] + [("none", None), ("plain", 0.07), ("plain", 0.01), ("other", 0.00001)]
+    rows += [(f"one {i}", v) for i, v in enumerate(amounts)]
+    summed = spark.createDataFrame(rows, "g string, v double").groupBy("g").agg(
+        money_sum(F.col("v")).alias("fast"), F.sum(money(F.col("v"))).cast("double").alias("plain")
+    )
+    for row in summed.collect():
+        assert row["fast"] == row["plain"], row

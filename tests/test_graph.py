@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,3 +281,22 @@ def test_votes_counted_in_blocks_are_those_counted_row_by_row(spark, monkeypatch
         assert len(set(rows.values())) > 1 and labels(30, **options) == rows
         assert any(plans) == ("rows_per_split" in options)
         plans.clear()
+
+def test_degrees_are_summed_by_the_keys_of_commitments(basic_tables):
+    built = G.build_graph(*basic_tables, unique_commitments=True)
+    bare = SpendGraph(built.vertices, built.edges, end_types=built.end_types)
+    for kind in (V.ORGAO, V.FORNECEDOR, V.EMPENHO):
+        got, plain = M.weighted_degree(built, kind), M.weighted_degree(bare, kind)
+        assert as_dict(got, "node_id", "centrality") == as_dict(plain, "node_id", "centrality") != {}
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert bool(re.search(r"Aggregate \[(orgao|fornecedor)_id#", plan)) == (kind != V.EMPENHO)
+
+
+@pytest.mark.parametrize("unknown,few", [("", 9), ("O1", 9), ("O1", 0)])
+def test_projection_leaves_out_ends_without_vertex_when_keys_are_checked_first(spark, basic_tables, monkeypatch, unknown, few):
+    monkeypatch.setattr(P, "FEW_STRANGERS", few)
+    tables = basic_tables._replace(agencies=basic_tables.agencies.where(F.col("orgao_id") != unknown))
+    built = G.build_graph(*tables, unique_commitments=True)
+    checked = P.agency_supplier_links(built, reread=True)
+    assert sorted(map(tuple, checked.collect())) == sorted(map(tuple, P.agency_supplier_links(built).collect())) != []
+    assert ("Join" in checked._jdf.queryExecution().optimizedPlan().toString()) == bool(unknown)
