@@ -1,5 +1,6 @@
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ledgernet.operators import explore as X
 from ledgernet.operators import graph_build as G
 from ledgernet.operators import metrics as M
 from ledgernet.operators import projection as P
+from ledgernet.operators import votes as B
 
 EDGE = "src string, dst string, edge_type string, valor double"
 
@@ -300,3 +302,19 @@ def test_projection_leaves_out_ends_without_vertex_when_keys_are_checked_first(s
     checked = P.agency_supplier_links(built, reread=True)
     assert sorted(map(tuple, checked.collect())) == sorted(map(tuple, P.agency_supplier_links(built).collect())) != []
     assert ("Join" in checked._jdf.queryExecution().optimizedPlan().toString()) == bool(unknown)
+
+
+def test_blocks_hold_every_edge_once(spark):
+    """A block reaches Python as one array of numbers and holds the edges of its nodes, parallel ones too."""
+    ballot = B.Ballot(50, 400, edges_per_block=100)
+    edges = [(i % 50, (i * i) % 50) for i in range(400)]
+    listed = spark.createDataFrame(edges, "neighbor_id long, node_id long").withColumn("split", F.lit(0))
+    blocks = B.blocks_of(listed.withColumn("block", ballot.block_of("neighbor_id", "split")), ballot, 3)
+    assert "collect_list" in blocks._jdf.queryExecution().toString()
+    got, seen = [], []
+    for row in blocks.collect():
+        sources, degrees, targets = (np.frombuffer(row[c], np.int64) for c in ("sources", "degrees", "targets"))
+        got += zip(np.repeat(sources, degrees).tolist(), ballot.node(targets).tolist())
+        seen.append(row["block"])
+    assert sorted(got) == sorted(edges)
+    assert len(seen) == len(set(seen)) and len(seen) > 1
