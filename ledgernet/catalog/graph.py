@@ -370,7 +370,8 @@ def top_neighbors(spark, sf_dir):
     graph = T.graph(spark, sf_dir)
     suppliers = graph.vertices.where(F.col("node_type") == V.FORNECEDOR)
     centers = suppliers.select(F.col("id").alias("anomaly_id"), F.col("id").alias("center_id"))
-    return E.ego_networks(centers, graph.edges).neighbors.select("center_id", "neighbor_id", "valor", "rank")
+    ego = E.ego_networks(centers, graph.edges, sides=graph.edges_by_side({V.FORNECEDOR}))
+    return ego.neighbors.select("center_id", "neighbor_id", "valor", "rank")
 
 
 @query(

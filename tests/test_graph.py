@@ -176,6 +176,16 @@ def test_edges_of_few_centers_are_read_from_the_sides_that_can_hold_them(basic_g
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
+def test_edges_of_many_centers_are_listed_from_the_sides_that_can_hold_them(basic_graph):
+    centers = basic_graph.vertices.where(F.col("node_type") == V.FORNECEDOR).select(F.col("id").alias("anomaly_id"), F.col("id").alias("center_id"))
+    known = E.ego_networks(centers, basic_graph.edges, sides=basic_graph.edges_by_side({V.FORNECEDOR}))
+    plain = E.ego_networks(centers, basic_graph.edges)
+    for a, b in zip(known, plain):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+        plan = a._jdf.queryExecution().optimizedPlan().toString()
+        assert V.ORGAO_EMPENHO not in plan and V.EMPENHO_CONTRATO not in plan
+
+
 def test_evidence_is_capped_in_order_and_distinct(spark):
     centers = spark.createDataFrame([("A", "c")], "anomaly_id string, center_id string")
     neighbors = spark.createDataFrame([("A", "x", 1), ("A", "y", 2), ("A", "x", 3)], "anomaly_id string, neighbor_id string, rank long")
