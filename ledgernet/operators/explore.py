@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgernet import vocabulary as V
 from ledgernet.functions.amounts import finite
 from ledgernet.functions.text import contains_text
-from ledgernet.operators.graph_build import node_label
-from ledgernet.operators.metrics import both_ends
+from ledgernet.graph import SpendGraph
+from ledgernet.operators.graph_build import build_edges, node_label, with_vertex
+from ledgernet.operators.metrics import both_ends, typed_ids
+from ledgernet.sources.workspace import cut_lineage
+
+#: Hashes of ids that are broadcast, 8 bytes each.
+FEW_MIXED = 100_000
 
 
 def bound(text: str | float | None) -> Column | None:
@@ -82,6 +89,43 @@ def visible_links(edges: DataFrame, visible: DataFrame) -> DataFrame:
     ).select(*edges.columns)
 
 
+def _visible_commitments(commitments: DataFrame, test: Column) -> DataFrame:
+    """The commitments whose id is that of a vertex that passes ``test``.
+
+    A commitment that passes is one by itself. Others count if one of the same id passes: hashes of ids
+    tell which may, and these few are looked up by id.
+    """
+    marked = with_vertex(commitments, F.coalesce(test, F.lit(False)).alias("passes")).where("empenho_id is not null")
+    marked = marked.withColumn("hash", F.xxhash64("empenho_id"))
+    groups = marked.groupBy("hash").agg(F.bool_or("passes").alias("some"), F.bool_and("passes").alias("all"))
+    mixed = cut_lineage(groups.where("some and not all").select("hash"))
+    kept = marked.where("passes")
+    count = mixed.limit(FEW_MIXED + 1).count()
+    if count:
+        alike = marked.join(F.broadcast(mixed) if count <= FEW_MIXED else mixed, "hash", "left_semi")
+        passing = alike.where("passes").select("empenho_id")
+        kept = kept.unionByName(alike.where("not passes").join(passing, "empenho_id", "left_semi"))
+    return kept.select(*commitments.columns)
+
+
+def links_of_visible(graph: SpendGraph, test: Column, node_types: Collection[str]) -> DataFrame:
+    """``visible_links`` of a graph whose visible vertices are those of ``node_types`` that pass ``test``.
+
+    An edge of a built graph has a commitment at one end, whose vertex is made of the same row: this end
+    is tested where the row lies, and only the other one is looked up among the vertices.
+    """
+    shown = graph.vertices.where(F.col("node_type").isin(*node_types) & test)
+    if graph.commitments is None or not graph.made_with_edges(V.EMPENHO) or V.EMPENHO not in node_types:
+        return visible_links(graph.edges_between(node_types), shown.select("id"))
+    edges = build_edges(_visible_commitments(graph.commitments, test), "contratos" in graph.built_from)
+    parts = [edges.where(F.lit(False))]
+    for edge_type, (start, end) in graph.end_types.items():
+        if {start, end} <= set(node_types):
+            side, other = ("src", start) if end == V.EMPENHO else ("dst", end)
+            parts.append(edges.where(F.col("edge_type") == edge_type).join(typed_ids(shown, other, side), side, "left_semi"))
+    return reduce(DataFrame.unionByName, parts).select(*graph.edges.columns)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """Distinct undirected neighbour pairs ``(node_id, neighbor_id)``, each listed both ways.
 

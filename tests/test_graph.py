@@ -242,6 +242,33 @@ def test_explorer(spark, basic_graph):
     assert seen.count() == 3
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_visible_ends_are_tested_where_the_commitments_lie(spark, basic_tables, monkeypatch, few):
+    c, suppliers, agencies = basic_tables
+    # E2 is below the bound, but a commitment of the same id is not; E3 and its copy are below; O2 and a null id have no vertex.
+    odd = (
+        c.unionByName(c.where("empenho_id = 'E2'").withColumn("valor_empenhado", F.lit(200000.0)))
+        .unionByName(c.where("empenho_id = 'E1'").withColumn("empenho_id", F.lit(None).cast("string")))
+        .withColumn("valor_empenhado", F.expr("if(empenho_id = 'E3', 10.0, valor_empenhado)"))
+    )
+    odd = odd.unionByName(odd.where("empenho_id = 'E1'").withColumn("orgao_id", F.lit("O2")))
+    graph = G.build_graph(odd, suppliers, agencies.where("orgao_id <> 'O2'"), include_contracts=True, unique_commitments=True)
+    monkeypatch.setattr(X, "FEW_MIXED", few)
+    for types, wanted in (({V.EMPENHO, V.ORGAO}, 3), ({V.EMPENHO, V.FORNECEDOR, V.CONTRATO, V.ORGAO}, 11), ({V.ORGAO}, 0)):
+        test = X.passes(types=[V.EMPENHO], min_value="100000") | (F.col("node_type") != V.EMPENHO)
+        shown = graph.vertices.where(F.col("node_type").isin(*types) & test).select("id")
+        got = X.links_of_visible(graph, test, types)
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, X.visible_links(graph.edges, shown).collect()))
+        assert got.count() == wanted
+
+
+def test_visible_links_look_up_no_commitment(basic_tables):
+    graph = G.build_graph(*basic_tables, include_contracts=True, unique_commitments=True)
+    test = X.passes(types=[V.EMPENHO], min_value="100000") | X.passes(types=[V.ORGAO])
+    plan = X.links_of_visible(graph, test, {V.EMPENHO, V.ORGAO})._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftSemi") == 1 and "empenho_contrato" not in plan
+
+
 def test_neighbours(spark):
     edges = spark.createDataFrame([("a", "b", "t", 1.0), ("b", "a", "t", 1.0), ("a", "a", "t", 1.0)], EDGE)
     assert {tuple(r) for r in X.adjacency(edges).collect()} == {("a", "b"), ("b", "a"), ("a", "a")}
