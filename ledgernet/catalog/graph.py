@@ -115,21 +115,18 @@ def snapshot_xml(spark, sf_dir):
     path = scratch_path(spark, "graph-xml")
     export.write_graph_xml(T.graph(spark, sf_dir, one_pass=True), path)
 
+    texts = ["type", "nome", "uf", "numero", "valor", "data"]
+
     def elements(tag, names, id_):
-        schema = ", ".join(f"_{n} string" for n in names) + ", data array<struct<_VALUE string, _key string>>"
-        rows = spark.read.format("xml").option("rowTag", tag).schema(schema).load(f"{path}/{tag}s")
-        values = F.map_from_entries(F.transform("data", lambda d: F.struct(d["_key"], d["_VALUE"])))
-        return rows.withColumn("values", values).select(
+        return export.read_graph_xml(spark, f"{path}/{tag}s", tag, names, texts).select(
             F.lit(tag).alias("element"),
             id_.alias("id"),
-            *[F.col("values")[c].alias(c) for c in ("type", "nome", "uf", "numero")],
-            F.col("values")["valor"].cast("double").alias("valor"),
-            F.col("values")["data"].alias("data"),
-            F.size("data").cast("long").alias("attributes"),
+            *[F.col(c).cast("double") if c == "valor" else F.col(c) for c in texts],
+            F.col("children").alias("attributes"),
         )
 
-    return elements("node", ["id"], F.col("_id")).unionByName(
-        elements("edge", ["source", "target"], F.concat_ws(" ", "_source", "_target"))
+    return elements("node", ["id"], F.col("id")).unionByName(
+        elements("edge", ["source", "target"], F.concat_ws(" ", "source", "target"))
     )
 
 

@@ -4,7 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import as_dict
+from ledgernet import schema as S
 from ledgernet import vocabulary as V
+from ledgernet.graph import SpendGraph
 from ledgernet.operators.graph_build import dangling_edges, graph_summary
 from ledgernet.operators import membership as H
 from ledgernet.operators.metrics import weighted_degree
@@ -32,6 +34,31 @@ def test_graph_xml(spark, basic_graph, tmp_path):
     assert edges.count() == 9 and {"_source", "_target"} <= set(edges.columns)
 
 
+def test_graph_xml_is_read_as_it_was_written(spark, tmp_path):
+    texts = ["plain", "", " a ", 'say "<b>" & more', "line\nbreak\tx", "ção", '"><data key="', "&amp;", None]
+    rows = [(f"n{i}::{t}", "t", t, t, float(i)) for i, t in enumerate(texts)]
+    node = spark.createDataFrame(rows, "id string, node_type string, nome string, numero string, valor double")
+    vertices = node.select(*[F.col(c) if c in node.columns else F.lit(None).cast(S.VERTICES[c].dataType).alias(c) for c in S.VERTICES.names])
+    edges = node.selectExpr("id as src", "concat('to ', id) as dst", "nome as edge_type", "valor")
+    export.write_graph_xml(SpendGraph(vertices.where("id is not null"), edges.where("src is not null")), str(tmp_path))
+    nodes = export.read_graph_xml(spark, str(tmp_path / "nodes"), "node", ["id"], ["type", "nome", "numero", "valor", "uf"])
+    got = sorted(tuple(r) for r in nodes.collect())
+    # A parser reads a tab between quotation marks as a blank.
+    want = [(i.replace("\t", " "), "t", t, t, str(v), None, 2 if t is None else 4) for i, _, t, _, v in rows]
+    assert got == sorted(want)
+    links = export.read_graph_xml(spark, str(tmp_path / "edges"), "edge", ["source", "target"], ["type"]).collect()
+    assert sorted(tuple(r) for r in links) == sorted((i, f"to {i}", t, 1 if t is None else 2) for i, _, t, *_ in want)
+
+
+def test_plain_elements_are_cut_apart_and_others_parsed(spark, tmp_path):
+    lines = ["<?xml version='1.0'?>", "<graphml>", '<node id="a"></node>', "<node id='b'/>", '<node id="c"><data key="x">1</data></node>',
+             '<node id="x"><data key="z">x</data><data key="x"> é </data><data key="y"></data></node>',
+             '<node id="e&amp;"><data key="x"/><data key="y">&#10;2</data></node>', "</graphml>"]
+    (tmp_path / "part.xml").write_text("\n".join(lines))
+    got = sorted(tuple(r) for r in export.read_graph_xml(spark, str(tmp_path), "node", ["id"], ["x", "y"]).collect())
+    assert got == [("a", None, None, 0), ("b", None, None, 0), ("c", "1", None, 1), ("e&", "", "\n2", 2), ("x", " é ", "", 3)]
+
+
 def test_stored_graph_gives_the_same_answers(spark, basic_graph, basic_tables, tmp_path):
     from ledgernet.operators.graph_build import build_graph
 
